@@ -65,11 +65,13 @@ def coerce(df: DataFrame, missing: str = "zero") -> DataFrame:
     return df
 
 
-def candidates(profiles_or_sets: DataFrame, catalog: dict[str, DataFrame], missing: str = "zero") -> DataFrame:
+def candidates(profiles_or_sets: DataFrame, catalog: dict[str, DataFrame], missing: str = "zero",
+               set_rows: int | None = None) -> DataFrame:
     """One row per (cand_key, product) a candidate set may buy, coerced and filled.
 
     ``profiles_or_sets`` is either a profile table (with ``cand_key`` and
-    ``pension_operator``) or the output of :func:`candidate_sets`.
+    ``pension_operator``) or the output of :func:`candidate_sets`. ``set_rows`` is the
+    counted size of the candidate-set table when known (skips one size check).
     """
     sets = (profiles_or_sets if "operator_name" in profiles_or_sets.columns
             else candidate_sets(profiles_or_sets))
@@ -101,13 +103,17 @@ def set_stats(cands: DataFrame) -> DataFrame:
     )
 
 
-def with_stats(cands: DataFrame) -> DataFrame:
-    """Attach :func:`set_stats` to every candidate row (broadcast when the stats are small)."""
-    return cands.join(bounded_broadcast(set_stats(cands)), ["cand_key", "category"])
+def with_stats(cands: DataFrame, set_rows: int | None = None) -> DataFrame:
+    """Attach :func:`set_stats` to every candidate row (broadcast when the stats are small).
+
+    The stats have at most 3 rows (two categories and NULL) per candidate set.
+    """
+    bound = None if set_rows is None else 3 * set_rows
+    return cands.join(bounded_broadcast(set_stats(cands), known_rows=bound), ["cand_key", "category"])
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, buckets: int = 128,
-                 out: str = "avg_rank") -> DataFrame:
+                 out: str = "avg_rank", key_rows: int | None = None) -> DataFrame:
     """pandas ``rank(method='average')`` of ``value`` within ``keys``; NULL stays NULL.
 
     A hot key (one candidate set may hold most rows) is never ranked in one task:
@@ -119,7 +125,7 @@ def average_rank(df: DataFrame, keys: list[str], value: str, buckets: int = 128,
     counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt"))
     probs = [i / buckets for i in range(1, buckets)]
     bounds = present.groupBy(*keys).agg(F.percentile_approx(value, probs, 1000).alias("_bounds"))
-    counts = (counts.join(bounded_broadcast(bounds), keys)
+    counts = (counts.join(bounded_broadcast(bounds, known_rows=key_rows), keys)
               .withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(value))))
               .drop("_bounds"))
     totals = counts.groupBy(*keys, "_bucket").agg(F.sum("_cnt").alias("_btot"))

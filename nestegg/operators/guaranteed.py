@@ -53,14 +53,16 @@ def guaranteed_pool(components: DataFrame, top_n: int) -> DataFrame:
     return components.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= top_n + POOL_SLACK).drop("_k")
 
 
-def guaranteed_topn(components: DataFrame, segments: DataFrame, top_n: int = 3) -> DataFrame:
+def guaranteed_topn(components: DataFrame, segments: DataFrame, top_n: int = 3,
+                    set_rows: int | None = None) -> DataFrame:
     """Top-n guaranteed products per (cand_key, risk_preference) present in ``segments``.
 
     Ties are broken by product_id; a NULL score sorts last.
     """
     classes = segments.select("cand_key", "risk_preference").distinct()
     pool = guaranteed_pool(components, top_n)
-    scored = score_for_class(pool.join(bounded_broadcast(classes), "cand_key"))
+    bound = None if set_rows is None else 5 * set_rows  # five classes per set
+    scored = score_for_class(pool.join(bounded_broadcast(classes, known_rows=bound), "cand_key"))
     w = Window.partitionBy("cand_key", "risk_preference").orderBy(F.col("score").desc_nulls_last(), "product_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
 

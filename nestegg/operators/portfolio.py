@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from nestegg.operators import guaranteed as G
 from nestegg.operators import variable as V
-from nestegg.operators.candidates import candidates, split_category, with_stats
-from nestegg.session import bounded_broadcast
+from nestegg.operators.candidates import candidate_sets, candidates, split_category, with_stats
+from nestegg.session import bounded_broadcast, cut_lineage
 
 GUARANTEED_KEYS = ["cand_key", "risk_preference"]
 SEGMENT_KEYS = ["cand_key", "risk_preference", "is_silver", "manages_self"]
@@ -35,17 +35,25 @@ class Scored:
     """The shared intermediate plans of one recommendation run (all lazy)."""
 
     def __init__(self, profiles: DataFrame, catalog: dict[str, DataFrame], as_of: str, top_n: int = 3,
-                 missing: str = "zero"):
+                 missing: str = "zero", materialize: bool = True):
         self.profiles = profiles
         self.top_n = top_n
         self.segments = segments(profiles)
-        self.candidates = candidates(profiles, catalog, missing)
-        stats = with_stats(self.candidates)
-        g, v = split_category(stats)
+        # The only table whose size is measured: every table below keyed by candidate
+        # set is bounded by a fixed multiple of it (classes x silver x direct <= 20).
+        self.cand_sets = candidate_sets(profiles).cache()
+        self.set_rows = self.cand_sets.count()
+        # The hub every score reads: (set, product) rows with their set statistics,
+        # written once to the shared checkpoint folder so later stages do not replay
+        # the catalog joins.
+        cands = candidates(self.cand_sets, catalog, missing)
+        self.candidates = cut_lineage(with_stats(cands, self.set_rows)) if materialize else with_stats(
+            cands, self.set_rows)
+        g, v = split_category(self.candidates)
         self.g_components = G.guaranteed_components(g)
-        self.v_components = V.variable_components(v, as_of, missing)
-        self.g_top = G.guaranteed_reasons(G.guaranteed_topn(self.g_components, self.segments, top_n))
-        self.v_top = V.variable_reasons(V.variable_topn(self.v_components, self.segments, top_n))
+        self.v_components = V.variable_components(v, as_of, missing, self.set_rows)
+        self.g_top = G.guaranteed_reasons(G.guaranteed_topn(self.g_components, self.segments, top_n, self.set_rows))
+        self.v_top = V.variable_reasons(V.variable_topn(self.v_components, self.segments, top_n, self.set_rows))
 
 
 def _items(top: DataFrame, keys: list[str], score: str, info: list[str]) -> DataFrame:
@@ -64,9 +72,9 @@ def _items(top: DataFrame, keys: list[str], score: str, info: list[str]) -> Data
 def recommend(scored: Scored) -> DataFrame:
     """Per user: summary struct + ordered guaranteed / non_guaranteed item arrays."""
     g_items = bounded_broadcast(_items(scored.g_top, GUARANTEED_KEYS, "score", _G_INFO)
-                                .withColumnRenamed("items", "g_items"))
+                                .withColumnRenamed("items", "g_items"), known_rows=5 * scored.set_rows)
     v_items = bounded_broadcast(_items(scored.v_top, SEGMENT_KEYS, "total_score", _V_INFO)
-                                .withColumnRenamed("items", "v_items"))
+                                .withColumnRenamed("items", "v_items"), known_rows=20 * scored.set_rows)
     users = scored.profiles
     joined = users.join(g_items, GUARANTEED_KEYS, "left").join(v_items, SEGMENT_KEYS, "left")
     empty = F.array().cast(g_items.schema["g_items"].dataType)

@@ -60,9 +60,9 @@ def score_fee(df: DataFrame) -> DataFrame:
                                                  invert=True))
 
 
-def score_size(df: DataFrame, buckets: int = 128) -> DataFrame:
+def score_size(df: DataFrame, buckets: int = 128, set_rows: int | None = None) -> DataFrame:
     """F8: 100*(avg_rank-1)/(N-1) over non-null net worth; N <= 1 -> 50; NULL -> 0."""
-    df = average_rank(df, ["cand_key"], "total_net_worth", buckets=buckets, out="worth_rank")
+    df = average_rank(df, ["cand_key"], "total_net_worth", buckets=buckets, out="worth_rank", key_rows=set_rows)
     n = F.col("n_worth")
     a = F.when(n > 1, F.coalesce(F.lit(100.0) * (F.col("worth_rank") - 1) / (n - 1), F.lit(0.0))).otherwise(F.lit(50.0))
     return df.withColumn("score_a", a).drop("worth_rank")
@@ -78,13 +78,14 @@ def score_age(df: DataFrame, as_of: Column | str, missing: str = "zero") -> Data
     return df.withColumns({"years_active": years, "score_s": age_score(years)})
 
 
-def variable_components(variable: DataFrame, as_of: str, missing: str = "zero") -> DataFrame:
+def variable_components(variable: DataFrame, as_of: str, missing: str = "zero",
+                        set_rows: int | None = None) -> DataFrame:
     """All segment-free components for variable candidate rows carrying ``set_stats``."""
     df = score_return(variable)
     df = score_risk_level(df)
     df = score_tdf_flag(df)
     df = score_fee(df)
-    df = score_size(df)
+    df = score_size(df, set_rows=set_rows)
     return score_age(df, as_of, missing)
 
 
@@ -128,11 +129,13 @@ def variable_pool(components: DataFrame, top_n: int) -> DataFrame:
             .drop("_k", "_m", "_level", "_sk"))
 
 
-def variable_topn(components: DataFrame, segments: DataFrame, top_n: int = 3) -> DataFrame:
+def variable_topn(components: DataFrame, segments: DataFrame, top_n: int = 3,
+                  set_rows: int | None = None) -> DataFrame:
     """Top-n variable products per segment (cand_key, risk_preference, is_silver, manages_self)."""
     segs = segments.select("cand_key", "risk_preference", "is_silver", "manages_self").distinct()
     pool = variable_pool(components, top_n)
-    scored = score_segments(pool.join(bounded_broadcast(segs), ["cand_key", "is_silver"]))
+    bound = None if set_rows is None else 20 * set_rows  # 5 classes x 2 x 2 per set
+    scored = score_segments(pool.join(bounded_broadcast(segs, known_rows=bound), ["cand_key", "is_silver"]))
     w = Window.partitionBy("cand_key", "risk_preference", "is_silver", "manages_self") \
         .orderBy(F.col("total_score").desc_nulls_last(), "product_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)

@@ -51,12 +51,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking it holds at most ``max_rows`` rows.
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
+    """Broadcast ``df`` only when it holds at most ``max_rows`` rows.
 
-    The check reads at most ``max_rows + 1`` rows. Beyond the bound the frame is
-    returned untouched and the planner keeps a shuffle join (AQE may still
-    convert it at run time from measured sizes).
+    ``known_rows`` is an upper bound proven by the caller (e.g. a table derived from
+    an already counted one); without it the check reads at most ``max_rows + 1``
+    rows. Beyond the bound the frame is returned untouched and the planner keeps a
+    shuffle join (AQE may still convert it at run time from measured sizes).
     """
-    n = df.limit(max_rows + 1).count()
+    n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
