@@ -305,3 +305,89 @@ SELECT p.user_id, p.risk_preference, CAST(coalesce(p.investment_amount, 0) AS BI
               AND v.is_silver = p.is_silver AND v.manages_self = p.manages_self) AS BIGINT) AS n_non_guaranteed
 FROM prof p"""
     return q
+
+
+def _survey_sql() -> dict[str, str]:
+    q = {}
+    keys = K.SURVEY_KEYS
+    nxt = "CASE " + " ".join(f"WHEN {k} IS NULL THEN {_q(k)}" for k in keys) + " END"
+    labels = {k: (lbl or K.SURVEY_QUESTIONS[k][0]) for k, lbl, _ in K.SURVEY_STEPS}
+    q["survey_next_step"] = _with(["fx_survey_partial"]) + f"""
+SELECT user_id, next_step,
+       CAST(CASE next_step {' '.join(f"WHEN {_q(k)} THEN {i + 1}" for i, k in enumerate(keys))} END AS INTEGER) AS step_no,
+       CASE next_step {' '.join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in labels.items())} END AS step_label,
+       next_step IS NULL AS done,
+       coalesce(next_step = {_q(keys[-1])}, false) AS is_last_step
+FROM (SELECT user_id, {nxt} AS next_step FROM fx_survey_partial) t"""
+
+    cols = []
+    for k, _, kind in K.SURVEY_STEPS:
+        a = f"max(CASE WHEN step_key = {_q(k)} THEN answer END)"
+        if k == "investment_amount":
+            cols.append(f"TRY_CAST(trim({a}) AS BIGINT) * {K.AMOUNT_UNIT} AS {k}")
+        elif kind == "number":
+            cols.append(f"TRY_CAST(trim({a}) AS INTEGER) AS {k}")
+        elif k == "direct_manage":
+            cols.append(f"starts_with({a}, '1') AS {k}")
+        elif k == "pension_operator":
+            cols.append(f"{a} AS {k}")
+        else:
+            cols.append(f"TRY_CAST(substr({a}, 1, 1) AS INTEGER) AS {k}")
+    q["normalize_answers"] = _with(["fx_raw_answers"]) + (
+        "SELECT user_id, " + ", ".join(cols) + " FROM fx_raw_answers GROUP BY user_id")
+
+    radio = [k for k, _, kind in K.SURVEY_STEPS if kind == "radio" and k != "direct_manage"]
+    unp = " UNION ALL ".join(f"SELECT user_id, {_q(k)} AS step_key, CAST({k} AS INTEGER) AS option_code FROM fx_survey"
+                             for k in radio)
+    opts = ", ".join(f"({_q(k)}, {int(o[0])}, {_q(o)})" for k, (_, os_) in K.SURVEY_QUESTIONS.items() for o in os_)
+    q["survey_answer_text"] = _with(["fx_survey"]) + f"""
+SELECT a.user_id, a.step_key, a.option_code, o.option_text
+FROM ({unp}) a LEFT JOIN (VALUES {opts}) AS o(step_key, option_code, option_text)
+  ON a.step_key = o.step_key AND a.option_code = o.option_code"""
+    return q
+
+
+_base_oracle_sql = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    q = _base_oracle_sql()
+    q.update(_survey_sql())
+    return q
+
+
+def _integrity_sql() -> str:
+    from nestegg import schemas
+    tables = {"operator_info": "fx_operator_info", "product_info": "fx_product_info",
+              "product_fixed": "fx_product_fixed", "product_variable": "fx_product_variable",
+              "product_mapping": "fx_product_mapping"}
+    parts = []
+    for t, fx in tables.items():
+        pk = schemas.PRIMARY_KEYS[t]
+        parts.append(f"SELECT {_q(t)} AS table_name, 'primary_key' AS rule, {_q(','.join(pk))} AS column_name, "
+                     f"(SELECT count(*) FROM (SELECT {', '.join(pk)} FROM {fx} GROUP BY {', '.join(pk)} "
+                     f"HAVING count(*) > 1) d) AS violations")
+        for c in schemas.NOT_NULL[t]:
+            parts.append(f"SELECT {_q(t)}, 'not_null', {_q(c)}, (SELECT count(*) FROM {fx} WHERE {c} IS NULL)")
+        for c, allowed in schemas.DOMAINS.get(t, {}).items():
+            lst = ", ".join(_q(a) for a in allowed)
+            parts.append(f"SELECT {_q(t)}, 'domain', {_q(c)}, "
+                         f"(SELECT count(*) FROM {fx} WHERE {c} IS NOT NULL AND {c} NOT IN ({lst}))")
+        for c, p, pc in schemas.FOREIGN_KEYS.get(t, []):
+            if p not in tables:
+                continue
+            parts.append(f"SELECT {_q(t)}, 'foreign_key', {_q(f'{c}->{p}.{pc}')}, "
+                         f"(SELECT count(*) FROM {fx} x WHERE {c} IS NOT NULL AND NOT EXISTS "
+                         f"(SELECT 1 FROM {tables[p]} y WHERE y.{pc} = x.{c}))")
+    body = "\nUNION ALL\n".join(parts)
+    return _with(list(tables.values())) + (
+        f"SELECT table_name, rule, column_name, CAST(violations AS BIGINT) AS violations FROM ({body}) r")
+
+
+_base_oracle_sql2 = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    q = _base_oracle_sql2()
+    q["catalog_integrity"] = _integrity_sql()
+    return q

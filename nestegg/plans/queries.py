@@ -197,6 +197,21 @@ def q_portfolio_summary(spark, sf_dir):
     )
 
 
+# ---- A3 / C: catalog integrity and operator resolution ----------------------------------
+
+def q_catalog_integrity(spark, sf_dir):
+    from nestegg.operators.integrity import integrity_report
+    return integrity_report(context(spark, sf_dir).catalog)
+
+
+def q_operator_resolution(spark, sf_dir):
+    from nestegg.operators.resolve import resolve_operators
+    ctx = context(spark, sf_dir)
+    r = resolve_operators(ctx.fx("fx_operator_typed"), ctx.fx("fx_operator_names"))
+    return r.select("user_id", "raw", "typed", "outcome", "matched",
+                    F.array_join("suggestions", "|").alias("suggestions"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "risk_profile": q_risk_profile,
     "survey_next_step": q_survey_next_step,
@@ -216,4 +231,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "variable_reasons": q_variable_reasons,
     "portfolio_flat": q_portfolio_flat,
     "portfolio_summary": q_portfolio_summary,
+    "catalog_integrity": q_catalog_integrity,
+    "operator_resolution": q_operator_resolution,
 }

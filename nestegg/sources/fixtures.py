@@ -124,7 +124,9 @@ for _key, _label, _kind in K.SURVEY_STEPS:
     if _key == "investment_amount":
         value = f"CAST(CAST({_key} / {K.AMOUNT_UNIT} AS BIGINT) AS STRING)"
     elif _key == "pension_operator":
-        value = "array_join(pension_operator, ',')"
+        # The typed list as entered (same rule as fx_survey.pension_operator).
+        value = ("CASE WHEN user_id % 3 = 0 THEN concat('OP', CAST(user_id % 44 + 1 AS STRING), ',OP', "
+                 "CAST((user_id + 7) % 44 + 1 AS STRING)) ELSE concat('OP', CAST(user_id % 44 + 1 AS STRING)) END")
     elif _key == "direct_manage":
         value = "CASE WHEN direct_manage THEN '1. 내가 직접 관리' ELSE '2. 전문가에게 맡김' END"
     elif _kind == "number":
