@@ -18,12 +18,14 @@ from nestegg.session import bounded_broadcast, cut_lineage
 GUARANTEED_KEYS = ["cand_key", "risk_preference"]
 SEGMENT_KEYS = ["cand_key", "risk_preference", "is_silver", "manages_self"]
 
-_G_INFO = ["product_id", "product_name", "product_type", "category", "maturity", "interest_rate",
-           "is_safe", "is_risky", "product_score", "rate_level", "rate_score", "score"]
-_V_INFO = ["product_id", "product_name", "product_type", "category", "risk_level", "eligible_tdf", "launch_date",
-           "total_net_worth", "total_expense_ratio", "return_1y", "return_3y", "return_5y",
-           "norm_1y", "norm_3y", "norm_5y", "score_r_mode", "parsed_risk", "score_f", "product_tdf", "score_t",
-           "score_c", "score_a", "years_active", "score_s", "total_score"]
+# The product record carried by every item (the 14 catalog columns), same for both halves.
+PRODUCT_INFO = ["product_id", "product_name", "product_type", "category", "maturity", "interest_rate",
+                "risk_level", "eligible_tdf", "launch_date", "total_net_worth", "total_expense_ratio",
+                "return_1y", "return_3y", "return_5y"]
+# Component scores per half, carried as a map so both halves share one item type.
+_G_SCORES = ["product_score", "rate_level", "rate_score", "score"]
+_V_SCORES = ["norm_1y", "norm_3y", "norm_5y", "score_r_mode", "parsed_risk", "score_f", "product_tdf", "score_t",
+             "score_c", "score_a", "years_active", "score_s", "total_score"]
 
 
 def segments(profiles: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ class Scored:
         self.v_top = V.variable_reasons(V.variable_topn(self.v_components, self.segments, top_n, self.set_rows))
 
 
-def _items(top: DataFrame, keys: list[str], score: str, info: list[str]) -> DataFrame:
+def _items(top: DataFrame, keys: list[str], score: str, scores: list[str]) -> DataFrame:
     item = F.struct(
         F.col("rank"),
         F.col("product_id"),
@@ -64,16 +66,18 @@ def _items(top: DataFrame, keys: list[str], score: str, info: list[str]) -> Data
         F.round(F.col(score), 1).alias("score"),
         F.col(score).alias("raw_score"),
         F.col("reasons"),
-        F.struct(*[F.col(c) for c in info]).alias("product_info"),
+        F.struct(*[F.col(c) for c in PRODUCT_INFO]).alias("product_info"),
+        F.create_map(*[x for c in scores for x in (F.lit(c), F.col(c).cast("double"))]).alias("scores"),
     )
-    return top.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    by_rank = lambda a, b: F.when(a["rank"] < b["rank"], -1).when(a["rank"] > b["rank"], 1).otherwise(0)
+    return top.groupBy(*keys).agg(F.array_sort(F.collect_list(item), by_rank).alias("items"))
 
 
 def recommend(scored: Scored) -> DataFrame:
     """Per user: summary struct + ordered guaranteed / non_guaranteed item arrays."""
-    g_items = bounded_broadcast(_items(scored.g_top, GUARANTEED_KEYS, "score", _G_INFO)
+    g_items = bounded_broadcast(_items(scored.g_top, GUARANTEED_KEYS, "score", _G_SCORES)
                                 .withColumnRenamed("items", "g_items"), known_rows=5 * scored.set_rows)
-    v_items = bounded_broadcast(_items(scored.v_top, SEGMENT_KEYS, "total_score", _V_INFO)
+    v_items = bounded_broadcast(_items(scored.v_top, SEGMENT_KEYS, "total_score", _V_SCORES)
                                 .withColumnRenamed("items", "v_items"), known_rows=20 * scored.set_rows)
     users = scored.profiles
     joined = users.join(g_items, GUARANTEED_KEYS, "left").join(v_items, SEGMENT_KEYS, "left")

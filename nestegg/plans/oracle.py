@@ -391,3 +391,125 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
     q = _base_oracle_sql2()
     q["catalog_integrity"] = _integrity_sql()
     return q
+
+
+_STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def _text_sql() -> dict[str, str]:
+    q = {}
+    docs_fx = ["fx_product_info", "fx_product_fixed", "fx_product_variable", "fx_product_mapping"]
+    dec = lambda c, s: f"CAST(CAST(coalesce(CAST({c} AS DOUBLE), 0.0) AS DECIMAL(18,{s})) AS VARCHAR)"
+    q["rag_documents"] = _with(docs_fx) + f"""
+SELECT product_id, category, {_STRIP.format(x='content')} AS page_content FROM (
+  SELECT i.id AS product_id, i.category,
+    printf({_q(K.DOC_HEADER)}, i.product_name, coalesce(i.product_type, '0'),
+           CASE WHEN i.category = 'GUARANTEED' THEN {_q(K.DOC_KIND_GUARANTEED)} ELSE {_q(K.DOC_KIND_VARIABLE)} END)
+    || CASE WHEN i.category = 'GUARANTEED' THEN
+         printf({_q(K.DOC_GUARANTEED)}, CAST(CAST(coalesce(CAST(f.maturity AS DOUBLE), 0.0) AS BIGINT) AS VARCHAR),
+                {dec('f.interest_rate', 2)})
+       ELSE
+         printf({_q(K.DOC_VARIABLE)}, coalesce(v.risk_level, '0'),
+                CASE WHEN v.eligible_tdf = 'O' THEN {_q(K.DOC_TDF_IN)} ELSE {_q(K.DOC_TDF_OUT)} END,
+                coalesce(CAST(v.launch_date AS VARCHAR), '0'),
+                CAST(CAST(coalesce(CAST(v.total_net_worth AS DOUBLE), 0.0) AS BIGINT) AS VARCHAR),
+                {dec('v.total_expense_ratio', 3)}, {dec('v.average_return_1y', 3)},
+                {dec('v.average_return_3y', 3)}, {dec('v.average_return_5y', 3)})
+       END AS content
+  FROM fx_product_info i LEFT JOIN fx_product_fixed f ON i.id = f.id LEFT JOIN fx_product_variable v ON i.id = v.id
+  WHERE i.category IN ('GUARANTEED', 'NON_GUARANTEED')) d"""
+
+    silver = _q(K.VR_SILVER)
+    items = f"""
+items AS (
+  SELECT p.user_id, 0 AS half, g.rank, g.product_id, g.product_name, round(g.score, 1) AS dscore,
+         g.reasons AS rp, g.interest_rate, g.risk_level
+  FROM prof p JOIN greason g ON p.cand_key = g.cand_key AND p.risk_preference = g.risk_preference
+  UNION ALL
+  SELECT p.user_id, 1 AS half, v.rank, v.product_id, v.product_name, round(v.total_score, 1) AS dscore,
+         CASE WHEN p.is_silver THEN concat_ws(' | ', v.reasons, replace({silver}, '%s', CAST(p.period AS VARCHAR)))
+              ELSE v.reasons END AS rp, v.interest_rate, v.risk_level
+  FROM prof p JOIN vreason v ON p.cand_key = v.cand_key AND p.risk_preference = v.risk_preference
+    AND p.is_silver = v.is_silver AND p.manages_self = v.manages_self
+),
+pctx AS (
+  SELECT p.user_id,
+    printf({_q(K.CTX_SUMMARY)}, p.risk_preference, format('{{:,}}', CAST(coalesce(p.investment_amount, 0) AS BIGINT)),
+           printf('%.2f', p.grnt_ratio * 100), printf('%.2f', (CAST(1.0 AS DOUBLE) - p.grnt_ratio) * 100))
+    || {_q(K.CTX_GUARANTEED_HEAD)}
+    || coalesce((SELECT string_agg(printf({_q(K.CTX_ITEM)}, CAST(i.rank AS VARCHAR), i.product_name,
+                   CAST(i.dscore AS VARCHAR), replace(i.rp, ' | ', ', ')), '' ORDER BY i.rank)
+                 FROM items i WHERE i.user_id = p.user_id AND i.half = 0), '')
+    || {_q(K.CTX_VARIABLE_HEAD)}
+    || coalesce((SELECT string_agg(printf({_q(K.CTX_ITEM)}, CAST(i.rank AS VARCHAR), i.product_name,
+                   CAST(i.dscore AS VARCHAR), replace(i.rp, ' | ', ', ')), '' ORDER BY i.rank)
+                 FROM items i WHERE i.user_id = p.user_id AND i.half = 1), '') AS context,
+    {_q(K.REASON_BLOCK_HEAD)}
+    || coalesce((SELECT string_agg(printf({_q(K.REASON_BLOCK_ITEM)}, i.product_name, CAST(i.dscore AS VARCHAR),
+                   replace(i.rp, ' | ', chr(10) || '  - ')), '' ORDER BY i.half, i.rank)
+                 FROM items i WHERE i.user_id = p.user_id), '') AS reason_text,
+    coalesce((SELECT string_agg(i.product_id, ',' ORDER BY i.half, i.rank) FROM items i
+              WHERE i.user_id = p.user_id), '') AS candidate_ids,
+    coalesce((SELECT string_agg(printf({_q(K.LIST_CONTEXT_ITEM)}, i.product_name, CAST(i.interest_rate AS VARCHAR),
+                   i.risk_level, replace(i.rp, ' | ', '; ')), '' ORDER BY i.half, i.rank)
+              FROM items i WHERE i.user_id = p.user_id), '') AS list_context,
+    coalesce((SELECT string_agg(printf({_q(K.COMPARISON_CONTEXT_ITEM)}, i.product_name, CAST(i.interest_rate AS VARCHAR),
+                   i.risk_level, replace(i.rp, ' | ', ', ')), '' ORDER BY i.half, i.rank)
+              FROM items i WHERE i.user_id = p.user_id), '') AS comparison_context
+  FROM prof p
+)"""
+    base = _with(_CATALOG_FX, PROFILE, CANDIDATES, GUARANTEED, VARIABLE, items)
+    q["portfolio_context"] = base + """
+SELECT user_id, context, reason_text, candidate_ids, list_context, comparison_context FROM pctx"""
+    q["advice_prompts"] = base + f"""
+SELECT c.conv_id, c.turn, c.conv_id AS user_id, printf({_q(K.ADVICE_PROMPT)}, x.context, c.text) AS prompt
+FROM conversations c JOIN pctx x ON x.user_id = c.conv_id WHERE c.role = 'user'"""
+
+    words = " OR ".join(f"coalesce(contains(text, {_q(w)}), false)" for w in K.COMPARE_WORDS)
+    reqs = ", ".join(_q(r) for r in K.RECOMMEND_REQUESTS)
+    q["intent"] = f"""
+SELECT conv_id, turn, CASE WHEN {words} THEN 'compare' ELSE 'recommend' END AS intent,
+       coalesce({_STRIP.format(x='text')} IN ({reqs}), false) AS is_recommendation
+FROM conversations WHERE role = 'user'"""
+
+    q["filtered_knn"] = f"""
+WITH q AS (
+  SELECT vec_id AS query_id, embedding AS qvec, unnest(range(vec_id + 1, vec_id + {2 * 5 + 1})) AS doc_id
+  FROM embeddings
+),
+p AS (
+  SELECT q.query_id, q.doc_id,
+    list_reduce(list_transform(list_zip(q.qvec, e.embedding),
+        lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))),
+      lambda a, b: a + b, CAST(0.0 AS DOUBLE)) AS distance
+  FROM q JOIN embeddings e ON e.vec_id = q.doc_id
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id AS neighbor_id, round(distance, 6) AS distance
+FROM r WHERE rank <= 3"""
+
+    q["parse_questions"] = f"""
+WITH a AS (
+  SELECT conv_id, turn,
+    list_slice(list_transform(list_filter(string_split(text, chr(10)), lambda s: length(s) > {K.QUESTION_MIN_LEN}),
+                              lambda s: {_STRIP.format(x='s')}), 1, {K.QUESTION_COUNT}) AS qs
+  FROM conversations WHERE role = 'assistant'
+)
+SELECT conv_id, turn, CAST(generate_subscripts(qs, 1) AS INTEGER) AS q_idx, unnest(qs) AS question FROM a"""
+
+    q["chat_history"] = """
+SELECT conv_id, count(*) AS n_turns,
+       CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS BIGINT) AS n_user,
+       CAST(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS BIGINT) AS n_assistant,
+       arg_max(role, turn) AS last_role, CAST(sum(length(text)) AS BIGINT) AS history_chars
+FROM conversations GROUP BY conv_id"""
+    return q
+
+
+_base_oracle_sql3 = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    q = _base_oracle_sql3()
+    q.update(_text_sql())
+    return q

@@ -21,6 +21,7 @@ from nestegg.sources.fixtures import fixture, fixture_catalog
 
 AS_OF = "2026-01-01"
 TOP_N = 3
+CHAT_TOP_N = 5
 
 _CONTEXTS: dict = {}
 
@@ -59,6 +60,34 @@ class Context:
             self._portfolio = recommend(self.scored)
         return self._portfolio
 
+    @property
+    def chat_portfolio(self) -> DataFrame:
+        """Portfolios with the chat's top-n (5)."""
+        if getattr(self, "_chat_portfolio", None) is None:
+            self._chat_portfolio = recommend(Scored(self.profiles, self.catalog, AS_OF, CHAT_TOP_N))
+        return self._chat_portfolio
+
+    @property
+    def documents(self) -> DataFrame:
+        from nestegg.operators.text import product_documents
+        return product_documents(self.catalog)
+
+    @property
+    def embedded_documents(self) -> DataFrame:
+        if getattr(self, "_embedded", None) is None:
+            from nestegg.operators.retrieve import embed, fit_embedder
+            docs = self.documents
+            self.embedder = fit_embedder(docs)
+            self._embedded = embed(docs, self.embedder)
+        return self._embedded
+
+    def user_turns(self) -> DataFrame:
+        """User-role chat turns; conversation c belongs to user c."""
+        from nestegg.sources.tables import read_table
+        conv = read_table(self.spark, self.sf_dir, "conversations")
+        return conv.where(F.col("role") == "user").select(
+            "conv_id", "turn", F.col("conv_id").alias("user_id"), F.col("text").alias("query"))
+
 
 def context(spark: SparkSession, sf_dir: str) -> Context:
     key = (id(spark), spark.sparkContext.applicationId, sf_dir)
@@ -212,6 +241,85 @@ def q_operator_resolution(spark, sf_dir):
                     F.array_join("suggestions", "|").alias("suggestions"))
 
 
+# ---- H: documents, contexts, retrieval, prompts ------------------------------------------
+
+def q_rag_documents(spark, sf_dir):
+    return context(spark, sf_dir).documents
+
+
+def q_portfolio_context(spark, sf_dir):
+    from nestegg.operators import text as T
+    p = context(spark, sf_dir).portfolio
+    items = T.all_items()
+    return p.select("user_id", T.portfolio_context(p).alias("context"), T.reason_block(items).alias("reason_text"),
+                    F.array_join(T.candidate_ids(items), ",").alias("candidate_ids"),
+                    T.list_context(items).alias("list_context"),
+                    T.comparison_context(items).alias("comparison_context"))
+
+
+def q_intent(spark, sf_dir):
+    from nestegg.operators import text as T
+    from nestegg.sources.tables import read_table
+    conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    return conv.select("conv_id", "turn", T.intent(F.col("text")).alias("intent"),
+                       T.is_recommendation(F.col("text")).alias("is_recommendation"))
+
+
+def q_filtered_knn(spark, sf_dir):
+    """Every vector is a query; its candidate list is the next 2n (= 10) ids, as a portfolio's 2n products."""
+    from nestegg.operators.retrieve import filtered_knn
+    from nestegg.sources.tables import read_table
+    e = read_table(spark, sf_dir, "embeddings")
+    q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"),
+                 F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 2 * CHAT_TOP_N).alias("cand_ids"))
+    corpus = e.select(F.col("vec_id").alias("doc_id"), "embedding")
+    hits = filtered_knn(q, corpus, 3, ["query_id"], "doc_id")
+    return hits.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("doc_id").alias("neighbor_id"),
+                       F.round("distance", 6).alias("distance"))
+
+
+def q_parse_questions(spark, sf_dir):
+    from nestegg.operators.text import parse_questions
+    from nestegg.sources.tables import read_table
+    conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    return conv.select("conv_id", "turn", F.posexplode(parse_questions(F.col("text"))).alias("pos", "question")) \
+        .select("conv_id", "turn", (F.col("pos") + 1).cast("int").alias("q_idx"), "question")
+
+
+def q_chat_history(spark, sf_dir):
+    from nestegg.sources.tables import read_table
+    conv = read_table(spark, sf_dir, "conversations")
+    return conv.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n_turns"),
+        F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).cast("long").alias("n_user"),
+        F.sum(F.when(F.col("role") == "assistant", 1).otherwise(0)).cast("long").alias("n_assistant"),
+        F.max_by("role", "turn").alias("last_role"),
+        F.sum(F.length("text")).cast("long").alias("history_chars"),
+    )
+
+
+def q_advice_prompts(spark, sf_dir):
+    from nestegg.operators.chat import advice_prompts
+    ctx = context(spark, sf_dir)
+    return advice_prompts(ctx.user_turns(), ctx.portfolio)
+
+
+def q_chat_prompts(spark, sf_dir):
+    from nestegg.operators.chat import chat_prompts
+    ctx = context(spark, sf_dir)
+    docs = ctx.embedded_documents
+    out = chat_prompts(ctx.user_turns(), ctx.chat_portfolio, docs, ctx.embedder)
+    return out.select("conv_id", "turn", "user_id", F.col("messages")[0]["content"].alias("system_prompt"),
+                      F.col("messages")[1]["content"].alias("human_prompt"))
+
+
+def q_question_prompts(spark, sf_dir):
+    from nestegg.operators.chat import question_prompts
+    ctx = context(spark, sf_dir)
+    docs = ctx.embedded_documents
+    return question_prompts(ctx.chat_portfolio, docs, ctx.embedder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "risk_profile": q_risk_profile,
     "survey_next_step": q_survey_next_step,
@@ -233,4 +341,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "portfolio_summary": q_portfolio_summary,
     "catalog_integrity": q_catalog_integrity,
     "operator_resolution": q_operator_resolution,
+    "rag_documents": q_rag_documents,
+    "portfolio_context": q_portfolio_context,
+    "intent": q_intent,
+    "filtered_knn": q_filtered_knn,
+    "parse_questions": q_parse_questions,
+    "chat_history": q_chat_history,
+    "advice_prompts": q_advice_prompts,
+    "chat_prompts": q_chat_prompts,
+    "question_prompts": q_question_prompts,
 }
