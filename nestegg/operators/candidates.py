@@ -65,24 +65,36 @@ def coerce(df: DataFrame, missing: str = "zero") -> DataFrame:
     return df
 
 
-def candidates(profiles_or_sets: DataFrame, catalog: dict[str, DataFrame], missing: str = "zero",
-               set_rows: int | None = None) -> DataFrame:
-    """One row per (cand_key, product) a candidate set may buy, coerced and filled.
+def candidate_pairs(profiles_or_sets: DataFrame, catalog: dict[str, DataFrame]) -> DataFrame:
+    """Distinct (cand_key, product_id) a candidate set may buy.
 
-    ``profiles_or_sets`` is either a profile table (with ``cand_key`` and
-    ``pension_operator``) or the output of :func:`candidate_sets`. ``set_rows`` is the
-    counted size of the candidate-set table when known (skips one size check).
+    The mapping is joined to the small (set, operator) side without a shuffle of the
+    mapping; duplicates (several operators or subscriber types per product) are
+    removed on the two keys only, before any product attribute is attached.
     """
     sets = (profiles_or_sets if "operator_name" in profiles_or_sets.columns
             else candidate_sets(profiles_or_sets))
     ops = catalog["operator_info"].select(F.col("id").alias("operator_id"), "operator_name")
     # Small side: one row per (set, operator); size-checked before broadcasting.
     set_ops = sets.join(ops, "operator_name").select("cand_key", "operator_id")
-    pairs = (catalog["product_mapping"].select("product_id", "operator_id")
-             .join(bounded_broadcast(set_ops), "operator_id")
-             .select("cand_key", "product_id")
-             .distinct())
-    return coerce(pairs.join(products(catalog), "product_id"), missing)
+    return (catalog["product_mapping"].select("product_id", "operator_id")
+            .join(bounded_broadcast(set_ops), "operator_id")
+            .select("cand_key", "product_id")
+            .distinct())
+
+
+def product_table(catalog: dict[str, DataFrame], missing: str = "zero") -> DataFrame:
+    """One coerced, filled row per product with the 14 selected columns."""
+    return coerce(products(catalog), missing)
+
+
+def candidates(profiles_or_sets: DataFrame, catalog: dict[str, DataFrame], missing: str = "zero") -> DataFrame:
+    """One row per (cand_key, product) a candidate set may buy, coerced and filled.
+
+    ``profiles_or_sets`` is either a profile table (with ``cand_key`` and
+    ``pension_operator``) or the output of :func:`candidate_sets`.
+    """
+    return candidate_pairs(profiles_or_sets, catalog).join(product_table(catalog, missing), "product_id")
 
 
 def split_category(cands: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -19,19 +19,23 @@ from nestegg.session import bounded_broadcast
 POOL_SLACK = 2
 
 
+def guaranteed_features(products: DataFrame) -> DataFrame:
+    """Product-level parts (E1): keyword flags on the name and the resulting kind."""
+    return products.withColumns({
+        "is_safe": is_safe(F.col("product_name")),
+        "is_risky": is_risky(F.col("product_name")),
+    }).withColumn("kind", F.when(F.col("is_risky"), "risky").when(F.col("is_safe"), "safe").otherwise("plain"))
+
+
 def guaranteed_components(guaranteed: DataFrame) -> DataFrame:
     """Segment-free parts: keyword flags, kind and rate level (rate / max rate of the set * 100).
 
-    ``guaranteed`` are guaranteed candidate rows carrying ``max_rate`` (see ``with_stats``).
+    ``guaranteed`` are guaranteed candidate rows carrying ``max_rate`` (see ``with_stats``)
+    and either ``product_name`` or the flags of :func:`guaranteed_features`.
     A max rate of 0 gives NULL, never NaN.
     """
-    return guaranteed.withColumns({
-        "is_safe": is_safe(F.col("product_name")),
-        "is_risky": is_risky(F.col("product_name")),
-    }).withColumns({
-        "kind": F.when(F.col("is_risky"), "risky").when(F.col("is_safe"), "safe").otherwise("plain"),
-        "rate_level": F.try_divide(F.col("interest_rate"), F.col("max_rate")) * F.lit(100.0),
-    })
+    df = guaranteed if "kind" in guaranteed.columns else guaranteed_features(guaranteed)
+    return df.withColumn("rate_level", F.try_divide(F.col("interest_rate"), F.col("max_rate")) * F.lit(100.0))
 
 
 def score_for_class(df: DataFrame, risk: str = "risk_preference") -> DataFrame:

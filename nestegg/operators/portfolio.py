@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from nestegg.operators import guaranteed as G
 from nestegg.operators import variable as V
-from nestegg.operators.candidates import candidate_sets, candidates, split_category, with_stats
+from nestegg.operators.candidates import (candidate_pairs, candidate_sets, product_table, split_category,
+                                          with_stats)
 from nestegg.session import bounded_broadcast, cut_lineage
 
 GUARANTEED_KEYS = ["cand_key", "risk_preference"]
@@ -33,29 +34,72 @@ def segments(profiles: DataFrame) -> DataFrame:
     return profiles.where(F.col("cand_key").isNotNull()).select(*SEGMENT_KEYS).distinct()
 
 
-class Scored:
-    """The shared intermediate plans of one recommendation run (all lazy)."""
+class Hub:
+    """Candidate rows and their segment-free components, shared by every top-n.
+
+    Product-level features (keyword kind, parsed risk level, TDF flag, launch age)
+    are computed once per product. The (candidate set x product) rows carry only
+    the two keys and numbers; product texts are attached to the bounded top-n rows
+    only. The candidate-set table is the only one whose size is measured: every
+    table keyed by candidate set is bounded by a fixed multiple of it (classes x
+    silver x direct <= 20). The candidate rows and the two component tables are
+    written once to the shared checkpoint folder (``materialize``), so each top-n
+    and each consumer reads them instead of replaying the catalog joins.
+    """
 
-    def __init__(self, profiles: DataFrame, catalog: dict[str, DataFrame], as_of: str, top_n: int = 3,
-                 missing: str = "zero", materialize: bool = True):
+    def __init__(self, profiles: DataFrame, catalog: dict[str, DataFrame], as_of: str, missing: str = "zero",
+                 materialize: bool = True):
+        def keep(df: DataFrame, name: str) -> DataFrame:
+            return cut_lineage(df, name) if materialize else df
         self.profiles = profiles
-        self.top_n = top_n
+        self.as_of = as_of
+        self.materialize = materialize
         self.segments = segments(profiles)
-        # The only table whose size is measured: every table below keyed by candidate
-        # set is bounded by a fixed multiple of it (classes x silver x direct <= 20).
         self.cand_sets = candidate_sets(profiles).cache()
         self.set_rows = self.cand_sets.count()
-        # The hub every score reads: (set, product) rows with their set statistics,
-        # written once to the shared checkpoint folder so later stages do not replay
-        # the catalog joins.
-        cands = candidates(self.cand_sets, catalog, missing)
-        self.candidates = cut_lineage(with_stats(cands, self.set_rows)) if materialize else with_stats(
-            cands, self.set_rows)
+        self.products = product_table(catalog, missing)
+        self.pairs = candidate_pairs(self.cand_sets, catalog)
+        feats = V.variable_features(G.guaranteed_features(self.products), as_of, missing).select(
+            "product_id", "category", "interest_rate", "return_1y", "return_3y", "return_5y", "total_expense_ratio",
+            "total_net_worth", "is_safe", "is_risky", "kind", "parsed_risk", "product_tdf", "years_active", "score_s")
+        self.candidates = keep(with_stats(self.pairs.join(feats, "product_id"), self.set_rows), "candidates")
         g, v = split_category(self.candidates)
-        self.g_components = G.guaranteed_components(g)
-        self.v_components = V.variable_components(v, as_of, missing, self.set_rows)
-        self.g_top = G.guaranteed_reasons(G.guaranteed_topn(self.g_components, self.segments, top_n, self.set_rows))
-        self.v_top = V.variable_reasons(V.variable_topn(self.v_components, self.segments, top_n, self.set_rows))
+        self.g_components = keep(G.guaranteed_components(g), "g_components")
+        self.v_components = keep(V.variable_components(v, as_of, missing, self.set_rows), "v_components")
+
+    def with_product_info(self, top: DataFrame, bound: int) -> DataFrame:
+        """Attach the product texts to (at most ``bound``) top-n rows; the top rows are the broadcast side."""
+        present = set(top.columns)
+        attrs = self.products.select("product_id", *[c for c in PRODUCT_INFO if c not in present])
+        return attrs.join(bounded_broadcast(top, known_rows=bound), "product_id")
+
+
+class Scored:
+    """Top-n per segment with reasons, over a :class:`Hub` (built here when not given)."""
+
+    def __init__(self, profiles: DataFrame, catalog: dict[str, DataFrame] | None = None, as_of: str | None = None,
+                 top_n: int = 3, missing: str = "zero", materialize: bool = True, hub: Hub | None = None):
+        self.hub = hub or Hub(profiles, catalog, as_of, missing, materialize)
+        self.profiles = profiles
+        self.top_n = top_n
+        self.segments = self.hub.segments
+        self.set_rows = self.hub.set_rows
+        self.candidates = self.hub.candidates
+        self.g_components = self.hub.g_components
+        self.v_components = self.hub.v_components
+        g_top = G.guaranteed_topn(self.g_components, self.segments, top_n, self.set_rows)
+        v_top = V.variable_topn(self.v_components, self.segments, top_n, self.set_rows)
+        self.g_top = G.guaranteed_reasons(self.hub.with_product_info(g_top, 5 * top_n * self.set_rows))
+        self.v_top = V.variable_reasons(self.hub.with_product_info(v_top, 20 * top_n * self.set_rows))
+
+        def keep(df: DataFrame, name: str) -> DataFrame:
+            return cut_lineage(df, name) if self.hub.materialize else df
+        # Per-segment item arrays: small (<= 20 rows per candidate set), materialised once
+        # and broadcast to users by every portfolio consumer.
+        self.g_items = keep(_items(self.g_top, GUARANTEED_KEYS, "score", _G_SCORES)
+                            .withColumnRenamed("items", "g_items"), f"g_items_top{top_n}")
+        self.v_items = keep(_items(self.v_top, SEGMENT_KEYS, "total_score", _V_SCORES)
+                            .withColumnRenamed("items", "v_items"), f"v_items_top{top_n}")
 
 
 def _items(top: DataFrame, keys: list[str], score: str, scores: list[str]) -> DataFrame:
@@ -75,10 +119,8 @@ def _items(top: DataFrame, keys: list[str], score: str, scores: list[str]) -> Da
 
 def recommend(scored: Scored) -> DataFrame:
     """Per user: summary struct + ordered guaranteed / non_guaranteed item arrays."""
-    g_items = bounded_broadcast(_items(scored.g_top, GUARANTEED_KEYS, "score", _G_SCORES)
-                                .withColumnRenamed("items", "g_items"), known_rows=5 * scored.set_rows)
-    v_items = bounded_broadcast(_items(scored.v_top, SEGMENT_KEYS, "total_score", _V_SCORES)
-                                .withColumnRenamed("items", "v_items"), known_rows=20 * scored.set_rows)
+    g_items = bounded_broadcast(scored.g_items, known_rows=5 * scored.set_rows)
+    v_items = bounded_broadcast(scored.v_items, known_rows=20 * scored.set_rows)
     users = scored.profiles
     joined = users.join(g_items, GUARANTEED_KEYS, "left").join(v_items, SEGMENT_KEYS, "left")
     empty = F.array().cast(g_items.schema["g_items"].dataType)

@@ -78,15 +78,22 @@ def score_age(df: DataFrame, as_of: Column | str, missing: str = "zero") -> Data
     return df.withColumns({"years_active": years, "score_s": age_score(years)})
 
 
+def variable_features(products: DataFrame, as_of: str, missing: str = "zero") -> DataFrame:
+    """Product-level parts: parsed risk level (F3), TDF flag (F5), launch age and its score."""
+    return score_age(score_tdf_flag(score_risk_level(products)), as_of, missing)
+
+
 def variable_components(variable: DataFrame, as_of: str, missing: str = "zero",
                         set_rows: int | None = None) -> DataFrame:
-    """All segment-free components for variable candidate rows carrying ``set_stats``."""
-    df = score_return(variable)
-    df = score_risk_level(df)
-    df = score_tdf_flag(df)
+    """All segment-free components for variable candidate rows carrying ``set_stats``.
+
+    Product-level features are computed here unless already present (see
+    :func:`variable_features`); the set-dependent ones (R, C, A) always are.
+    """
+    df = variable if "score_s" in variable.columns else variable_features(variable, as_of, missing)
+    df = score_return(df)
     df = score_fee(df)
-    df = score_size(df, set_rows=set_rows)
-    return score_age(df, as_of, missing)
+    return score_size(df, set_rows=set_rows)
 
 
 def total_score(silver: Column, score_r: Column, score_f: Column, score_t: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from nestegg.operators import guaranteed as G
 from nestegg.operators import variable as V
-from nestegg.operators.portfolio import Scored, portfolio_flat, recommend
+from nestegg.operators.portfolio import Hub, Scored, portfolio_flat, recommend
 from nestegg.operators.survey import (answer_texts, build_profiles, normalize_answers, survey_next_step,
                                       survey_options)
 from nestegg.sources.fixtures import fixture, fixture_catalog
@@ -46,12 +46,20 @@ class Context:
 
     @property
     def profiles(self) -> DataFrame:
-        return build_profiles(self.fx("fx_survey"))
+        if getattr(self, "_profiles", None) is None:
+            self._profiles = build_profiles(self.fx("fx_survey"))
+        return self._profiles
+
+    @property
+    def hub(self) -> Hub:
+        if getattr(self, "_hub", None) is None:
+            self._hub = Hub(self.profiles, self.catalog, AS_OF)
+        return self._hub
 
     @property
     def scored(self) -> Scored:
         if self._scored is None:
-            self._scored = Scored(self.profiles, self.catalog, AS_OF, TOP_N)
+            self._scored = Scored(self.profiles, top_n=TOP_N, hub=self.hub)
         return self._scored
 
     @property
@@ -64,7 +72,7 @@ class Context:
     def chat_portfolio(self) -> DataFrame:
         """Portfolios with the chat's top-n (5)."""
         if getattr(self, "_chat_portfolio", None) is None:
-            self._chat_portfolio = recommend(Scored(self.profiles, self.catalog, AS_OF, CHAT_TOP_N))
+            self._chat_portfolio = recommend(Scored(self.profiles, top_n=CHAT_TOP_N, hub=self.hub))
         return self._chat_portfolio
 
     @property
@@ -126,7 +134,8 @@ def q_survey_answer_text(spark, sf_dir):
 # ---- D: candidates ---------------------------------------------------------------------
 
 def q_candidates(spark, sf_dir):
-    c = context(spark, sf_dir).scored.candidates
+    hub = context(spark, sf_dir).hub
+    c = hub.pairs.join(hub.products, "product_id")
     return c.select("cand_key", "product_id", "product_name", "product_type", "category", "maturity",
                     "interest_rate", "risk_level", "eligible_tdf",
                     F.col("launch_date").cast("string").alias("launch_date"), "total_net_worth",
