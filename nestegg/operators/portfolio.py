@@ -57,7 +57,8 @@ class Hub:
         self.segments = segments(profiles)
         self.cand_sets = candidate_sets(profiles).cache()
         self.set_rows = self.cand_sets.count()
-        self.products = product_table(catalog, missing)
+        # Catalog-sized, read by the features, the top-n texts and the documents: written once.
+        self.products = keep(product_table(catalog, missing), "products")
         self.pairs = candidate_pairs(self.cand_sets, catalog)
         feats = V.variable_features(G.guaranteed_features(self.products), as_of, missing).select(
             "product_id", "category", "interest_rate", "return_1y", "return_3y", "return_5y", "total_expense_ratio",

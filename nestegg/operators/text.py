@@ -26,9 +26,14 @@ def _shown(c: Column, missing: str) -> Column:
     return F.coalesce(c, F.lit("0" if missing == "zero" else "None"))
 
 
-def product_documents(catalog: dict[str, DataFrame], missing: str = "zero") -> DataFrame:
-    """H1: one document per guaranteed / variable product: (product_id, category, page_content)."""
-    p = coerce(products(catalog), missing).where(F.col("category").isin("GUARANTEED", "NON_GUARANTEED"))
+def product_documents(catalog: dict[str, DataFrame] | None, missing: str = "zero",
+                      products_df: DataFrame | None = None) -> DataFrame:
+    """H1: one document per guaranteed / variable product: (product_id, category, page_content).
+
+    ``products_df`` may pass an already coerced product table (e.g. a materialised one).
+    """
+    p = products_df if products_df is not None else coerce(products(catalog), missing)
+    p = p.where(F.col("category").isin("GUARANTEED", "NON_GUARANTEED"))
     g = F.col("category") == "GUARANTEED"
     header = F.format_string(K.DOC_HEADER, F.col("product_name"), _shown(F.col("product_type"), missing),
                              F.when(g, K.DOC_KIND_GUARANTEED).otherwise(K.DOC_KIND_VARIABLE))

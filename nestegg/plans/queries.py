@@ -78,7 +78,7 @@ class Context:
     @property
     def documents(self) -> DataFrame:
         from nestegg.operators.text import product_documents
-        return product_documents(self.catalog)
+        return product_documents(self.catalog, products_df=self.hub.products)
 
     @property
     def embedded_documents(self) -> DataFrame:
@@ -135,7 +135,7 @@ def q_survey_answer_text(spark, sf_dir):
 
 def q_candidates(spark, sf_dir):
     hub = context(spark, sf_dir).hub
-    c = hub.pairs.join(hub.products, "product_id")
+    c = hub.candidates.select("cand_key", "product_id").join(hub.products, "product_id")
     return c.select("cand_key", "product_id", "product_name", "product_type", "category", "maturity",
                     "interest_rate", "risk_level", "eligible_tdf",
                     F.col("launch_date").cast("string").alias("launch_date"), "total_net_worth",

@@ -27,6 +27,10 @@ def get_spark(app: str = "nestegg", cpus: int | str = "*", shuffle_partitions: i
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", driver_memory)
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", LOCAL_TUNING[
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize"])
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", LOCAL_TUNING[
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes"])
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -34,6 +38,13 @@ def get_spark(app: str = "nestegg", cpus: int | str = "*", shuffle_partitions: i
     return spark
 
 
+LOCAL_TUNING = {
+    # Local runs move megabytes: keep AQE from collapsing every stage into one task.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m",
+}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; set a scratch one only when unset (tests)."""
     current = spark.sparkContext.getCheckpointDir()

@@ -10,4 +10,16 @@ DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; Catalyst prunes columns and pushes filters into the scan."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give an undersized scan the cluster's parallelism.
+
+    A single-file, single-row-group input is read by one task, and everything
+    pipelined after the scan would run in that task. Only when the scan has fewer
+    splits than the default parallelism is it spread by a round-robin shuffle; a
+    real multi-file input is returned untouched.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

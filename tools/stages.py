@@ -34,8 +34,14 @@ def main():
                 if ev == "SparkListenerStageCompleted":
                     si = e["Stage Info"]
                     dur = (si.get("Completion Time", 0) - si.get("Submission Time", 0)) / 1000
-                    stages[si["Stage ID"]] = (dur, si["Number of Tasks"], si["Stage Name"][:60],
-                                              si.get("Details", "").split("\n")[0][:0])
+                    scopes = []
+                    for r in si.get("RDD Info", []):
+                        sc = r.get("Scope")
+                        if sc:
+                            nm = json.loads(sc).get("name", "")
+                            if nm and nm not in scopes:
+                                scopes.append(nm)
+                    stages[si["Stage ID"]] = (dur, si["Number of Tasks"], si["Stage Name"][:40], ",".join(scopes)[:150])
                 elif ev == "SparkListenerJobStart":
                     jobs[e["Job ID"]] = [e["Submission Time"], None, len(e.get("Stage IDs", []))]
                 elif ev == "SparkListenerJobEnd":
@@ -44,8 +50,8 @@ def main():
     print(f"jobs={len(jobs)} stages={len(stages)} stage_time_sum={total_stage:.1f}s")
     jd = sorted(((v[1] - v[0]) / 1000, k, v[2]) for k, v in jobs.items() if v[1])
     print("slowest jobs:", [(round(d, 2), k, n) for d, k, n in jd[-top:]])
-    for sid, (d, n, name, _) in sorted(stages.items(), key=lambda kv: -kv[1][0])[:top]:
-        print(f"  stage {sid:4d} {d:6.2f}s tasks={n:4d} {name}")
+    for sid, (d, n, name, scopes) in sorted(stages.items(), key=lambda kv: -kv[1][0])[:top]:
+        print(f"  stage {sid:4d} {d:6.2f}s tasks={n:4d} {scopes or name}")
 
 
 if __name__ == "__main__":
