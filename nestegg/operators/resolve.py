@@ -14,8 +14,7 @@ from nestegg.functions.common import py_strip
 from nestegg.session import bounded_broadcast
 
 
-@pandas_udf("double")
-def _ratio(name: pd.Series, typed: pd.Series) -> pd.Series:
+def _ratio_batch(name: pd.Series, typed: pd.Series) -> pd.Series:
     # Same argument order as difflib.get_close_matches: the candidate is seq1.
     sm = difflib.SequenceMatcher()
     out = []
@@ -25,6 +24,11 @@ def _ratio(name: pd.Series, typed: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+def _ratio(name, typed):
+    """Ratcliff-Obershelp ratio per Arrow batch (the one Python step of the resolver)."""
+    return pandas_udf(_ratio_batch, "double")(name, typed)
+
+
 def _char_counts(df: DataFrame, text: str) -> DataFrame:
     """(text, ch, n): character multiset of each distinct text."""
     return (df.select(text, F.explode(F.split(F.col(text), "(?!$)")).alias("ch"))

@@ -17,6 +17,10 @@ from nestegg.functions.common import py_strip
 from nestegg.operators.candidates import coerce, products
 
 
+def _c(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
 def _fmt_dec(c: Column, scale: int) -> Column:
     return c.cast(f"decimal(18,{scale})").cast("string")
 
@@ -109,6 +113,7 @@ def comparison_context(items: Column) -> Column:
 
 def intent(text: Column) -> Column:
     """H6: 'compare' when the text mentions a comparison word, else 'recommend'."""
+    text = _c(text)
     cond = F.lit(False)
     for w in K.COMPARE_WORDS:
         cond = cond | F.coalesce(text.contains(w), F.lit(False))
@@ -117,6 +122,7 @@ def intent(text: Column) -> Column:
 
 def is_recommendation(text: Column) -> Column:
     """H7: the stripped text is one of the recommendation-request literals."""
+    text = _c(text)
     return F.coalesce(py_strip(text).isin(*K.RECOMMEND_REQUESTS), F.lit(False))
 
 
@@ -145,7 +151,7 @@ def question_prompt(user_json: Column, names: Column, rag_text: Column) -> Colum
 
 def parse_questions(response: Column) -> Column:
     """Split on newlines, keep lines longer than 5 (before stripping), strip, first 3."""
-    lines = F.filter(F.split(response, "\n"), lambda s: F.length(s) > K.QUESTION_MIN_LEN)
+    lines = F.filter(F.split(_c(response), "\n"), lambda s: F.length(s) > K.QUESTION_MIN_LEN)
     return F.slice(F.transform(lines, lambda s: py_strip(s)), 1, K.QUESTION_COUNT)
 
 
