@@ -121,7 +121,11 @@ def with_stats(cands: DataFrame, set_rows: int | None = None) -> DataFrame:
     The stats have at most 3 rows (two categories and NULL) per candidate set.
     """
     bound = None if set_rows is None else 3 * set_rows
-    return cands.join(bounded_broadcast(set_stats(cands), known_rows=bound), ["cand_key", "category"])
+    stats = bounded_broadcast(set_stats(cands).withColumnsRenamed({"cand_key": "_sk", "category": "_sc"}),
+                              known_rows=bound)
+    # NULL-safe on category: a product without category stays a candidate (it is in neither half).
+    cond = (F.col("cand_key") == F.col("_sk")) & F.col("category").eqNullSafe(F.col("_sc"))
+    return cands.join(stats, cond).drop("_sk", "_sc")
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, buckets: int = 128,

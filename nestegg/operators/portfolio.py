@@ -65,7 +65,8 @@ class Hub:
             "total_net_worth", "is_safe", "is_risky", "kind", "parsed_risk", "product_tdf", "years_active", "score_s")
         self.candidates = keep(with_stats(self.pairs.join(feats, "product_id"), self.set_rows), "candidates")
         g, v = split_category(self.candidates)
-        self.g_components = keep(G.guaranteed_components(g), "g_components")
+        # One column over the materialised rows: cheaper to recompute than to write and re-read.
+        self.g_components = G.guaranteed_components(g)
         self.v_components = keep(V.variable_components(v, as_of, missing, self.set_rows), "v_components")
 
     def with_product_info(self, top: DataFrame, bound: int) -> DataFrame:

@@ -87,3 +87,20 @@ def resolve_operators(typed: DataFrame, operator_info: DataFrame, n: int = K.FUZ
         F.when(F.col("is_exact"), F.col("typed")).alias("matched"),
         F.when(F.col("is_exact").isNull() & (F.col("typed") != ""), F.col("suggestions")).alias("suggestions"),
     )
+
+
+def apply_resolution(answers: DataFrame, resolution: DataFrame, choices: DataFrame | None = None) -> DataFrame:
+    """Set ``pension_operator`` from the resolution: an exact match becomes ``[matched]``; a
+    suggestion takes effect only when the user picked it (``choices``: user_id, chosen).
+    Users without a usable outcome keep their stored list. Joins are on user_id.
+    """
+    r = resolution.select("user_id", "matched")
+    out = answers.join(r, "user_id", "left")
+    if choices is not None:
+        out = out.join(choices.select("user_id", "chosen"), "user_id", "left")
+        picked = F.coalesce(F.col("matched"), F.col("chosen"))
+    else:
+        picked = F.col("matched")
+    return out.withColumn(
+        "pension_operator", F.when(picked.isNotNull(), F.array(picked)).otherwise(F.col("pension_operator"))
+    ).drop("matched", "chosen")

@@ -21,5 +21,9 @@ def spread(df: DataFrame) -> DataFrame:
     splits than the default parallelism is it spread by a round-robin shuffle; a
     real multi-file input is returned untouched.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave the scan as it is
+        return df
+    return df.repartition(target) if splits < target else df
