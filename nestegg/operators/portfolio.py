@@ -23,6 +23,11 @@ SEGMENT_KEYS = ["cand_key", "risk_preference", "is_silver", "manages_self"]
 PRODUCT_INFO = ["product_id", "product_name", "product_type", "category", "maturity", "interest_rate",
                 "risk_level", "eligible_tdf", "launch_date", "total_net_worth", "total_expense_ratio",
                 "return_1y", "return_3y", "return_5y"]
+# Columns kept from the component tables (keys, scores, and the raw values the score queries show).
+G_COMPONENT_COLS = ["cand_key", "product_id", "category", "interest_rate", "is_safe", "is_risky", "kind", "rate_level"]
+V_COMPONENT_COLS = ["cand_key", "product_id", "category", "total_net_worth", "total_expense_ratio", "parsed_risk",
+                    "product_tdf", "years_active", "score_s", "norm_1y", "norm_3y", "norm_5y", "score_r",
+                    "score_r_silver", "score_c", "score_a"]
 # Component scores per half, carried as a map so both halves share one item type.
 _G_SCORES = ["product_score", "rate_level", "rate_score", "score"]
 _V_SCORES = ["norm_1y", "norm_3y", "norm_5y", "score_r_mode", "parsed_risk", "score_f", "product_tdf", "score_t",
@@ -63,11 +68,14 @@ class Hub:
         feats = V.variable_features(G.guaranteed_features(self.products), as_of, missing).select(
             "product_id", "category", "interest_rate", "return_1y", "return_3y", "return_5y", "total_expense_ratio",
             "total_net_worth", "is_safe", "is_risky", "kind", "parsed_risk", "product_tdf", "years_active", "score_s")
-        self.candidates = keep(with_stats(self.pairs.join(feats, "product_id"), self.set_rows), "candidates")
-        g, v = split_category(self.candidates)
+        # (set x product) rows: two keys and product numbers; the per-set statistics are a
+        # tiny broadcast joined where the components are derived, not stored on every row.
+        self.candidates = keep(self.pairs.join(feats, "product_id"), "candidates")
+        g, v = split_category(with_stats(self.candidates, self.set_rows))
         # One column over the materialised rows: cheaper to recompute than to write and re-read.
-        self.g_components = G.guaranteed_components(g)
-        self.v_components = keep(V.variable_components(v, as_of, missing, self.set_rows), "v_components")
+        self.g_components = G.guaranteed_components(g).select(*G_COMPONENT_COLS)
+        self.v_components = keep(V.variable_components(v, as_of, missing, self.set_rows).select(*V_COMPONENT_COLS),
+                                 "v_components")
 
     def with_product_info(self, top: DataFrame, bound: int) -> DataFrame:
         """Attach the product texts to (at most ``bound``) top-n rows; the top rows are the broadcast side."""
