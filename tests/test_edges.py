@@ -82,3 +82,22 @@ def test_append_turns_and_history(spark):
     h = {r.conv_id: r for r in chat_history(out).collect()}
     assert [t.turn for t in h[1].turns] == [0, 1, 2, 3] and h[1].last_role == "assistant"
     assert [t.text for t in h[2].turns] == ["first"] and h[2].turns[0].turn == 0
+
+
+def test_seed_reader_and_nested_sink(spark):
+    from nestegg.sources.catalog import operator_names, read_seed
+    from nestegg.sources.sinks import write_table
+    d = tempfile.mkdtemp(prefix="nestegg-seed-")
+    with open(os.path.join(d, "operator_info.csv"), "w", encoding="utf-8") as fh:
+        fh.write("id,operator_name\nO999,정보없음\nO001,DB생명보험\n")
+    ops = read_seed(spark, os.path.join(d, "operator_info.csv"), "operator_info")
+    assert sorted(r.operator_name for r in operator_names(ops).collect()) == ["DB생명보험", "정보없음"]
+    # The nested portfolio record survives a JSON and a Parquet round trip.
+    from nestegg.plans.queries import Context
+    p = Context(spark, "/root/testdata/sf0.001").portfolio
+    for fmt in ("json", "parquet"):
+        out = os.path.join(d, f"portfolio_{fmt}")
+        write_table(p, out, fmt=fmt)
+        back = spark.read.format(fmt).load(out)
+        assert back.count() == p.count()
+        assert set(back.columns) == set(p.columns)
