@@ -34,6 +34,22 @@ def embed(df: DataFrame, model: PipelineModel, text_col: str = "page_content",
     return res if text_col == "page_content" else res.withColumnRenamed("page_content", text_col)
 
 
+def build_vector_table(docs: DataFrame, text_col: str = "page_content", dim: int = 256,
+                       path: str | None = None) -> tuple[DataFrame, PipelineModel]:
+    """Fit the default embedder on ``docs``, embed them and store the vectors as a Parquet table.
+
+    ``path`` defaults to a fresh folder under the session's checkpoint folder. Returns
+    the re-read table and the fitted model (needed to embed queries the same way).
+    """
+    from nestegg.session import cut_lineage
+    model = fit_embedder(docs, text_col, dim)
+    vecs = embed(docs, model, text_col)
+    if path is None:
+        return cut_lineage(vecs, "document_vectors"), model
+    vecs.write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.parquet(path), model
+
+
 def embed_with(df: DataFrame, text_col: str, model_fn, out: str = "embedding",
                return_type: str = "array<float>") -> DataFrame:
     """User-supplied embedding model applied per Arrow batch (``model_fn(pd.Series) -> pd.Series``)."""

@@ -83,10 +83,8 @@ class Context:
     @property
     def embedded_documents(self) -> DataFrame:
         if getattr(self, "_embedded", None) is None:
-            from nestegg.operators.retrieve import embed, fit_embedder
-            docs = self.documents
-            self.embedder = fit_embedder(docs)
-            self._embedded = embed(docs, self.embedder)
+            from nestegg.operators.retrieve import build_vector_table
+            self._embedded, self.embedder = build_vector_table(self.documents)
         return self._embedded
 
     def user_turns(self) -> DataFrame:
