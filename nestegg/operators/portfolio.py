@@ -88,7 +88,11 @@ class Scored:
     """Top-n per segment with reasons, over a :class:`Hub` (built here when not given)."""
 
     def __init__(self, profiles: DataFrame, catalog: dict[str, DataFrame] | None = None, as_of: str | None = None,
-                 top_n: int = 3, missing: str = "zero", materialize: bool = True, hub: Hub | None = None):
+                 top_n: int = 3, missing: str = "zero", materialize: bool = True, hub: Hub | None = None,
+                 base: "Scored | None" = None):
+        if base is not None:
+            self._derive(base, top_n)
+            return
         self.hub = hub or Hub(profiles, catalog, as_of, missing, materialize)
         self.profiles = profiles
         self.top_n = top_n
@@ -111,6 +115,18 @@ class Scored:
         self.v_items = keep(_items(self.v_top, SEGMENT_KEYS, "total_score", _V_SCORES)
                             .withColumnRenamed("items", "v_items"), f"v_items_top{top_n}")
 
+    def _derive(self, base: "Scored", top_n: int) -> None:
+        """Top-n as the first n rows of a larger top-n (same ranking and tie-break)."""
+        if top_n > base.top_n:
+            raise ValueError("can only derive a smaller top-n")
+        for name in ("hub", "profiles", "segments", "set_rows", "candidates", "g_components", "v_components"):
+            setattr(self, name, getattr(base, name))
+        self.top_n = top_n
+        self.g_top = base.g_top.where(F.col("rank") <= top_n)
+        self.v_top = base.v_top.where(F.col("rank") <= top_n)
+        self.g_items = base.g_items.withColumn("g_items", F.slice("g_items", 1, top_n))
+        self.v_items = base.v_items.withColumn("v_items", F.slice("v_items", 1, top_n))
+
 
 def _items(top: DataFrame, keys: list[str], score: str, scores: list[str]) -> DataFrame:
     item = F.struct(

@@ -13,11 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nestegg.operators import guaranteed as G
-from nestegg.operators import variable as V
 from nestegg.operators.portfolio import Hub, Scored, portfolio_flat, recommend
 from nestegg.operators.survey import (answer_texts, build_profiles, normalize_answers, survey_next_step,
                                       survey_options)
-from nestegg.sources.fixtures import fixture, fixture_catalog
+from nestegg.sources.fixtures import fixture
 
 AS_OF = "2026-01-01"
 TOP_N = 3
@@ -56,10 +55,17 @@ class Context:
             self._hub = Hub(self.profiles, self.catalog, AS_OF)
         return self._hub
 
+    @property
+    def scored_chat(self) -> Scored:
+        """Top-n of the chat (5); the portfolio's top-3 is derived from it."""
+        if getattr(self, "_scored_chat", None) is None:
+            self._scored_chat = Scored(self.profiles, top_n=max(CHAT_TOP_N, TOP_N), hub=self.hub)
+        return self._scored_chat
+
     @property
     def scored(self) -> Scored:
         if self._scored is None:
-            self._scored = Scored(self.profiles, top_n=TOP_N, hub=self.hub)
+            self._scored = Scored(self.profiles, top_n=TOP_N, base=self.scored_chat)
         return self._scored
 
     @property
@@ -72,7 +78,9 @@ class Context:
     def chat_portfolio(self) -> DataFrame:
         """Portfolios with the chat's top-n (5)."""
         if getattr(self, "_chat_portfolio", None) is None:
-            self._chat_portfolio = recommend(Scored(self.profiles, top_n=CHAT_TOP_N, hub=self.hub))
+            chat = self.scored_chat if self.scored_chat.top_n == CHAT_TOP_N else Scored(
+                self.profiles, top_n=CHAT_TOP_N, base=self.scored_chat)
+            self._chat_portfolio = recommend(chat)
         return self._chat_portfolio
 
     @property

@@ -181,3 +181,14 @@ def test_silver_sentence_is_per_user(spark):
             assert has == bool(r.is_silver)
             if has:
                 assert f"{r.period}년 이하" in it.reasons[-1]
+
+
+def test_top3_derived_from_top5_equals_direct(spark):
+    cat, _ = make_catalog(spark, seed=9)
+    prof = make_users(spark)
+    five = Scored(prof, cat, AS_OF, top_n=5)
+    direct = portfolio_flat(recommend(Scored(prof, cat, AS_OF, top_n=3, hub=five.hub))).collect()
+    derived = portfolio_flat(recommend(Scored(prof, top_n=3, base=five))).collect()
+    key = lambda r: (r.user_id, r.half, r.rank)
+    assert sorted(map(tuple, direct), key=repr) == sorted(map(tuple, derived), key=repr)
+    assert max(r.rank for r in derived) == 3 and len(direct) == len(derived) and key
