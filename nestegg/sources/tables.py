@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -13,15 +15,30 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
+SPREAD_MIN_BYTES = 8 << 20
+
+
+def _local_bytes(df: DataFrame) -> int:
+    total = 0
+    for f in df.inputFiles():
+        path = f[5:] if f.startswith("file:") else f
+        if not os.path.isabs(path) or not os.path.exists(path):
+            return 0  # not a local file: a cluster input, never spread
+        total += os.path.getsize(path)
+    return total
+
+
+def spread(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
     """Give an undersized scan the cluster's parallelism.
 
     A single-file, single-row-group input is read by one task, and everything
-    pipelined after the scan would run in that task. Only when the scan has fewer
-    splits than the default parallelism is it spread by a round-robin shuffle; a
-    real multi-file input is returned untouched.
+    pipelined after the scan would run in that task. Only a local input of at least
+    ``min_bytes`` with fewer splits than the default parallelism is spread by a
+    round-robin shuffle; small tables and real multi-file inputs are untouched.
     """
     try:
+        if _local_bytes(df) < min_bytes:
+            return df
         target = df.sparkSession.sparkContext.defaultParallelism
         splits = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave the scan as it is
