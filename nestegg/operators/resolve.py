@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,19 +12,26 @@ from nestegg.functions.common import py_strip
 from nestegg.session import bounded_broadcast
 
 
-def _ratio_batch(name: pd.Series, typed: pd.Series) -> pd.Series:
-    # Same argument order as difflib.get_close_matches: the candidate is seq1.
-    sm = difflib.SequenceMatcher()
-    out = []
-    for a, b in zip(name, typed):
-        sm.set_seqs(a, b)
-        out.append(sm.ratio())
-    return pd.Series(out, dtype="float64")
+def _ratio_batch_fn():
+    """The batch function, built in a closure so it is shipped to workers by value
+    (workers need only the standard library and pandas, not this package)."""
+    def ratio_batch(name: pd.Series, typed: pd.Series) -> pd.Series:
+        import difflib as _difflib
+
+        import pandas as _pd
+        # Same argument order as difflib.get_close_matches: the candidate is seq1.
+        sm = _difflib.SequenceMatcher()
+        out = []
+        for a, b in zip(name, typed):
+            sm.set_seqs(a, b)
+            out.append(sm.ratio())
+        return _pd.Series(out, dtype="float64")
+    return ratio_batch
 
 
 def _ratio(name, typed):
     """Ratcliff-Obershelp ratio per Arrow batch (the one Python step of the resolver)."""
-    return pandas_udf(_ratio_batch, "double")(name, typed)
+    return pandas_udf(_ratio_batch_fn(), "double")(name, typed)
 
 
 def _char_counts(df: DataFrame, text: str) -> DataFrame:

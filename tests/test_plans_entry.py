@@ -66,3 +66,21 @@ def test_oracle_at_smallest_scale(spark, name):
     o_rows, o_cols = _rows(con.execute(oracle_sql()[name]).df())
     assert s_cols == o_cols
     assert s_rows == o_rows
+
+
+def test_python_step_runs_without_package_on_workers(tmp_path):
+    """The resolver's pandas UDF must not need this package on the workers' path."""
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "import __spark_entry__ as E\n"
+        "n = E.queries()['operator_resolution'](s, %r).count()\n"
+        "print('ROWS', n)\n" % (repo, SF))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True,
+                         timeout=600)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]
