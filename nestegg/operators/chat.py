@@ -17,6 +17,11 @@ from nestegg.operators import text as T
 from nestegg.session import bounded_broadcast
 
 
+def _chatting(portfolio: DataFrame, turns: DataFrame) -> DataFrame:
+    """Only the portfolios of users who have turns: texts are rendered for them alone."""
+    return portfolio.join(turns.select("user_id").distinct(), "user_id", "left_semi")
+
+
 def portfolio_texts(portfolio: DataFrame) -> DataFrame:
     """Per user: portfolio context, reason block, candidate ids and names of all recommended items."""
     items = T.all_items()
@@ -39,7 +44,7 @@ def recommended_corpus(portfolio: DataFrame, docs: DataFrame, max_rows: int | No
 
 def chat_prompts(turns: DataFrame, portfolio: DataFrame, docs: DataFrame, embedder, k: int = 3) -> DataFrame:
     """(conv_id, turn, user_id, query) -> rendered [system, human] messages per turn."""
-    pt = portfolio_texts(portfolio)
+    pt = portfolio_texts(_chatting(portfolio, turns))
     q = R.embed(turns.join(pt, "user_id"), embedder, text_col="query", out="qvec")
     corpus = recommended_corpus(portfolio, docs).select(
         F.col("product_id").alias("doc_id"), "embedding", "page_content")
@@ -68,6 +73,7 @@ def question_prompts(portfolio: DataFrame, docs: DataFrame, embedder, k: int = 3
 
 def advice_prompts(turns: DataFrame, portfolio: DataFrame) -> DataFrame:
     """(conv_id, turn, user_id, query) -> advice prompt over the user's portfolio context."""
-    pt = portfolio.select("user_id", T.portfolio_context(portfolio).alias("portfolio_ctx"))
+    chatting = _chatting(portfolio, turns)
+    pt = chatting.select("user_id", T.portfolio_context(chatting).alias("portfolio_ctx"))
     return turns.join(pt, "user_id").select(
         "conv_id", "turn", "user_id", T.advice_prompt(F.col("portfolio_ctx"), F.col("query")).alias("prompt"))
