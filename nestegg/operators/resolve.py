@@ -41,19 +41,28 @@ def _char_counts(df: DataFrame, text: str) -> DataFrame:
             .groupBy(text, "ch").agg(F.count(F.lit(1)).alias("n")))
 
 
+def dimension_bounds(names: DataFrame) -> tuple[int, int]:
+    """(number of distinct names, longest name): one small aggregate bounding both dimension-side tables."""
+    row = names.agg(F.countDistinct("operator_name").alias("n"),
+                    F.coalesce(F.max(F.length("operator_name")), F.lit(0)).alias("m")).first()
+    return int(row["n"]), int(row["m"])
+
+
 def fuzzy_matches(typed: DataFrame, names: DataFrame, n: int = K.FUZZY_TOP,
-                  cutoff: float = K.FUZZY_CUTOFF) -> DataFrame:
+                  cutoff: float = K.FUZZY_CUTOFF, bounds: tuple[int, int] | None = None) -> DataFrame:
     """Top-``n`` names per distinct typed text with ratio >= ``cutoff``.
 
     Pairs are generated by an equi-join on shared characters (a pair with no common
     character has ratio 0), pruned by the length bound and the multiset bound
     ``2*common/(la+lb)`` (both upper bounds of the ratio), then scored exactly.
-    Returns (typed, name, ratio, rank).
+    Returns (typed, name, ratio, rank). ``bounds`` = :func:`dimension_bounds` when known;
+    the (name, character) table has at most names x longest name rows.
     """
     t = typed.select(F.col("typed")).distinct()
     nm = names.select(F.col("operator_name").alias("name")).distinct()
     tc = _char_counts(t, "typed")
-    nc = bounded_broadcast(_char_counts(nm, "name"))
+    n_names, max_len = bounds if bounds is not None else dimension_bounds(names)
+    nc = bounded_broadcast(_char_counts(nm, "name"), known_rows=n_names * max_len)
     common = (tc.join(nc.withColumnRenamed("n", "m"), "ch")
               .groupBy("typed", "name").agg(F.sum(F.least("n", "m")).alias("common")))
     la, lb = F.length("name"), F.length("typed")
@@ -70,19 +79,24 @@ def resolve_operators(typed: DataFrame, operator_info: DataFrame, n: int = K.FUZ
                       cutoff: float = K.FUZZY_CUTOFF) -> DataFrame:
     """(user_id, typed) -> outcome blank / exact / suggest / none, match and suggestions.
 
-    Work is done once per distinct stripped text, then joined back to users.
+    Work is done once per distinct stripped text, then joined back to users. The
+    dimension is measured once (a two-number aggregate); the suggestion table (one
+    row per distinct unmatched text) is joined by the planner, which AQE turns into
+    a broadcast at run time when it is small; it is never computed twice for a check.
     """
     users = typed.select("user_id", F.col("typed").alias("raw"), py_strip(F.col("typed")).alias("typed"))
     names = operator_info.select("operator_name").distinct()
-    exact = bounded_broadcast(names.select(F.col("operator_name").alias("typed"), F.lit(True).alias("is_exact")))
+    bounds = dimension_bounds(names)
+    exact = bounded_broadcast(names.select(F.col("operator_name").alias("typed"), F.lit(True).alias("is_exact")),
+                              known_rows=bounds[0])
     texts = (users.select("typed").distinct().where(F.col("typed") != "")
              .join(exact, "typed", "left_anti"))
-    fuzzy = fuzzy_matches(texts, names, n, cutoff)
+    fuzzy = fuzzy_matches(texts, names, n, cutoff, bounds)
     sugg = (fuzzy.groupBy("typed")
             .agg(F.array_sort(F.collect_list(F.struct("rank", "name", "ratio"))).alias("s"))
             .select("typed", F.transform("s", lambda x: x["name"]).alias("suggestions")))
     out = (users.join(exact, "typed", "left")
-           .join(bounded_broadcast(sugg), "typed", "left"))
+           .join(sugg, "typed", "left"))
     outcome = (F.when(F.col("typed") == "", "blank")
                .when(F.coalesce(F.col("is_exact"), F.lit(False)), "exact")
                .when(F.col("suggestions").isNotNull(), "suggest")
