@@ -167,6 +167,28 @@ def chat_history(messages: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).alias("n_turns")))
 
 
+def conversation_state(messages: DataFrame) -> DataFrame:
+    """H17 as aggregates per conversation (partial aggregation, no collection of turns).
+
+    Suggested follow-up questions are produced after an assistant answer and are
+    invalidated by the next user turn: they are valid while the latest assistant
+    turn comes after the latest user turn.
+    """
+    user_turn = F.max(F.when(F.col("role") == "user", F.col("turn")))
+    assistant_turn = F.max(F.when(F.col("role") == "assistant", F.col("turn")))
+    return (messages.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n_turns"),
+        F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).cast("long").alias("n_user"),
+        F.sum(F.when(F.col("role") == "assistant", 1).otherwise(0)).cast("long").alias("n_assistant"),
+        F.max_by("role", "turn").alias("last_role"),
+        user_turn.alias("last_user_turn"),
+        assistant_turn.alias("last_assistant_turn"),
+        F.sum(F.length("text")).cast("long").alias("history_chars"),
+    ).withColumn("suggestions_valid",
+                 F.coalesce(F.col("last_assistant_turn") > F.coalesce(F.col("last_user_turn"), F.lit(-1)),
+                            F.lit(False))))
+
+
 def append_turns(history: DataFrame, new_turns: DataFrame) -> DataFrame:
     """Append (conv_id, role, text) rows after the current last turn, in input order ``seq``."""
     last = history.groupBy("conv_id").agg(F.max("turn").alias("_last"))

@@ -501,7 +501,12 @@ SELECT conv_id, turn, CAST(generate_subscripts(qs, 1) AS INTEGER) AS q_idx, unne
 SELECT conv_id, count(*) AS n_turns,
        CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS BIGINT) AS n_user,
        CAST(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS BIGINT) AS n_assistant,
-       arg_max(role, turn) AS last_role, CAST(sum(length(text)) AS BIGINT) AS history_chars
+       arg_max(role, turn) AS last_role,
+       max(CASE WHEN role = 'user' THEN turn END) AS last_user_turn,
+       max(CASE WHEN role = 'assistant' THEN turn END) AS last_assistant_turn,
+       CAST(sum(length(text)) AS BIGINT) AS history_chars,
+       coalesce(max(CASE WHEN role = 'assistant' THEN turn END)
+                > coalesce(max(CASE WHEN role = 'user' THEN turn END), -1), false) AS suggestions_valid
 FROM conversations GROUP BY conv_id"""
     return q
 

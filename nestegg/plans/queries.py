@@ -303,14 +303,8 @@ def q_parse_questions(spark, sf_dir):
 
 def q_chat_history(spark, sf_dir):
     from nestegg.sources.tables import read_table
-    conv = read_table(spark, sf_dir, "conversations")
-    return conv.groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("n_turns"),
-        F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).cast("long").alias("n_user"),
-        F.sum(F.when(F.col("role") == "assistant", 1).otherwise(0)).cast("long").alias("n_assistant"),
-        F.max_by("role", "turn").alias("last_role"),
-        F.sum(F.length("text")).cast("long").alias("history_chars"),
-    )
+    from nestegg.operators.text import conversation_state
+    return conversation_state(read_table(spark, sf_dir, "conversations"))
 
 
 def q_advice_prompts(spark, sf_dir):

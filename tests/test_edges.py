@@ -101,3 +101,14 @@ def test_seed_reader_and_nested_sink(spark):
         back = spark.read.format(fmt).load(out)
         assert back.count() == p.count()
         assert set(back.columns) == set(p.columns)
+
+
+def test_conversation_state_invalidates_suggestions(spark):
+    from nestegg.operators.text import conversation_state
+    msgs = spark.createDataFrame(
+        [(1, 0, "user", "a"), (1, 1, "assistant", "b"),                      # answered: suggestions valid
+         (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c"),  # new user turn: invalid
+         (3, 0, "system", "s")],                                              # nothing yet
+        "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r.suggestions_valid for r in conversation_state(msgs).collect()}
+    assert got == {1: True, 2: False, 3: False}
