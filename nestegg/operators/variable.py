@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from nestegg import constants as K
 from nestegg.functions.scoring import (age_score, is_tdf, minmax_score, parse_risk_level, risk_level_score,
                                        tdf_fit, years_active)
-from nestegg.operators.candidates import EPOCH, average_rank
+from nestegg.operators.candidates import DIRECT_RANK_MAX_ROWS, EPOCH, average_rank, average_rank_direct
 from nestegg.session import bounded_broadcast
 
 POOL_SLACK = 2
@@ -60,9 +60,19 @@ def score_fee(df: DataFrame) -> DataFrame:
                                                  invert=True))
 
 
-def score_size(df: DataFrame, buckets: int = 128, set_rows: int | None = None) -> DataFrame:
-    """F8: 100*(avg_rank-1)/(N-1) over non-null net worth; N <= 1 -> 50; NULL -> 0."""
-    df = average_rank(df, ["cand_key"], "total_net_worth", buckets=buckets, out="worth_rank", key_rows=set_rows)
+def score_size(df: DataFrame, buckets: int = 128, set_rows: int | None = None,
+               max_group_rows: int | None = None) -> DataFrame:
+    """F8: 100*(avg_rank-1)/(N-1) over non-null net worth; N <= 1 -> 50; NULL -> 0.
+
+    ``max_group_rows`` is the measured size of the largest candidate set; when it is
+    at most ``DIRECT_RANK_MAX_ROWS`` a plain window ranks each set, otherwise (or when
+    unknown) the bucketed form splits hot sets. Both are exact.
+    """
+    if max_group_rows is not None and max_group_rows <= DIRECT_RANK_MAX_ROWS:
+        df = average_rank_direct(df, ["cand_key"], "total_net_worth", out="worth_rank")
+    else:
+        df = average_rank(df, ["cand_key"], "total_net_worth", buckets=buckets, out="worth_rank",
+                          key_rows=set_rows)
     n = F.col("n_worth")
     a = F.when(n > 1, F.coalesce(F.lit(100.0) * (F.col("worth_rank") - 1) / (n - 1), F.lit(0.0))).otherwise(F.lit(50.0))
     return df.withColumn("score_a", a).drop("worth_rank")
@@ -84,7 +94,7 @@ def variable_features(products: DataFrame, as_of: str, missing: str = "zero") ->
 
 
 def variable_components(variable: DataFrame, as_of: str, missing: str = "zero",
-                        set_rows: int | None = None) -> DataFrame:
+                        set_rows: int | None = None, max_group_rows: int | None = None) -> DataFrame:
     """All segment-free components for variable candidate rows carrying ``set_stats``.
 
     Product-level features are computed here unless already present (see
@@ -93,7 +103,7 @@ def variable_components(variable: DataFrame, as_of: str, missing: str = "zero",
     df = variable if "score_s" in variable.columns else variable_features(variable, as_of, missing)
     df = score_return(df)
     df = score_fee(df)
-    return score_size(df, set_rows=set_rows)
+    return score_size(df, set_rows=set_rows, max_group_rows=max_group_rows)
 
 
 def total_score(silver: Column, score_r: Column, score_f: Column, score_t: Column) -> Column:
