@@ -153,7 +153,7 @@ def average_rank(df: DataFrame, keys: list[str], value: str, buckets: int = 128,
     counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt"))
     probs = [i / buckets for i in range(1, buckets)]
     bounds = present.groupBy(*keys).agg(F.percentile_approx(value, probs, 1000).alias("_bounds"))
-    counts = (counts.join(bounded_broadcast(bounds, known_rows=key_rows), keys)
+    counts = (counts.join(bounded_broadcast(bounds, known_rows=key_rows, row_bytes=64 + 8 * buckets), keys)
               .withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(value))))
               .drop("_bounds"))
     totals = counts.groupBy(*keys, "_bucket").agg(F.sum("_cnt").alias("_btot"))

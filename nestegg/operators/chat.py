@@ -39,7 +39,8 @@ def recommended_corpus(portfolio: DataFrame, docs: DataFrame, max_rows: int | No
     """Embedded documents of products recommended to someone (bounded by segments x 2n)."""
     ids = portfolio.select(F.explode(T.candidate_ids(T.all_items())).alias("product_id")).distinct()
     corpus = docs.join(ids, "product_id", "left_semi")
-    return bounded_broadcast(corpus) if max_rows is None else bounded_broadcast(corpus, max_rows)
+    # Rows hold an embedding and a document text (a few KB).
+    return bounded_broadcast(corpus, max_rows, row_bytes=4096)
 
 
 def chat_prompts(turns: DataFrame, portfolio: DataFrame, docs: DataFrame, embedder, k: int = 3) -> DataFrame:

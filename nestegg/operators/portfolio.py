@@ -86,7 +86,8 @@ class Hub:
         """Attach the product texts to (at most ``bound``) top-n rows; the top rows are the broadcast side."""
         present = set(top.columns)
         attrs = self.products.select("product_id", *[c for c in PRODUCT_INFO if c not in present])
-        return attrs.join(bounded_broadcast(top, known_rows=bound), "product_id")
+        # Top rows carry ~30 columns (scores, flags, ids): about 1 KB each.
+        return attrs.join(bounded_broadcast(top, known_rows=bound, row_bytes=1024), "product_id")
 
 
 class Scored:
@@ -150,8 +151,10 @@ def _items(top: DataFrame, keys: list[str], score: str, scores: list[str]) -> Da
 
 def recommend(scored: Scored) -> DataFrame:
     """Per user: summary struct + ordered guaranteed / non_guaranteed item arrays."""
-    g_items = bounded_broadcast(scored.g_items, known_rows=5 * scored.set_rows)
-    v_items = bounded_broadcast(scored.v_items, known_rows=20 * scored.set_rows)
+    # One row holds up to n items with reason texts and the product record: ~4 KB per item.
+    item_bytes = 4096 * max(1, scored.top_n)
+    g_items = bounded_broadcast(scored.g_items, known_rows=5 * scored.set_rows, row_bytes=item_bytes)
+    v_items = bounded_broadcast(scored.v_items, known_rows=20 * scored.set_rows, row_bytes=item_bytes)
     users = scored.profiles
     joined = users.join(g_items, GUARANTEED_KEYS, "left").join(v_items, SEGMENT_KEYS, "left")
     empty = F.array().cast(g_items.schema["g_items"].dataType)

@@ -9,8 +9,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Default broadcast bound (rows) for sides whose size is checked at run time.
-BROADCAST_MAX_ROWS = 200_000
+# Broadcast budget per side. The row bound of a call is this budget divided by the caller's
+# estimate of the row width (default 320 bytes, i.e. about 200k narrow rows).
+BROADCAST_MAX_BYTES = 64 << 20
+DEFAULT_ROW_BYTES = 320
+BROADCAST_MAX_ROWS = BROADCAST_MAX_BYTES // DEFAULT_ROW_BYTES
 
 
 def get_spark(app: str = "nestegg", cpus: int | str = "*", shuffle_partitions: int = 8,
@@ -72,13 +75,18 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only when it holds at most ``max_rows`` rows.
+def bounded_broadcast(df: DataFrame, max_rows: int | None = None, known_rows: int | None = None,
+                      row_bytes: int = DEFAULT_ROW_BYTES) -> DataFrame:
+    """Broadcast ``df`` only when its size is within the broadcast budget.
 
-    ``known_rows`` is an upper bound proven by the caller (e.g. a table derived from
-    an already counted one); without it the check reads at most ``max_rows + 1``
-    rows. Beyond the bound the frame is returned untouched and the planner keeps a
-    shuffle join (AQE may still convert it at run time from measured sizes).
+    The row bound is ``max_rows`` or ``BROADCAST_MAX_BYTES // row_bytes`` (``row_bytes``
+    is the caller's estimate of one row, e.g. several KB for rows holding item arrays
+    with texts). ``known_rows`` is an upper bound proven by the caller (e.g. a table
+    derived from an already counted one); without it the check reads at most
+    ``bound + 1`` rows. Beyond the bound the frame is returned untouched and the
+    planner keeps a shuffle join (AQE may still convert it at run time from measured
+    sizes, and splits skewed partitions).
     """
-    n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    limit = max_rows if max_rows is not None else max(1, BROADCAST_MAX_BYTES // row_bytes)
+    n = known_rows if known_rows is not None else df.limit(limit + 1).count()
+    return F.broadcast(df) if n <= limit else df

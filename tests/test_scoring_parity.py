@@ -192,3 +192,22 @@ def test_top3_derived_from_top5_equals_direct(spark):
     key = lambda r: (r.user_id, r.half, r.rank)
     assert sorted(map(tuple, direct), key=repr) == sorted(map(tuple, derived), key=repr)
     assert max(r.rank for r in derived) == 3 and len(direct) == len(derived) and key
+
+
+def test_shuffle_fallback_equals_broadcast_plan(spark, monkeypatch):
+    """With a tiny broadcast budget every size-checked join falls back to a shuffle join: same result."""
+    import nestegg.session as S
+    cat, _ = make_catalog(spark, seed=5)
+    prof = make_users(spark)
+    base = sorted(map(tuple, portfolio_flat(recommend(Scored(prof, cat, AS_OF, top_n=3, materialize=False))).collect()),
+                  key=repr)
+    monkeypatch.setattr(S, "BROADCAST_MAX_BYTES", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fb = recommend(Scored(prof, cat, AS_OF, top_n=3, materialize=False))
+        plan = fb._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, portfolio_flat(fb).collect()), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+    assert got == base
