@@ -189,3 +189,14 @@ def portfolio_flat(portfolio: DataFrame) -> DataFrame:
             F.array_join(F.col("it.reasons"), " | ").alias("reasons"),
         )
     return half("guaranteed", "guaranteed").unionByName(half("non_guaranteed", "non_guaranteed"))
+
+
+def latest_portfolio(history: DataFrame, key: str = "user_id", order: str = "turn") -> DataFrame:
+    """The most recent portfolio per user from a history of (user, turn, portfolio columns).
+
+    ``max_by`` keeps one value per group with partial aggregation, so a user with many
+    turns never has their history gathered in one place.
+    """
+    cols = [c for c in history.columns if c not in (key, order)]
+    latest = history.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(order)).alias("_p"), F.max(order).alias(order))
+    return latest.select(key, order, "_p.*")

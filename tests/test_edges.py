@@ -112,3 +112,11 @@ def test_conversation_state_invalidates_suggestions(spark):
         "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r.suggestions_valid for r in conversation_state(msgs).collect()}
     assert got == {1: True, 2: False, 3: False}
+
+
+def test_latest_portfolio(spark):
+    from nestegg.operators.portfolio import latest_portfolio
+    hist = spark.createDataFrame([(1, 0, "a", ["x"]), (1, 3, "b", ["y", "z"]), (1, 2, "c", []), (2, 5, "d", ["w"])],
+                                 "user_id long, turn long, risk string, items array<string>")
+    got = {r.user_id: (r.turn, r.risk, list(r.items)) for r in latest_portfolio(hist).collect()}
+    assert got == {1: (3, "b", ["y", "z"]), 2: (5, "d", ["w"])}
