@@ -35,14 +35,16 @@ def embed(df: DataFrame, model: PipelineModel, text_col: str = "page_content",
 
 
 def build_vector_table(docs: DataFrame, text_col: str = "page_content", dim: int = 256,
-                       path: str | None = None) -> tuple[DataFrame, PipelineModel]:
-    """Fit the default embedder on ``docs``, embed them and store the vectors as a Parquet table.
+                       path: str | None = None, fit_on: DataFrame | None = None) -> tuple[DataFrame, PipelineModel]:
+    """Fit the default embedder, embed ``docs`` and store the vectors as a Parquet table.
 
+    The embedder (its IDF weights) is fitted on ``fit_on`` when given (e.g. the whole
+    catalog while only the retrievable documents are embedded), else on ``docs``.
     ``path`` defaults to a fresh folder under the session's checkpoint folder. Returns
     the re-read table and the fitted model (needed to embed queries the same way).
     """
     from nestegg.session import cut_lineage
-    model = fit_embedder(docs, text_col, dim)
+    model = fit_embedder(fit_on if fit_on is not None else docs, text_col, dim)
     vecs = embed(docs, model, text_col)
     if path is None:
         return cut_lineage(vecs, "document_vectors"), model
