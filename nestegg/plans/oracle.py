@@ -233,7 +233,7 @@ _CATALOG_FX = ["fx_survey", "fx_operator_info", "fx_product_info", "fx_product_f
                "fx_product_mapping"]
 
 
-def oracle_sql() -> dict[str, str]:
+def _scoring_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["risk_profile"] = _with(["fx_survey"], PROFILE) + """
 SELECT user_id, risk_score, risk_preference, grnt_ratio, is_silver, manages_self, cand_key FROM prof"""
@@ -347,15 +347,6 @@ FROM ({unp}) a LEFT JOIN (VALUES {opts}) AS o(step_key, option_code, option_text
     return q
 
 
-_base_oracle_sql = oracle_sql
-
-
-def oracle_sql() -> dict[str, str]:  # noqa: F811
-    q = _base_oracle_sql()
-    q.update(_survey_sql())
-    return q
-
-
 def _integrity_sql() -> str:
     from nestegg import schemas
     tables = {"operator_info": "fx_operator_info", "product_info": "fx_product_info",
@@ -384,15 +375,6 @@ def _integrity_sql() -> str:
         f"SELECT table_name, rule, column_name, CAST(violations AS BIGINT) AS violations FROM ({body}) r")
 
 
-_base_oracle_sql2 = oracle_sql
-
-
-def oracle_sql() -> dict[str, str]:  # noqa: F811
-    q = _base_oracle_sql2()
-    q["catalog_integrity"] = _integrity_sql()
-    return q
-
-
 _STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 
@@ -511,10 +493,10 @@ FROM conversations GROUP BY conv_id"""
     return q
 
 
-_base_oracle_sql3 = oracle_sql
-
-
-def oracle_sql() -> dict[str, str]:  # noqa: F811
-    q = _base_oracle_sql3()
+def oracle_sql() -> dict[str, str]:
+    """All oracle statements, keyed like the registered queries."""
+    q = _scoring_sql()
+    q.update(_survey_sql())
+    q["catalog_integrity"] = _integrity_sql()
     q.update(_text_sql())
     return q
