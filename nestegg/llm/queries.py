@@ -9,11 +9,22 @@ from pyspark.sql import functions as F
 
 from nestegg.llm.common import held_out, labelled_documents, read_table, sha256_joined
 from nestegg.llm.decontaminate import contamination
+from nestegg.llm.language import learn_models, with_language
 from nestegg.llm.mixing import mix, taken_words
+from nestegg.llm.neighbours import nearest_neighbours
+from nestegg.llm.quality import with_quality
 from nestegg.llm.secret_scan import learn_network, with_secrets
 from nestegg.llm.simhash import near_duplicates
 from nestegg.llm.toxicity import SAMPLE_ROWS as TOXICITY_ROWS
 from nestegg.llm.toxicity import learn_lexicon, with_toxicity
+from nestegg.llm.url_filter import Rule, judged
+
+URL_RULES = [
+    Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"),
+    Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"),
+]
+#: Hosts are listed that have one of these labels.
+LISTED_LABELS = ["adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +32,11 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(mix(docs, weights=[3, 1, 2], share=1.5, max_repeat=2))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contamination(docs, read_table(spark, sf_dir, "benchmark"))
@@ -29,6 +45,25 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha256_joined(F.array_sort("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = F.arrays_overlap(F.split("key", r"\."), F.array(*map(F.lit, LISTED_LABELS)))
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return judged(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").filter(~held_out("doc_id", 4, 2))
+    return with_quality(docs, labels).select(
+        "doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    models = learn_models(docs.filter(~held_out("doc_id", 4, 2)))
+    return with_language(docs.select("doc_id", "text"), models).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -53,7 +88,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op2_neighbours": op2_neighbours,
     "op3_decontaminate": op3_decontaminate,
+    "op5_url_filter": op5_url_filter,
+    "op6_quality": op6_quality,
+    "op7_language": op7_language,
     "op8_simhash": op8_simhash,
     "op9_secrets": op9_secrets,
     "op10_toxicity": op10_toxicity,
