@@ -15,6 +15,7 @@ from nestegg.llm.neighbours import nearest_neighbours
 from nestegg.llm.quality import with_quality
 from nestegg.llm.secret_scan import learn_network, with_secrets
 from nestegg.llm.simhash import near_duplicates
+from nestegg.llm.suffix_dedup import deduplicated
 from nestegg.llm.toxicity import SAMPLE_ROWS as TOXICITY_ROWS
 from nestegg.llm.toxicity import learn_lexicon, with_toxicity
 from nestegg.llm.url_filter import Rule, judged
@@ -45,6 +46,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha256_joined(F.array_sort("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(read_table(spark, sf_dir, "documents").select("doc_id", "text"), length=200, keep_text=False)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.arrays_overlap(F.split("key", r"\."), F.array(*map(F.lit, LISTED_LABELS)))
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_neighbours": op2_neighbours,
     "op3_decontaminate": op3_decontaminate,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_quality": op6_quality,
     "op7_language": op7_language,
