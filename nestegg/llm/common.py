@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text that one numpy pass works on at a time; longer single texts form a piece of their own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+#: Rows that Spark hands to a Python worker at a time (its default of 10,000 long texts is a lot of memory).
+ARROW_ROWS = 1000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,12 +35,20 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``ARROW_ROWS`` rows, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
 
     The planner also gets the measured size of what was written, so that it broadcasts
     a staged table only when it is small.
     """
+    bound_batches(df.sparkSession)
     path = f"{shared_root(df.sparkSession)}/nestegg-llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -112,6 +122,7 @@ def with_text_columns(
     """
     schema = T.StructType([*df.schema.fields, *fields])
     names = [f.name for f in schema.fields]
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_pieces(batches, text_col, max_bytes):
@@ -127,5 +138,6 @@ def sha256_joined(values: Column) -> Column:
 
 def ship(spark: SparkSession, value: object) -> Callable[[], object]:
     """Broadcast a bounded object of any class; the result, called in a task, gives it back."""
+    bound_batches(spark)
     shipped = spark.sparkContext.broadcast(cloudpickle.dumps(value))
     return lambda: cloudpickle.loads(shipped.value)

@@ -32,7 +32,7 @@ from nestegg.llm.fm_index import FMIndex
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 3 << 20
 #: Bytes that aren't part of a word become spaces; A-Z become a-z; bytes of other characters stay.
 FOLD = bytes(b if b >= 0x80 or chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz" else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -137,16 +137,21 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: i
 
 def hit_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text",
               item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES,
-              names: tuple[str, str, str, str] = ("n_words", "n_hit", "spans", "items")) -> DataFrame:
-    """``docs`` with the number of words, of hit words, the merged spans, and the ids of the items found."""
+              names: tuple[str, str, str, str] = ("n_words", "n_hit", "spans", "items"), cut: bool = False) -> DataFrame:
+    """``docs`` with the number of words, of hit words, the merged spans, and the ids of the items found.
+
+    ``cut``: ``docs`` with the spans removed from the texts instead.
+    """
     n_words, n_hit, spans, items = names = tuple(fresh(docs, n) for n in names)
     schema = T.StructType([*docs.schema.fields, T.StructField(n_words, T.LongType()), T.StructField(n_hit, T.LongType()),
                            T.StructField(spans, SPANS), T.StructField(items, T.ArrayType(T.StringType()))])
-    out = docs
-    for nth, block in enumerate(item_blocks(benchmark, item_id, item_text, block_bytes)):
+    out, columns, plain = docs, docs.columns, docs.schema
+    blocks = item_blocks(benchmark, item_id, item_text, block_bytes)
+    for nth, block in enumerate(blocks):
+        cut_now = cut and nth == len(blocks) - 1
         shipped = ship(docs.sparkSession, Phrases(block, window))
 
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, first=not nth) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, first=not nth, cut_now=cut_now) -> Iterator[pa.RecordBatch]:
             phrases = shipped()
             for piece in text_pieces(batches, text_col, SHARD_BYTES):
                 raw = as_bytes(piece.column(text_col))
@@ -163,12 +168,18 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_
                     hits.append(len(hit))
                     new_spans.append([{"start": a, "end": b} for a, b in merged(runs)])
                     new_items.append(sorted({*old_items[d], *owners}))
+                if cut_now:
+                    texts = piece.column(text_col)
+                    if any(new_spans):
+                        texts = pa.array([without_spans(t, c) for t, c in zip(texts.to_pylist(), new_spans)], texts.type)
+                    yield pa.RecordBatch.from_arrays([texts if c == text_col else piece.column(c) for c in columns], names=columns)
+                    continue
                 kept = piece.columns if first else piece.columns[:-4]
                 yield pa.RecordBatch.from_arrays(
                     [*kept, pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(new_spans, ARROW_SPANS),
                      pa.array(new_items, pa.list_(pa.string()))], names=schema.names)
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(run, plain if cut_now else schema)
     return out
 
 
@@ -188,14 +199,4 @@ def without_spans(text: str | None, spans: list[dict]) -> str | None:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with every occurrence of a phrase removed from the text; other texts stay as they are."""
-    columns, spans = docs.columns, fresh(docs, "spans")
-    found = hit_spans(docs, benchmark, text_col=text_col, **options)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, cut = batch.column(text_col), batch.column(spans).to_pylist()
-            if any(cut):
-                texts = pa.array([without_spans(t, s) for t, s in zip(texts.to_pylist(), cut)], texts.type)
-            yield pa.RecordBatch.from_arrays([texts if c == text_col else batch.column(c) for c in columns], names=columns)
-
-    return found.mapInArrow(run, docs.schema)
+    return hit_spans(docs, benchmark, text_col=text_col, cut=True, **options)

@@ -42,7 +42,7 @@ SAMPLE_ROWS = 12000
 STEM_SIZES = (4, 5, 6)
 MIN_DOCS = 4
 MIN_ODDS = 3.0  # log-odds of an entry: 20 times as common in toxic documents
-FEATURES_AT_ONCE = 400_000
+FEATURES_AT_ONCE = 150_000
 
 # Letters of other scripts, and digits and signs, with the Latin letter they imitate.
 LOOK_ALIKES = dict(zip("авекмнорстухіјѕһԁԛԝαβγεηικνορτυχωϲ", "abekmhopctyxijshdqwabyeniknoptuxwc"))
