@@ -81,5 +81,6 @@ def manage_style(direct_manage: Column) -> Column:
 
 
 def candidate_key(operators: Column) -> Column:
-    """Order-free key of an operator list: sorted distinct names joined by '|'."""
-    return F.array_join(F.array_sort(F.array_distinct(operators)), "|")
+    """Order-free key of an operator list: sorted distinct names joined by '|' (escaped inside names, so keys never collide)."""
+    escaped = F.transform(F.array_sort(F.array_distinct(operators)), lambda o: F.replace(F.replace(o, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")))
+    return F.array_join(escaped, "|")

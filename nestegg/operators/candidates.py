@@ -129,17 +129,6 @@ def with_stats(cands: DataFrame, set_rows: int | None = None) -> DataFrame:
     return cands.join(stats, cond).drop("_sk", "_sc")
 
 
-# Largest group ranked by a plain window (one task per group); larger groups use the bucketed form.
-DIRECT_RANK_MAX_ROWS = 1_000_000
-
-
-def average_rank_direct(df: DataFrame, keys: list[str], value: str, out: str = "avg_rank") -> DataFrame:
-    """Same result as :func:`average_rank` with two windows; use only when every group is known to be small."""
-    r = F.rank().over(Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last()))
-    peers = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    return df.withColumn(out, F.when(F.col(value).isNotNull(), r.cast("double") + (peers - 1) / 2.0))
-
-
 def average_rank(df: DataFrame, keys: list[str], value: str, buckets: int = 128,
                  out: str = "avg_rank", key_rows: int | None = None) -> DataFrame:
     """pandas ``rank(method='average')`` of ``value`` within ``keys``; NULL stays NULL.

@@ -1,9 +1,8 @@
 """Principal-guaranteed product scoring.
 
-For a fixed risk class the score is ``a(kind) + b * rate_level`` with b > 0, where
-kind is risky / safe / plain. So the top-n of any class is among the top-n by
-rate level of each kind: the pool per candidate set is at most 3 x (n + slack)
-rows, and only the pool is expanded to the risk classes present among users.
+The score depends on a user only through the risk class. Every candidate row is scored
+for each class present among the users of its set (five at most), and the ranking
+window keeps n rows a class in each map task before the shuffle.
 """
 
 from __future__ import annotations
@@ -16,8 +15,6 @@ from nestegg.functions.common import lookup
 from nestegg.functions.scoring import guaranteed_fit, is_risky, is_safe, rate_weight
 from nestegg.session import bounded_broadcast
 
-POOL_SLACK = 2
-
 
 def guaranteed_features(products: DataFrame) -> DataFrame:
     """Product-level parts (E1): keyword flags on the name and the resulting kind."""
@@ -51,12 +48,6 @@ def score_for_class(df: DataFrame, risk: str = "risk_preference") -> DataFrame:
     )
 
 
-def guaranteed_pool(components: DataFrame, top_n: int) -> DataFrame:
-    """Top (n + slack) rows per (cand_key, kind) by rate level (partial top-k before the shuffle)."""
-    w = Window.partitionBy("cand_key", "kind").orderBy(F.col("rate_level").desc_nulls_last(), "product_id")
-    return components.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= top_n + POOL_SLACK).drop("_k")
-
-
 def guaranteed_topn(components: DataFrame, segments: DataFrame, top_n: int = 3,
                     set_rows: int | None = None) -> DataFrame:
     """Top-n guaranteed products per (cand_key, risk_preference) present in ``segments``.
@@ -64,9 +55,8 @@ def guaranteed_topn(components: DataFrame, segments: DataFrame, top_n: int = 3,
     Ties are broken by product_id; a NULL score sorts last.
     """
     classes = segments.select("cand_key", "risk_preference").distinct()
-    pool = guaranteed_pool(components, top_n)
     bound = None if set_rows is None else 5 * set_rows  # five classes per set
-    scored = score_for_class(pool.join(bounded_broadcast(classes, known_rows=bound), "cand_key"))
+    scored = score_for_class(components.join(bounded_broadcast(classes, known_rows=bound), "cand_key"))
     w = Window.partitionBy("cand_key", "risk_preference").orderBy(F.col("score").desc_nulls_last(), "product_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
 

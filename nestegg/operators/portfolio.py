@@ -72,14 +72,9 @@ class Hub:
         # tiny broadcast joined where the components are derived, not stored on every row.
         self.candidates = keep(self.pairs.join(feats, "product_id"), "candidates")
         g, v = split_category(with_stats(self.candidates, self.set_rows))
-        # Size of the largest variable candidate set (one number from the tiny statistics table):
-        # decides whether a set may be ranked in one task or must be split.
-        from nestegg.operators.candidates import set_stats
-        self.max_group_rows = int(set_stats(self.candidates).where(F.col("category") == "NON_GUARANTEED")
-                                  .agg(F.coalesce(F.max("n_rows"), F.lit(0))).first()[0])
         # One column over the materialised rows: cheaper to recompute than to write and re-read.
         self.g_components = G.guaranteed_components(g).select(*G_COMPONENT_COLS)
-        self.v_components = keep(V.variable_components(v, as_of, missing, self.set_rows, self.max_group_rows)
+        self.v_components = keep(V.variable_components(v, as_of, missing, self.set_rows)
                                  .select(*V_COMPONENT_COLS), "v_components")
 
     def with_product_info(self, top: DataFrame, bound: int) -> DataFrame:

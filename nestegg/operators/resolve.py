@@ -30,8 +30,11 @@ def _ratio_batch_fn():
 
 
 def _ratio(name, typed):
-    """Ratcliff-Obershelp ratio per Arrow batch (the one Python step of the resolver)."""
-    return pandas_udf(_ratio_batch_fn(), "double")(name, typed)
+    """Ratcliff-Obershelp ratio per Arrow batch (the one Python step of the resolver).
+
+    Marked nondeterministic so that the cutoff isn't pushed below it, which would run it twice a pair.
+    """
+    return pandas_udf(_ratio_batch_fn(), "double").asNondeterministic()(name, typed)
 
 
 def _char_counts(df: DataFrame, text: str) -> DataFrame:

@@ -19,14 +19,15 @@ def normalize_answers(raw: DataFrame) -> DataFrame:
 
     Radio answers keep their first character as the code, ``direct_manage`` is
     "starts with 1", the amount is entered in units of 10,000. The pivot is one
-    shuffle on ``user_id`` with map-side partial aggregation.
+    shuffle on ``user_id`` with map-side partial aggregation; of several answers to a
+    question the largest text counts.
     """
-    wide = raw.groupBy("user_id").pivot("step_key", K.SURVEY_KEYS).agg(F.first("answer"))
+    wide = raw.groupBy("user_id").pivot("step_key", K.SURVEY_KEYS).agg(F.max("answer"))
     cols = [F.col("user_id")]
     for key in K.SURVEY_KEYS:
         a = F.col(f"`{key}`")
         if key == "investment_amount":
-            v = py_strip(a).try_cast("long") * F.lit(K.AMOUNT_UNIT)
+            v = F.try_multiply(py_strip(a).try_cast("long"), F.lit(K.AMOUNT_UNIT))
         elif key in NUMBER_KEYS:
             v = py_strip(a).try_cast("int")
         elif key == "direct_manage":

@@ -1,10 +1,10 @@
 """Market-linked (non-guaranteed) product scoring.
 
 Per (cand_key, product) the components R (two variants: normal / silver), C, A,
-S, the parsed risk level and the TDF flag are computed once. For one segment
-the total is ``const(segment, level, tdf) + base(product, silver)``, so the top-n
-of every segment lies in the top (n + slack) by ``base`` of each (cand_key,
-silver, level, tdf) group. Only that bounded pool is expanded to segments.
+S, the parsed risk level and the TDF flag are computed once. A segment's F and T of a product depend on its
+(level, tdf) alone, so within a (cand_key, silver, level, tdf) group a segment ranks
+by the exact total for one (F, T) of at most 5 x 2. The top-n of every such group is
+the pool that is expanded to segments.
 """
 
 from __future__ import annotations
@@ -15,11 +15,9 @@ from pyspark.sql import functions as F
 from nestegg import constants as K
 from nestegg.functions.scoring import (age_score, is_tdf, minmax_score, parse_risk_level, risk_level_score,
                                        tdf_fit, years_active)
-from nestegg.operators.candidates import DIRECT_RANK_MAX_ROWS, EPOCH, average_rank, average_rank_direct
+from nestegg.operators.candidates import EPOCH, average_rank
 from nestegg.session import bounded_broadcast
 
-POOL_SLACK = 2
-
 
 def score_return(df: DataFrame) -> DataFrame:
     """F1-F2: min-max normalised returns and R for both modes (``score_r``, ``score_r_silver``)."""
@@ -60,19 +58,9 @@ def score_fee(df: DataFrame) -> DataFrame:
                                                  invert=True))
 
 
-def score_size(df: DataFrame, buckets: int = 128, set_rows: int | None = None,
-               max_group_rows: int | None = None) -> DataFrame:
-    """F8: 100*(avg_rank-1)/(N-1) over non-null net worth; N <= 1 -> 50; NULL -> 0.
-
-    ``max_group_rows`` is the measured size of the largest candidate set; when it is
-    at most ``DIRECT_RANK_MAX_ROWS`` a plain window ranks each set, otherwise (or when
-    unknown) the bucketed form splits hot sets. Both are exact.
-    """
-    if max_group_rows is not None and max_group_rows <= DIRECT_RANK_MAX_ROWS:
-        df = average_rank_direct(df, ["cand_key"], "total_net_worth", out="worth_rank")
-    else:
-        df = average_rank(df, ["cand_key"], "total_net_worth", buckets=buckets, out="worth_rank",
-                          key_rows=set_rows)
+def score_size(df: DataFrame, buckets: int = 128, set_rows: int | None = None) -> DataFrame:
+    """F8: 100*(avg_rank-1)/(N-1) over non-null net worth; N <= 1 -> 50; NULL -> 0."""
+    df = average_rank(df, ["cand_key"], "total_net_worth", buckets=buckets, out="worth_rank", key_rows=set_rows)
     n = F.col("n_worth")
     a = F.when(n > 1, F.coalesce(F.lit(100.0) * (F.col("worth_rank") - 1) / (n - 1), F.lit(0.0))).otherwise(F.lit(50.0))
     return df.withColumn("score_a", a).drop("worth_rank")
@@ -94,7 +82,7 @@ def variable_features(products: DataFrame, as_of: str, missing: str = "zero") ->
 
 
 def variable_components(variable: DataFrame, as_of: str, missing: str = "zero",
-                        set_rows: int | None = None, max_group_rows: int | None = None) -> DataFrame:
+                        set_rows: int | None = None) -> DataFrame:
     """All segment-free components for variable candidate rows carrying ``set_stats``.
 
     Product-level features are computed here unless already present (see
@@ -103,7 +91,7 @@ def variable_components(variable: DataFrame, as_of: str, missing: str = "zero",
     df = variable if "score_s" in variable.columns else variable_features(variable, as_of, missing)
     df = score_return(df)
     df = score_fee(df)
-    return score_size(df, set_rows=set_rows, max_group_rows=max_group_rows)
+    return score_size(df, set_rows=set_rows)
 
 
 def total_score(silver: Column, score_r: Column, score_f: Column, score_t: Column) -> Column:
@@ -125,25 +113,18 @@ def score_segments(rows: DataFrame) -> DataFrame:
 
 
 def variable_pool(components: DataFrame, top_n: int) -> DataFrame:
-    """Top (n + slack) per (cand_key, silver, level group, tdf) by the segment-free part."""
-    mapped = F.col("parsed_risk").between(1, 6)
-    modes = F.array(
-        F.struct(F.lit(False).alias("is_silver"), F.col("score_r").alias("_r")),
-        F.struct(F.lit(True).alias("is_silver"), F.col("score_r_silver").alias("_r")),
-    )
-    df = components.withColumn("_m", F.explode(modes)).withColumn("is_silver", F.col("_m.is_silver"))
-    w = K.WEIGHTS_SILVER, K.WEIGHTS_NORMAL
-    base = F.when(F.col("is_silver"), F.lit(w[0]["R"]) * F.col("_m._r")).otherwise(F.lit(w[1]["R"]) * F.col("_m._r")) \
-        + F.lit(K.WEIGHTS_NORMAL["C"]) * F.col("score_c") + F.lit(K.WEIGHTS_NORMAL["A"]) * F.col("score_a") \
-        + F.lit(K.WEIGHTS_NORMAL["S"]) * F.col("score_s")
-    df = df.withColumns({
-        "_level": F.when(mapped, F.col("parsed_risk")).otherwise(F.lit(-1)),
-        "_sk": F.when(mapped, base),
-    })
-    win = Window.partitionBy("cand_key", "is_silver", "_level", "product_tdf") \
-        .orderBy(F.col("_sk").desc_nulls_last(), "product_id")
-    return (df.withColumn("_k", F.row_number().over(win)).where(F.col("_k") <= top_n + POOL_SLACK)
-            .drop("_k", "_m", "_level", "_sk"))
+    """Rows among the top-n by exact total of their (cand_key, silver, level, tdf), for any F and T it can take."""
+    fits = F.array_distinct(F.array(*[F.struct(risk_level_score(F.lit(c), F.col("parsed_risk")).alias("score_f"),
+                                               (F.col("product_tdf") * tdf_fit(F.lit(m))).cast("double").alias("score_t"))
+                                      for c in K.RISK_LEVEL_MATRIX for m in (False, True)]))
+    df = (components.withColumn("is_silver", F.explode(F.array(F.lit(False), F.lit(True))))
+          .withColumn("_fit", F.explode(fits)))
+    score_r = F.when(F.col("is_silver"), F.col("score_r_silver")).otherwise(F.col("score_r"))
+    df = df.withColumn("_total", total_score(F.col("is_silver"), score_r, F.col("_fit.score_f"), F.col("_fit.score_t")))
+    win = Window.partitionBy("cand_key", "is_silver", "parsed_risk", "product_tdf", "_fit") \
+        .orderBy(F.col("_total").desc_nulls_last(), "product_id")
+    return (df.withColumn("_k", F.row_number().over(win)).where(F.col("_k") <= top_n)
+            .drop("_k", "_fit", "_total").dropDuplicates(["cand_key", "product_id", "is_silver"]))
 
 
 def variable_topn(components: DataFrame, segments: DataFrame, top_n: int = 3,

@@ -91,13 +91,9 @@ class Context:
     @property
     def embedded_documents(self) -> DataFrame:
         if getattr(self, "_embedded", None) is None:
-            from nestegg.operators import text as T
             from nestegg.operators.retrieve import build_vector_table
             docs = self.documents
-            # Only products recommended to someone are ever retrieved (bounded by segments x 2n);
-            # the IDF weights are still fitted on every document.
-            ids = self.chat_portfolio.select(F.explode(T.candidate_ids(T.all_items())).alias("product_id")).distinct()
-            self._embedded, self.embedder = build_vector_table(docs.join(ids, "product_id", "left_semi"), fit_on=docs)
+            self._embedded, self.embedder = build_vector_table(docs)
         return self._embedded
 
     def user_turns(self) -> DataFrame:

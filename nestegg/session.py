@@ -18,7 +18,7 @@ BROADCAST_MAX_ROWS = BROADCAST_MAX_BYTES // DEFAULT_ROW_BYTES
 
 def get_spark(app: str = "nestegg", cpus: int | str = "*", shuffle_partitions: int = 8,
               driver_memory: str = "16g") -> SparkSession:
-    """Local session for tests and the bench; on a cluster the submitter's builder wins."""
+    """Local session for tests, tools and the bench; a cluster job brings its own session."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -55,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="nestegg-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(configured)
     return configured
@@ -77,16 +79,12 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
 
 def bounded_broadcast(df: DataFrame, max_rows: int | None = None, known_rows: int | None = None,
                       row_bytes: int = DEFAULT_ROW_BYTES) -> DataFrame:
-    """Broadcast ``df`` only when its size is within the broadcast budget.
-
-    The row bound is ``max_rows`` or ``BROADCAST_MAX_BYTES // row_bytes`` (``row_bytes``
-    is the caller's estimate of one row, e.g. several KB for rows holding item arrays
-    with texts). ``known_rows`` is an upper bound proven by the caller (e.g. a table
-    derived from an already counted one); without it the check reads at most
-    ``bound + 1`` rows. Beyond the bound the frame is returned untouched and the
-    planner keeps a shuffle join (AQE may still convert it at run time from measured
-    sizes, and splits skewed partitions).
+    """Broadcast ``df`` when the caller's proven bound on its rows is within the broadcast budget.
+
+    ``known_rows`` is an upper bound proven by the caller (e.g. a table derived from an
+    already counted one), ``row_bytes`` the caller's estimate of one row. Without a bound,
+    or beyond the budget, the frame is returned untouched: the planner and AQE decide from
+    measured sizes, and split skewed partitions of a shuffle join.
     """
     limit = max_rows if max_rows is not None else max(1, BROADCAST_MAX_BYTES // row_bytes)
-    n = known_rows if known_rows is not None else df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
+    return F.broadcast(df) if known_rows is not None and known_rows <= limit else df

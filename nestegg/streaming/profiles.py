@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from nestegg import schemas
 from nestegg.operators.survey import build_profiles
 from nestegg.operators.text import intent, is_recommendation, parse_questions
-from nestegg.session import ensure_checkpoint_dir
 
 
 def survey_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
@@ -41,10 +40,9 @@ def turn_stream(turns: DataFrame) -> DataFrame:
     )
 
 
-def write_stream(df: DataFrame, path: str, name: str, fmt: str = "parquet", available_now: bool = True):
-    """Append sink with its checkpoint under the shared checkpoint folder; returns the query."""
-    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+def write_stream(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", available_now: bool = True):
+    """Append sink; ``checkpoint`` is a fixed shared folder, so that a restarted stream goes on where it was."""
     writer = (df.writeStream.format(fmt).outputMode("append")
-              .option("checkpointLocation", f"{base}/streams/{name}").option("path", path))
+              .option("checkpointLocation", checkpoint).option("path", path))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()

@@ -26,13 +26,3 @@ def test_average_rank_hot_key_with_ties(spark):
         assert len(m) == len(rows)
         both_null = m["exp"].isna() & m["r"].isna()
         assert (both_null | (m["exp"] - m["r"]).abs().lt(1e-9)).all(), buckets
-
-
-def test_direct_rank_equals_bucketed(spark):
-    from nestegg.operators.candidates import average_rank_direct
-    rng = np.random.default_rng(4)
-    rows = [(f"s{i % 7}", f"p{i}", None if i % 11 == 0 else float(rng.integers(0, 30))) for i in range(3000)]
-    df = spark.createDataFrame(rows, "cand_key string, product_id string, v double")
-    a = {(r.cand_key, r.product_id): r.r for r in average_rank(df, ["cand_key"], "v", 16, "r").collect()}
-    b = {(r.cand_key, r.product_id): r.r for r in average_rank_direct(df, ["cand_key"], "v", "r").collect()}
-    assert a == b

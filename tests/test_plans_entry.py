@@ -29,8 +29,9 @@ def test_plans_have_no_cartesian_and_use_group_limits(spark):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
     sc = context(spark, SF).scored
     from nestegg.operators import guaranteed as G
-    pool_plan = _plan(G.guaranteed_pool(sc.g_components, 3))
-    assert "WindowGroupLimit" in pool_plan
+    from nestegg.operators import variable as V
+    assert "WindowGroupLimit" in _plan(G.guaranteed_topn(sc.g_components, sc.segments, 3))
+    assert "WindowGroupLimit" in _plan(V.variable_pool(sc.v_components, 3))
 
 
 def test_python_only_in_resolution(spark):
@@ -38,7 +39,10 @@ def test_python_only_in_resolution(spark):
     for name in ["portfolio_flat", "portfolio_context", "candidates", "rag_documents", "filtered_knn"]:
         plan = _plan(QUERIES[name](spark, SF))
         assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan, name
-    assert "ArrowEvalPython" in _plan(QUERIES["operator_resolution"](spark, SF))
+    # Once a pair: the cutoff must not be pushed below the ratio.
+    initial = _plan(QUERIES["operator_resolution"](spark, SF)).split("Initial Plan")[-1]
+    assert initial.count("ArrowEvalPython [") + initial.count("ArrowEvalPython (") <= 2
+    assert "ArrowEvalPython" in initial
 
 
 def _rows(pdf):

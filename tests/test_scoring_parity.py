@@ -1,16 +1,15 @@
-"""segment/pool scoring equals a per-user pandas restatement.
+"""Segment scoring equals a per-user, product-by-product restatement in plain Python.
 
 The restatement follows the documented per-user flow: eligible products of the
 user's operators (distinct), fill or keep missing values, score every product,
 sort descending (missing last, ties by product id) and take the first n.
 """
 
+import bisect
 import datetime as dt
-import math
 import random
 import re
 
-import numpy as np
 import pandas as pd
 import pytest
 from conftest import SURVEY_DDL, survey_row
@@ -89,55 +88,80 @@ def user_candidates(pdf, ops, missing):
     return df
 
 
+def known(x):
+    return x is not None and x == x
+
+
+def ranked(scores, n):
+    """(product, score) of the n best; unknown scores last; ties by product."""
+    order = sorted(scores, key=lambda s: (not known(s[1]), -s[1] if known(s[1]) else 0.0, s[0]))
+    return [(p, s if known(s) else float("nan")) for p, s in order[:n]]
+
+
 def grnt_top(df, risk, n):
-    df = df.copy()
-    df["is_safe"] = df.product_name.apply(lambda x: any(k in x for k in K.SAFE_KEYWORDS))
-    df["is_risky"] = df.product_name.apply(lambda x: any(k in x for k in K.RISKY_KEYWORDS))
-    df["ps"] = 0
-    df.loc[df.is_safe, "ps"] = K.SAFE_FIT.get(risk, 60)
-    df.loc[df.is_risky, "ps"] = K.RISKY_FIT.get(risk, 60)
-    mx = df.interest_rate.max()
-    df["rl"] = np.nan if (not mx or math.isnan(mx)) else df.interest_rate / mx * 100
-    df["score"] = 0.7 * df.ps + 0.3 * (df.rl * K.RATE_WEIGHT.get(risk, 0.8))
-    df = df.sort_values(["score", "product_id"], ascending=[False, True], na_position="last")
-    return list(zip(df.product_id.head(n), df.score.head(n)))
+    """E1-E6 for one class: 0.7 x fit of the product's kind + 0.3 x weighted share of the best rate."""
+    rates = [x for x in df.interest_rate if known(x)]
+    best, scores = max(rates, default=0), []
+    for p in df.to_dict("records"):
+        fit = 0
+        for words, table in ((K.SAFE_KEYWORDS, K.SAFE_FIT), (K.RISKY_KEYWORDS, K.RISKY_FIT)):  # risky has the last word
+            fit = table.get(risk, 60) if any(w in p["product_name"] for w in words) else fit
+        level = p["interest_rate"] / best * 100 if best and known(p["interest_rate"]) else None
+        scores.append((p["product_id"], None if level is None else 0.7 * fit + 0.3 * (level * K.RATE_WEIGHT.get(risk, 0.8))))
+    return ranked(scores, n)
+
+
+def spans_of(rows, column):
+    values = [r[column] for r in rows if known(r[column])]
+    return (min(values), max(values)) if values else (None, None)
 
 
 def var_top(df, risk, silver, manages_self, n):
-    df = df.copy()
-    for c in ["return_1y", "return_3y", "return_5y"]:
-        lo, hi = df[c].min(), df[c].max()
-        df["n" + c] = 100 * (df[c] - lo) / (hi - lo) if hi != lo else 50.0
-
-    def r(row):
-        r1, r3, r5 = row.nreturn_1y, row.nreturn_3y, row.nreturn_5y
-        if pd.isna(r1):
-            return 0.0
-        w3, w2 = ((0.6, 0.2, 0.2), (0.75, 0.25)) if silver else ((0.2, 0.4, 0.4), (0.3, 0.7))
-        if pd.notna(r3) and pd.notna(r5):
-            return w3[0] * r1 + w3[1] * r3 + w3[2] * r5
-        if pd.notna(r3):
-            return w2[0] * r1 + w2[1] * r3
-        return 1.0 * r1
-    df["R"] = df.apply(r, axis=1) if len(df) else []
-    lvl = df.risk_level.apply(lambda v: int(m.group()) if (m := re.search(r"\d+", str(v))) else 6)
-    row = K.RISK_LEVEL_MATRIX.get(risk, K.RISK_LEVEL_MATRIX[K.NEUTRAL])
-    df["F"] = lvl.map({i + 1: v for i, v in enumerate(row)})
-    lo, hi = df.total_expense_ratio.min(), df.total_expense_ratio.max()
-    df["C"] = 100 * (1 - (df.total_expense_ratio - lo) / (hi - lo)) if hi != lo else 50.0
-    nn = df.total_net_worth.notna().sum()
-    df["A"] = (100 * (df.total_net_worth.rank(method="average") - 1) / (nn - 1)) if nn > 1 else 50.0
-    df["A"] = df["A"].fillna(0)
-    years = (pd.Timestamp(AS_OF) - pd.to_datetime(df.launch_date)).dt.days / 365.25
-    df["S"] = years.apply(lambda y: 0 if pd.isna(y) else 100 if y >= 10 else 80 if y >= 7 else 60 if y >= 5
-                          else 40 if y >= 3 else 20 if y >= 1 else 0)
-    tdf = df.apply(lambda x: 1 if (str(x.eligible_tdf).strip().upper() == "O" or "TDF" in str(x.product_name).upper())
-                   else 0, axis=1) if len(df) else []
-    df["T"] = pd.Series(tdf, index=df.index, dtype=float) * (0 if manages_self else 100)
-    w = K.WEIGHTS_SILVER if silver else K.WEIGHTS_NORMAL
-    df["total"] = (w["R"] * df["R"] + w["F"] * df["F"] + w["C"] * df["C"] + w["T"] * df["T"] + w["A"] * df["A"] + w["S"] * df["S"])
-    df = df.sort_values(["total", "product_id"], ascending=[False, True], na_position="last")
-    return list(zip(df.product_id.head(n), df.total.head(n)))
+    """F1-F12 for one segment, product by product."""
+    rows = df.to_dict("records")
+    spans = {c: spans_of(rows, c) for c in ("return_1y", "return_3y", "return_5y", "total_expense_ratio")}
+    worths = sorted(r["total_net_worth"] for r in rows if known(r["total_net_worth"]))
+    weights = K.WEIGHTS_SILVER if silver else K.WEIGHTS_NORMAL
+    full, short = ((0.6, 0.2, 0.2), (0.75, 0.25)) if silver else ((0.2, 0.4, 0.4), (0.3, 0.7))
+    matrix = K.RISK_LEVEL_MATRIX.get(risk, K.RISK_LEVEL_MATRIX[K.NEUTRAL])
+
+    def share(row, column):
+        lo, hi = spans[column]
+        if lo == hi:
+            return 50.0
+        return 100 * (row[column] - lo) / (hi - lo) if known(row[column]) else None
+
+    scores = []
+    for row in rows:
+        one, three, five = (share(row, c) for c in ("return_1y", "return_3y", "return_5y"))
+        if one is None:
+            ret = 0.0
+        elif three is None:
+            ret = one
+        else:
+            used = full if five is not None else short
+            ret = sum((w * x for w, x in list(zip(used, (one, three, five)))[1:]), used[0] * one)
+        digits = re.findall(r"\d+", str(row["risk_level"]))
+        level = int(digits[0]) if digits else 6
+        fit = matrix[level - 1] if 1 <= level <= len(matrix) else None
+        lo, hi = spans["total_expense_ratio"]
+        fee = 50.0 if lo == hi else 100 * (1 - (row["total_expense_ratio"] - lo) / (hi - lo)) if known(row["total_expense_ratio"]) else None
+        if len(worths) <= 1:
+            size = 50.0
+        elif known(row["total_net_worth"]):
+            below, upto = bisect.bisect_left(worths, row["total_net_worth"]), bisect.bisect_right(worths, row["total_net_worth"])
+            size = 100 * ((below + 1 + upto) / 2 - 1) / (len(worths) - 1)
+        else:
+            size = 0.0
+        age = 0
+        if not pd.isna(row["launch_date"]):
+            years = (pd.Timestamp(AS_OF) - pd.Timestamp(row["launch_date"])).days / 365.25
+            age = max([points for limit, points in ((1, 20), (3, 40), (5, 60), (7, 80), (10, 100)) if years >= limit], default=0)
+        target_date = str(row["eligible_tdf"]).strip().upper() == "O" or "TDF" in str(row["product_name"]).upper()
+        parts = {"R": ret, "F": fit, "C": fee, "T": 100 if target_date and not manages_self else 0, "A": size, "S": age}
+        total = None if None in parts.values() else sum((weights[k] * parts[k] for k in "FCTAS"), weights["R"] * parts["R"])
+        scores.append((row["product_id"], total))
+    return ranked(scores, n)
 
 
 @pytest.mark.parametrize("missing", ["zero", "null"])
@@ -211,3 +235,37 @@ def test_shuffle_fallback_equals_broadcast_plan(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
     assert got == base
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_topn_is_exact_under_rounding_ties(spark, seed):
+    """Totals that are equal but for rounding: the order is that of the exact doubles over all rows."""
+    from pyspark.sql import functions as F
+    from nestegg.operators.variable import score_segments, variable_topn
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(101):
+        c, a = rnd.choice([(x / 10, (900 - 15 * x / 10) / 8) for x in range(0, 600, 7)])
+        rows.append(("k", f"p{rnd.randrange(10**6):06d}-{i}", 50.0, 50.0, c, a, 0.0, rnd.choice([2, 3, 9]), rnd.randrange(2)))
+    comp = spark.createDataFrame(rows, "cand_key string, product_id string, score_r double, score_r_silver double, "
+                                       "score_c double, score_a double, score_s double, parsed_risk long, product_tdf int")
+    segs = spark.createDataFrame([("k", r, s, m) for r in [*K.RISK_LEVEL_MATRIX, "other"] for s in (True, False) for m in (True, False)],
+                                 "cand_key string, risk_preference string, is_silver boolean, manages_self boolean")
+    keys = ["risk_preference", "is_silver", "manages_self"]
+    got = {}
+    for r in variable_topn(comp, segs, 3).collect():
+        got.setdefault(tuple(r[k] for k in keys), []).append((r["rank"], r.product_id))
+    everything = {}
+    for r in score_segments(comp.join(F.broadcast(segs), "cand_key")).collect():
+        everything.setdefault(tuple(r[k] for k in keys), []).append((r.total_score, r.product_id))
+    for seg, scored in everything.items():
+        best = sorted(scored, key=lambda x: (x[0] is None, -(x[0] or 0.0), x[1]))[:3]
+        assert sorted(got[seg]) == [(i + 1, p) for i, (_, p) in enumerate(best)], seg
+
+
+def test_candidate_keys_never_collide(spark):
+    from nestegg.functions.profile import candidate_key
+    lists = [["A", "B"], ["A|B"], ["A\\", "B"], ["A\\|B"], ["B", "A", "A"]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, ops array<string>")
+    keys = {r.i: r.k for r in df.select("i", candidate_key(df.ops).alias("k")).collect()}
+    assert keys[0] == keys[4] == "A|B" and len(set(keys.values())) == 4

@@ -17,7 +17,7 @@ def test_profile_stream_equals_batch(spark):
     batch = spark.createDataFrame(rows, SURVEY_DDL)
     batch.limit(15).write.parquet(src, mode="append")
     batch.subtract(batch.limit(15)).write.parquet(src, mode="append")
-    q = write_stream(profile_stream(survey_stream(spark, src, max_files=1)), out, f"profiles-{uuid.uuid4().hex}")
+    q = write_stream(profile_stream(survey_stream(spark, src, max_files=1)), out, os.path.join(scratch, f"ckpt-{uuid.uuid4().hex}"))
     q.awaitTermination(120)
     got = {r.user_id: (r.risk_score, r.risk_preference, r.is_silver) for r in spark.read.parquet(out).collect()}
     exp = {r.user_id: (r.risk_score, r.risk_preference, r.is_silver) for r in build_profiles(batch).collect()}
@@ -30,7 +30,7 @@ def test_turn_stream(spark):
     spark.createDataFrame([(1, 0, "user", " 추천 "), (1, 1, "assistant", "질문 하나입니다\nshort\n질문 둘입니다")],
                           "conv_id long, turn long, role string, text string").write.parquet(src)
     stream = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(src)
-    q = write_stream(turn_stream(stream), out, f"turns-{uuid.uuid4().hex}")
+    q = write_stream(turn_stream(stream), out, os.path.join(scratch, f"ckpt-{uuid.uuid4().hex}"))
     q.awaitTermination(120)
     got = {r.turn: r for r in spark.read.parquet(out).collect()}
     assert got[0].intent == "recommend" and got[0].is_recommendation is True
