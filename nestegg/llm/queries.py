@@ -104,5 +104,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+_DECONTAMINATE_SQL = f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+phrases AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS phrase
+  FROM items, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0),
+docs AS (SELECT doc_id, row_number() OVER () AS row_id, coalesce({_WORDS}, []) AS w FROM documents),
+sizes AS (SELECT DISTINCT n FROM phrases),
+found AS (
+  SELECT row_id, i, n, item FROM (
+    SELECT row_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM docs, sizes, unnest(range(1, len(w) - n + 2)) AS t(i))
+  JOIN phrases USING (n, phrase)),
+hits AS (SELECT row_id, count(DISTINCT j) AS n_hit FROM found, unnest(range(i, i + n)) AS t(j) GROUP BY row_id),
+named AS (
+  SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT row_id, item FROM found WHERE item IS NOT NULL) GROUP BY row_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (row_id) LEFT JOIN named USING (row_id)
+"""
+
+
+def _url_sql() -> str:
+    fits = lambda r: f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))"
+    longest = sorted(URL_RULES, key=lambda r: -len(r.host + r.path))
+    rule = " ".join(f"WHEN {fits(r)} THEN '{r.host + r.path}'" for r in longest)
+    verdict = " ".join(f"WHEN {fits(r)} THEN '{r.verdict}'" for r in longest)
+    labels = ", ".join(f"'{x}'" for x in LISTED_LABELS)
+    return f"""
+WITH rests AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM rests),
+parts AS (SELECT page_id, {_LOWER.format('raw')} AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM hosts)
+SELECT page_id, host, path, CASE {rule} END AS rule,
+  CASE {verdict} WHEN list_has_any(string_split(host, '.'), [{labels}]) THEN 'block' ELSE 'allow' END AS verdict
+FROM parts
+"""
+
+
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": _DECONTAMINATE_SQL, "op5_url_filter": _url_sql()}
