@@ -27,7 +27,7 @@ from nestegg.llm.common import shuffle_partitions, stage
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 32
 SHARD_SLOTS = 8192
-BUCKET_DOCS = 16384  # documents of one source that one window task orders
+BUCKET_DOCS = 1024  # documents of one source that one window task orders
 SLOT_CHUNK = 16384  # slots that one row of the recipe is expanded to at a time
 ROUNDS = 20
 
