@@ -58,7 +58,7 @@ def statistics(text: bytes | None) -> tuple[float, ...]:
     spread = (((lengths - mean) ** 2).sum() * bool(n) + 8.0 * WORDS) / (n + WORDS)
     return (
         float(np.log1p(n)), float(np.log(mean)), float(np.log(spread)),
-        chars(count(UPPER), 0.03), log_share(count(DIGITS), size, 0.01, 10 * CHARS), chars(count(SYMBOLS), 0.005), chars(count(MARKS), 0.03), chars(count(LETTERS), 0.8),
+        chars(count(UPPER), 0.03), chars(count(DIGITS), 0.01), chars(count(SYMBOLS), 0.005), chars(count(MARKS), 0.03), chars(count(LETTERS), 0.8),
         float(np.log((distinct + WORDS) / (n + WORDS))) + 0.15 * float(np.log1p(n / WORDS)), per_word(again, 0.01),
         float(np.log1p(len(lines))), float(np.log((len(set(lines)) + 2) / (len(lines) + 2))), float(np.log1p(n / max(1, len(lines)))),
         per_word(min(n, text.count(b". ") + text.count(b".\n") + text.endswith(b".")), 0.08),
