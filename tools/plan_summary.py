@@ -1,4 +1,4 @@
-"""Summarise the physical plan of every registered query (after execution, so AQE decisions are final).
+"""Summarise the physical plan of every registered query (the initial adaptive plans: what runs may differ where AQE re-plans).
 
 usage: python tools/plan_summary.py [sf_dir] [out.md]
 """
@@ -25,7 +25,7 @@ def main():
         sys.stdout = open(sys.argv[2], "w", encoding="utf-8")
     spark = get_spark("nestegg-plans")
     print("# Physical plans of the registered queries\n")
-    print(f"Generated by `python tools/plan_summary.py {sf_dir}` after running each query (final AQE plans).")
+    print(f"Generated by `python tools/plan_summary.py {sf_dir}` (initial adaptive plans; AQE may re-plan at run time).")
     print("Scans of `nestegg-tables/...` are the materialised Parquet tables under `spark.checkpoint.dir`.\n")
     print("| query | " + " | ".join(n.replace("Exchange ", "X ") for n in NODES) + " |")
     print("|" + " --- |" * (len(NODES) + 1))
