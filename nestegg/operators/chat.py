@@ -2,18 +2,18 @@
 
 Per turn: the user's portfolio (top-n, n = 5 in chat), the filtered retrieval
 over the portfolio's products, the context layout by intent, and the rendered
-messages. The corpus is cut to the products that appear in some segment's
-top-n before the id join, which bounds it by segments x 2n.
+messages. Retrieval is an equi-join of each query's candidate ids (at most 2n) with the documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nestegg import constants as K
 from nestegg.operators import retrieve as R
 from nestegg.operators import text as T
+from nestegg.operators.portfolio import SEGMENT_KEYS
 from nestegg.session import bounded_broadcast
 
 
@@ -22,11 +22,11 @@ def _chatting(portfolio: DataFrame, turns: DataFrame) -> DataFrame:
     return portfolio.join(turns.select("user_id").distinct(), "user_id", "left_semi")
 
 
-def portfolio_texts(portfolio: DataFrame) -> DataFrame:
+def portfolio_texts(portfolio: DataFrame, more: list[str] | None = None) -> DataFrame:
     """Per user: portfolio context, reason block, candidate ids and names of all recommended items."""
     items = T.all_items()
     return portfolio.select(
-        "user_id", "age", "period", "risk_preference",
+        "user_id", "age", "period", "risk_preference", *(more or []),
         T.portfolio_context(portfolio).alias("portfolio_ctx"),
         T.reason_block(items).alias("reason_text"),
         T.candidate_ids(items).alias("cand_ids"),
@@ -43,38 +43,59 @@ def recommended_corpus(portfolio: DataFrame, docs: DataFrame, max_rows: int | No
     return bounded_broadcast(corpus, max_rows, row_bytes=4096)
 
 
+def _with_vectors(df: DataFrame, embedder) -> DataFrame:
+    """``df`` with ``qvec``: by a function of the frame (precomputed vectors), else by a fitted embedder over ``query``."""
+    return embedder(df) if callable(embedder) else R.embed(df, embedder, text_col="query", out="qvec")
+
+
+def _corpus(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("product_id").alias("doc_id"), "embedding", "page_content")
+
+
+def _outcome(known: Column) -> Column:
+    return F.when(known, "answered").otherwise("no_profile")
+
+
 def chat_prompts(turns: DataFrame, portfolio: DataFrame, docs: DataFrame, embedder, k: int = 3) -> DataFrame:
-    """(conv_id, turn, user_id, query) -> rendered [system, human] messages per turn."""
-    pt = portfolio_texts(_chatting(portfolio, turns))
-    q = R.embed(turns.join(pt, "user_id"), embedder, text_col="query", out="qvec")
-    corpus = recommended_corpus(portfolio, docs).select(
-        F.col("product_id").alias("doc_id"), "embedding", "page_content")
-    hits = R.filtered_knn(q.select("conv_id", "turn", "qvec", "cand_ids"), corpus, k, ["conv_id", "turn"])
+    """(conv_id, turn, user_id, query) -> rendered [system, human] messages per turn.
+
+    A turn of a user without a profile keeps its row: outcome ``no_profile``, NULL messages.
+    """
+    pt = portfolio_texts(_chatting(portfolio, turns)).withColumn("known", F.lit(True))
+    ids = _with_vectors(turns, embedder).join(pt.select("user_id", "cand_ids"), "user_id")
+    hits = R.filtered_knn(ids.select("conv_id", "turn", "qvec", "cand_ids"), _corpus(docs), k, ["conv_id", "turn"])
     rag = R.joined_texts(hits, ["conv_id", "turn"], "page_content", "\n\n", "rag_text")
-    out = q.drop("qvec").join(rag, ["conv_id", "turn"], "left").withColumn(
-        "rag_text", F.coalesce(F.col("rag_text"), F.lit("")))
-    ctx = T.final_context(F.col("query"), F.col("portfolio_ctx"), F.col("reason_text"), F.col("rag_text"))
-    return out.select("conv_id", "turn", "user_id", "query",
-                      T.chat_messages(F.col("age"), F.col("risk_preference"), F.col("period"), F.col("query"),
-                                      ctx).alias("messages"))
+    out = turns.select("conv_id", "turn", "user_id", "query").join(pt, "user_id", "left").join(rag, ["conv_id", "turn"], "left")
+    known = F.coalesce("known", F.lit(False))
+    ctx = T.final_context(F.col("query"), F.col("portfolio_ctx"), F.col("reason_text"), F.coalesce("rag_text", F.lit("")))
+    messages = T.chat_messages(F.col("age"), F.col("risk_preference"), F.col("period"), F.col("query"), ctx)
+    return out.select("conv_id", "turn", "user_id", "query", _outcome(known).alias("outcome"),
+                      F.when(known, messages).alias("messages"))
 
 
 def question_prompts(portfolio: DataFrame, docs: DataFrame, embedder, k: int = 3) -> DataFrame:
-    """Per user, the follow-up-question prompt (fixed query, product names, retrieved texts)."""
-    pt = portfolio_texts(portfolio).withColumn("query", F.lit(K.FOLLOWUP_QUERY))
-    q = R.embed(pt, embedder, text_col="query", out="qvec")
-    corpus = recommended_corpus(portfolio, docs).select(
-        F.col("product_id").alias("doc_id"), "embedding", "page_content")
-    hits = R.filtered_knn(q.select("user_id", "qvec", "cand_ids"), corpus, k, ["user_id"])
-    rag = R.joined_texts(hits, ["user_id"], "page_content", "\n", "rag_text")
-    out = q.join(rag, "user_id", "left").withColumn("rag_text", F.coalesce(F.col("rag_text"), F.lit("")))
-    return out.select("user_id", T.question_prompt(F.col("user_json"), F.col("product_text"),
-                                                   F.col("rag_text")).alias("prompt"))
+    """Per user, the follow-up-question prompt (fixed query, product names, retrieved texts).
+
+    The query is fixed and the candidates depend on the segment alone, so texts are retrieved
+    once a segment; users only join the result.
+    """
+    segments = (portfolio.where(F.col("cand_key").isNotNull()).groupBy(*SEGMENT_KEYS)
+                .agg(F.min(T.candidate_ids(T.all_items())).alias("cand_ids")).withColumn("query", F.lit(K.FOLLOWUP_QUERY)))
+    hits = R.filtered_knn(_with_vectors(segments, embedder).select(*SEGMENT_KEYS, "qvec", "cand_ids"), _corpus(docs), k, SEGMENT_KEYS)
+    rag = R.joined_texts(hits, SEGMENT_KEYS, "page_content", "\n", "rag_text")
+    texts = portfolio_texts(portfolio, ["is_silver", "manages_self", "cand_key"]).join(rag, SEGMENT_KEYS, "left")
+    return texts.select("user_id", T.question_prompt(F.col("user_json"), F.col("product_text"),
+                                                     F.coalesce("rag_text", F.lit(""))).alias("prompt"))
 
 
 def advice_prompts(turns: DataFrame, portfolio: DataFrame) -> DataFrame:
-    """(conv_id, turn, user_id, query) -> advice prompt over the user's portfolio context."""
+    """(conv_id, turn, user_id, query) -> advice prompt over the user's portfolio context.
+
+    A turn of a user without a profile keeps its row: outcome ``no_profile``, NULL prompt.
+    """
     chatting = _chatting(portfolio, turns)
     pt = chatting.select("user_id", T.portfolio_context(chatting).alias("portfolio_ctx"))
-    return turns.join(pt, "user_id").select(
-        "conv_id", "turn", "user_id", T.advice_prompt(F.col("portfolio_ctx"), F.col("query")).alias("prompt"))
+    known = F.col("portfolio_ctx").isNotNull()
+    return turns.join(pt, "user_id", "left").select(
+        "conv_id", "turn", "user_id", _outcome(known).alias("outcome"),
+        F.when(known, T.advice_prompt(F.col("portfolio_ctx"), F.col("query"))).alias("prompt"))

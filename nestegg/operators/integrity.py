@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from nestegg import schemas
 
-_COLS = ["table_name", "rule", "column_name", "key"]
-
-
 def _key(cols: list[str]):
     return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in cols])
 
@@ -49,21 +46,33 @@ def violations(catalog: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _counted(table: str, df: DataFrame, catalog: dict[str, DataFrame]) -> DataFrame:
+    """Violation counts of one table: all row rules and foreign keys in one pass, the primary key in another.
+
+    A foreign key is a left join with the parent's distinct keys, which never multiplies rows.
+    """
+    rules = [("not_null", c, F.col(c).isNull()) for c in schemas.NOT_NULL.get(table, [])]
+    rules += [("domain", c, F.col(c).isNotNull() & ~F.col(c).isin(allowed))
+              for c, allowed in schemas.DOMAINS.get(table, {}).items()]
+    joined = df
+    for nth, (col, parent, pcol) in enumerate(schemas.FOREIGN_KEYS.get(table, [])):
+        if parent in catalog:
+            key = f"_parent{nth}"
+            keys = catalog[parent].select(F.col(pcol).alias(key)).where(F.col(key).isNotNull()).distinct()
+            joined = joined.join(keys, F.col(col) == F.col(key), "left")
+            rules.append(("foreign_key", f"{col}->{parent}.{pcol}", F.col(col).isNotNull() & F.col(key).isNull()))
+    row = lambda rule, column, count: F.struct(
+        F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), F.lit(column).alias("column_name"),
+        F.coalesce(F.col(count), F.lit(0)).cast("long").alias("violations"))
+    counts = joined.agg(*[F.count_if(cond).alias(f"_n{i}") for i, (_, _, cond) in enumerate(rules)])
+    out = counts.select(F.inline(F.array(*[row(rule, c, f"_n{i}") for i, (rule, c, _) in enumerate(rules)])))
+    pk = schemas.PRIMARY_KEYS.get(table)
+    if not pk:
+        return out
+    repeated = df.groupBy(*pk).count().agg(F.count_if(F.col("count") > 1).alias("_n"))
+    return out.unionByName(repeated.select(F.inline(F.array(row("primary_key", ",".join(pk), "_n")))))
+
+
 def integrity_report(catalog: dict[str, DataFrame]) -> DataFrame:
     """Violation count per (table, rule, column), zero rows included for every check run."""
-    spark = next(iter(catalog.values())).sparkSession
-    checks = []
-    for table in catalog:
-        pk = schemas.PRIMARY_KEYS.get(table)
-        if pk:
-            checks.append((table, "primary_key", ",".join(pk)))
-        checks += [(table, "not_null", c) for c in schemas.NOT_NULL.get(table, [])]
-        checks += [(table, "domain", c) for c in schemas.DOMAINS.get(table, {})]
-        checks += [(table, "foreign_key", f"{c}->{p}.{pc}")
-                   for c, p, pc in schemas.FOREIGN_KEYS.get(table, []) if p in catalog]
-    all_checks = spark.createDataFrame(checks, "table_name string, rule string, column_name string")
-    counts = violations(catalog).groupBy("table_name", "rule", "column_name").agg(
-        F.count(F.lit(1)).alias("violations"))
-    return (all_checks.join(counts, ["table_name", "rule", "column_name"], "left")
-            .select("table_name", "rule", "column_name",
-                    F.coalesce(F.col("violations"), F.lit(0)).cast("long").alias("violations")))
+    return reduce(DataFrame.unionByName, [_counted(t, df, catalog) for t, df in catalog.items()])

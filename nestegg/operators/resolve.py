@@ -51,15 +51,14 @@ def dimension_bounds(names: DataFrame) -> tuple[int, int]:
     return int(row["n"]), int(row["m"])
 
 
-def fuzzy_matches(typed: DataFrame, names: DataFrame, n: int = K.FUZZY_TOP,
-                  cutoff: float = K.FUZZY_CUTOFF, bounds: tuple[int, int] | None = None) -> DataFrame:
-    """Top-``n`` names per distinct typed text with ratio >= ``cutoff``.
+def fuzzy_pairs(typed: DataFrame, names: DataFrame, cutoff: float = K.FUZZY_CUTOFF,
+                bounds: tuple[int, int] | None = None) -> DataFrame:
+    """(typed, name, common): the pairs whose ratio can reach ``cutoff``.
 
     Pairs are generated by an equi-join on shared characters (a pair with no common
-    character has ratio 0), pruned by the length bound and the multiset bound
-    ``2*common/(la+lb)`` (both upper bounds of the ratio), then scored exactly.
-    Returns (typed, name, ratio, rank). ``bounds`` = :func:`dimension_bounds` when known;
-    the (name, character) table has at most names x longest name rows.
+    character has ratio 0) and pruned by the length bound and the multiset bound
+    ``2*common/(la+lb)``, both upper bounds of the ratio. ``bounds`` = :func:`dimension_bounds`
+    when known; the (name, character) table has at most names x longest name rows.
     """
     t = typed.select(F.col("typed")).distinct()
     nm = names.select(F.col("operator_name").alias("name")).distinct()
@@ -69,9 +68,18 @@ def fuzzy_matches(typed: DataFrame, names: DataFrame, n: int = K.FUZZY_TOP,
     common = (tc.join(nc.withColumnRenamed("n", "m"), "ch")
               .groupBy("typed", "name").agg(F.sum(F.least("n", "m")).alias("common")))
     la, lb = F.length("name"), F.length("typed")
-    pairs = (common
-             .where(F.lit(2.0) * F.least(la, lb) / (la + lb) >= cutoff)
-             .where(F.lit(2.0) * F.col("common") / (la + lb) >= cutoff)
+    return (common
+            .where(F.lit(2.0) * F.least(la, lb) / (la + lb) >= cutoff)
+            .where(F.lit(2.0) * F.col("common") / (la + lb) >= cutoff))
+
+
+def fuzzy_matches(typed: DataFrame, names: DataFrame, n: int = K.FUZZY_TOP,
+                  cutoff: float = K.FUZZY_CUTOFF, bounds: tuple[int, int] | None = None) -> DataFrame:
+    """Top-``n`` names per distinct typed text with ratio >= ``cutoff``: (typed, name, ratio, rank).
+
+    Only the pruned pairs (:func:`fuzzy_pairs`) are scored with the exact ratio.
+    """
+    pairs = (fuzzy_pairs(typed, names, cutoff, bounds)
              .withColumn("ratio", _ratio(F.col("name"), F.col("typed")))
              .where(F.col("ratio") >= cutoff))
     w = Window.partitionBy("typed").orderBy(F.col("ratio").desc(), F.col("name").desc())

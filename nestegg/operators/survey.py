@@ -64,11 +64,15 @@ def survey_options(spark: SparkSession) -> DataFrame:
 
 
 def answer_texts(answers: DataFrame, options: DataFrame) -> DataFrame:
-    """Radio answers as (user_id, step_key, option_code, option_text, label) rows."""
-    keys = RADIO_KEYS
+    """Radio answers as (user_id, step_key, option_code, option_text, label) rows.
+
+    ``direct_manage`` is stored as a boolean: its option is 1 (true) or 2 (false).
+    """
+    keys = [k for k in [*RADIO_KEYS, "direct_manage"] if k in answers.columns]
+    code = lambda k: F.when(F.col(k), 1).when(~F.col(k), 2) if k == "direct_manage" else F.col(k).cast("int")
     long = answers.select(
         "user_id",
-        F.explode(F.array(*[F.struct(F.lit(k).alias("step_key"), F.col(k).cast("int").alias("option_code"))
+        F.explode(F.array(*[F.struct(F.lit(k).alias("step_key"), code(k).alias("option_code"))
                             for k in keys])).alias("a"),
     ).select("user_id", "a.*")
     return long.join(F.broadcast(options), ["step_key", "option_code"], "left")

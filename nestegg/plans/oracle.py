@@ -10,10 +10,11 @@ cast to DOUBLE so that DuckDB does the same IEEE arithmetic as the Spark side
 from __future__ import annotations
 
 from nestegg import constants as K
-from nestegg.sources.fixtures import oracle_ctes
+from nestegg.sources.fixtures import DIRTY_NAMES, INTEGRITY_NAMES, oracle_ctes
 
 AS_OF = "2026-01-01"
 TOP_N = 3
+CHAT_TOP_N = 5
 
 
 def _q(s: str) -> str:
@@ -95,6 +96,14 @@ cands AS (
   FROM cands0
 )"""
 
+# Missing values kept: the same rows without the fill.
+CANDIDATES_NULL = CANDIDATES[: CANDIDATES.index("cands AS (")] + """cands AS (
+  SELECT * REPLACE (CAST(maturity AS DOUBLE) AS maturity, CAST(interest_rate AS DOUBLE) AS interest_rate,
+    CAST(total_net_worth AS DOUBLE) AS total_net_worth, CAST(total_expense_ratio AS DOUBLE) AS total_expense_ratio,
+    CAST(return_1y AS DOUBLE) AS return_1y, CAST(return_3y AS DOUBLE) AS return_3y, CAST(return_5y AS DOUBLE) AS return_5y)
+  FROM cands0
+)"""
+
 _SAFE = _like_any("product_name", K.SAFE_KEYWORDS)
 _RISKY = _like_any("product_name", K.RISKY_KEYWORDS)
 
@@ -284,6 +293,26 @@ FROM vtop"""
 SELECT cand_key, risk_preference, is_silver, manages_self, CAST(rank AS INTEGER) AS rank, product_id, reasons
 FROM vreason"""
 
+    null_variable = VARIABLE.replace("coalesce(launch_date, DATE '1970-01-01')", "launch_date")
+    nulls = _with(_CATALOG_FX, PROFILE, CANDIDATES_NULL, GUARANTEED, null_variable)
+    q["null_return_score"] = nulls + """
+SELECT cand_key, product_id, round(norm_1y, 6) AS norm_1y, round(norm_3y, 6) AS norm_3y, round(norm_5y, 6) AS norm_5y,
+       round(score_r, 6) AS score_r, round(score_r_silver, 6) AS score_r_silver
+FROM vcomp"""
+    q["null_size_age_score"] = nulls + """
+SELECT cand_key, product_id, total_net_worth, round(score_a, 6) AS score_a, round(years_active, 6) AS years_active, score_s FROM vcomp"""
+    q["null_total_topn"] = nulls + """
+SELECT cand_key, risk_preference, is_silver, manages_self, CAST(rank AS INTEGER) AS rank, product_id,
+       round(total_score, 6) AS total_score
+FROM vtop"""
+    q["null_guaranteed_topn"] = nulls + """
+SELECT cand_key, risk_preference, CAST(rank AS INTEGER) AS rank, product_id, round(score, 6) AS score FROM gtop"""
+
+    q["latest_portfolio"] = _with(["fx_survey"], PROFILE) + """
+SELECT user_id, max(turn) AS turn, any_value(risk_preference) AS risk_preference,
+       CAST(any_value(coalesce(investment_amount, 0)) + max(turn) AS BIGINT) AS amount
+FROM prof JOIN conversations c ON c.conv_id = user_id WHERE role = 'user' GROUP BY user_id"""
+
     silver = _q(K.VR_SILVER)
     q["portfolio_flat"] = _with(_CATALOG_FX, PROFILE, CANDIDATES, GUARANTEED, VARIABLE) + f"""
 SELECT p.user_id, 'guaranteed' AS half, CAST(g.rank AS INTEGER) AS rank, g.product_id, g.product_name,
@@ -337,21 +366,19 @@ FROM (SELECT user_id, {nxt} AS next_step FROM fx_survey_partial) t"""
         "SELECT user_id, " + ", ".join(cols) + " FROM fx_raw_answers GROUP BY user_id")
 
     radio = [k for k, _, kind in K.SURVEY_STEPS if kind == "radio" and k != "direct_manage"]
-    unp = " UNION ALL ".join(f"SELECT user_id, {_q(k)} AS step_key, CAST({k} AS INTEGER) AS option_code FROM fx_survey"
-                             for k in radio)
-    opts = ", ".join(f"({_q(k)}, {int(o[0])}, {_q(o)})" for k, (_, os_) in K.SURVEY_QUESTIONS.items() for o in os_)
+    unp = " UNION ALL ".join([f"SELECT user_id, {_q(k)} AS step_key, CAST({k} AS INTEGER) AS option_code FROM fx_survey"
+                              for k in radio]
+                             + ["SELECT user_id, 'direct_manage', CASE direct_manage WHEN true THEN 1 WHEN false THEN 2 END FROM fx_survey"])
+    opts = ", ".join(f"({_q(k)}, {int(o[0])}, {_q(o)}, {_q(lbl)})" for k, (lbl, os_) in K.SURVEY_QUESTIONS.items() for o in os_)
     q["survey_answer_text"] = _with(["fx_survey"]) + f"""
-SELECT a.user_id, a.step_key, a.option_code, o.option_text
-FROM ({unp}) a LEFT JOIN (VALUES {opts}) AS o(step_key, option_code, option_text)
+SELECT a.user_id, a.step_key, a.option_code, o.option_text, o.label
+FROM ({unp}) a LEFT JOIN (VALUES {opts}) AS o(step_key, option_code, option_text, label)
   ON a.step_key = o.step_key AND a.option_code = o.option_code"""
     return q
 
 
-def _integrity_sql() -> str:
+def _integrity_sql(tables: dict[str, str]) -> str:
     from nestegg import schemas
-    tables = {"operator_info": "fx_operator_info", "product_info": "fx_product_info",
-              "product_fixed": "fx_product_fixed", "product_variable": "fx_product_variable",
-              "product_mapping": "fx_product_mapping"}
     parts = []
     for t, fx in tables.items():
         pk = schemas.PRIMARY_KEYS[t]
@@ -378,11 +405,28 @@ def _integrity_sql() -> str:
 _STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 
+def _resolver_sql() -> dict[str, str]:
+    base = _with(["fx_operator_typed_info", "fx_operator_info"]) + f", texts AS (SELECT user_id, {_STRIP.format(x='typed')} AS typed FROM fx_operator_typed_info)"
+    return {
+        "operator_exact": base + """
+SELECT user_id, typed, CASE WHEN typed = '' THEN 'blank' WHEN o.operator_name IS NOT NULL THEN 'exact' ELSE 'fuzzy' END AS outcome,
+       o.operator_name AS matched
+FROM texts LEFT JOIN (SELECT DISTINCT operator_name FROM fx_operator_info) o ON typed = o.operator_name""",
+        "operator_fuzzy_pairs": base + f""",
+tc AS (SELECT typed, ch, count(*) AS n FROM (SELECT typed, unnest(string_split(typed, '')) AS ch FROM (SELECT DISTINCT typed FROM texts WHERE typed <> '')) GROUP BY ALL),
+nc AS (SELECT name, ch, count(*) AS m FROM (SELECT name, unnest(string_split(name, '')) AS ch FROM (SELECT DISTINCT operator_name AS name FROM fx_operator_info)) GROUP BY ALL),
+common AS (SELECT typed, name, CAST(sum(least(n, m)) AS BIGINT) AS common FROM tc JOIN nc USING (ch) GROUP BY typed, name)
+SELECT typed, name, common FROM common
+WHERE 2.0 * least(length(typed), length(name)) / (length(typed) + length(name)) >= {K.FUZZY_CUTOFF}
+  AND 2.0 * common / (length(typed) + length(name)) >= {K.FUZZY_CUTOFF}""",
+    }
+
+
 def _text_sql() -> dict[str, str]:
     q = {}
     docs_fx = ["fx_product_info", "fx_product_fixed", "fx_product_variable", "fx_product_mapping"]
     dec = lambda c, s: f"CAST(CAST(coalesce(CAST({c} AS DOUBLE), 0.0) AS DECIMAL(18,{s})) AS VARCHAR)"
-    q["rag_documents"] = _with(docs_fx) + f"""
+    documents = f"""
 SELECT product_id, category, {_STRIP.format(x='content')} AS page_content FROM (
   SELECT i.id AS product_id, i.category,
     printf({_q(K.DOC_HEADER)}, i.product_name, coalesce(i.product_type, '0'),
@@ -400,6 +444,7 @@ SELECT product_id, category, {_STRIP.format(x='content')} AS page_content FROM (
        END AS content
   FROM fx_product_info i LEFT JOIN fx_product_fixed f ON i.id = f.id LEFT JOIN fx_product_variable v ON i.id = v.id
   WHERE i.category IN ('GUARANTEED', 'NON_GUARANTEED')) d"""
+    q["rag_documents"] = _with(docs_fx) + documents
 
     silver = _q(K.VR_SILVER)
     items = f"""
@@ -440,12 +485,50 @@ pctx AS (
               FROM items i WHERE i.user_id = p.user_id), '') AS comparison_context
   FROM prof p
 )"""
-    base = _with(_CATALOG_FX, PROFILE, CANDIDATES, GUARANTEED, VARIABLE, items)
+    chat = _with([*_CATALOG_FX, "fx_turns", "fx_document_vectors"], PROFILE, CANDIDATES,
+                 GUARANTEED.replace(f"rank <= {TOP_N}", f"rank <= {CHAT_TOP_N}"),
+                 VARIABLE.replace(f"rank <= {TOP_N}", f"rank <= {CHAT_TOP_N}"), items, f"documents_text AS ({documents})")
+    nearest = lambda keys, sep: f"""\
+dist AS (
+  SELECT {keys}, w.product_id,
+    list_reduce(list_transform(list_zip(a.embedding, e.embedding),
+        lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))),
+      lambda x, y: x + y, CAST(0.0 AS DOUBLE)) AS distance
+  FROM wanted w JOIN embeddings a ON a.vec_id = w.vec_id JOIN fx_document_vectors v ON v.product_id = w.product_id
+    JOIN embeddings e ON e.vec_id = v.vec_id
+),
+hits AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY distance, product_id) AS nth FROM dist),
+rag AS (SELECT {keys}, string_agg(page_content, {sep} ORDER BY nth) AS rag_text FROM hits JOIN documents_text USING (product_id)
+        WHERE nth <= 3 GROUP BY {keys})"""
+    requests = ", ".join(_q(r) for r in K.RECOMMEND_REQUESTS)
+    is_request = f"{_STRIP.format(x='t.query')} IN ({requests})"
+    q["chat_prompts_vectors"] = chat + f""",
+wanted AS (SELECT DISTINCT t.conv_id, t.turn, t.vec_id, i.product_id FROM fx_turns t JOIN items i USING (user_id)),
+{nearest('conv_id, turn', 'chr(10) || chr(10)')}
+SELECT t.conv_id, t.turn, t.user_id, CASE WHEN p.user_id IS NULL THEN 'no_profile' ELSE 'answered' END AS outcome,
+  CASE WHEN p.user_id IS NOT NULL THEN {_q(K.CHAT_SYSTEM)} END AS system_prompt,
+  CASE WHEN p.user_id IS NOT NULL THEN printf({_q(K.CHAT_HUMAN)}, CAST(p.age AS VARCHAR), p.risk_preference, CAST(p.period AS VARCHAR), t.query,
+    CASE WHEN {is_request} THEN printf({_q(K.CONTEXT_RECOMMEND)}, x.context, coalesce(r.rag_text, ''))
+         ELSE printf({_q(K.CONTEXT_QUESTION)}, x.context, x.reason_text, coalesce(r.rag_text, '')) END) END AS human_prompt
+FROM fx_turns t LEFT JOIN prof p ON p.user_id = t.user_id LEFT JOIN pctx x ON x.user_id = t.user_id
+  LEFT JOIN rag r ON r.conv_id = t.conv_id AND r.turn = t.turn"""
+    q["question_prompts_vectors"] = chat + f""",
+wanted AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS vec_id, product_id FROM items),
+{nearest('user_id', 'chr(10)')}
+SELECT p.user_id, printf({_q(K.QUESTION_PROMPT)},
+    CAST(to_json({{'user_id': p.user_id, 'age': p.age, 'period': p.period, 'risk_preference': p.risk_preference,
+             'summary': {{'risk_preference': p.risk_preference, 'total_amt': CAST(coalesce(p.investment_amount, 0) AS BIGINT),
+                         'grnt_ratio': p.grnt_ratio, 'ungrnt_ratio': CAST(1.0 AS DOUBLE) - p.grnt_ratio}}}}) AS VARCHAR),
+    coalesce((SELECT string_agg(i.product_name, chr(10) ORDER BY i.half, i.rank) FROM items i WHERE i.user_id = p.user_id), ''),
+    coalesce(r.rag_text, '')) AS prompt
+FROM prof p LEFT JOIN rag r ON r.user_id = p.user_id"""
+    base = _with([*_CATALOG_FX, "fx_turns"], PROFILE, CANDIDATES, GUARANTEED, VARIABLE, items)
     q["portfolio_context"] = base + """
 SELECT user_id, context, reason_text, candidate_ids, list_context, comparison_context FROM pctx"""
     q["advice_prompts"] = base + f"""
-SELECT c.conv_id, c.turn, c.conv_id AS user_id, printf({_q(K.ADVICE_PROMPT)}, x.context, c.text) AS prompt
-FROM conversations c JOIN pctx x ON x.user_id = c.conv_id WHERE c.role = 'user'"""
+SELECT t.conv_id, t.turn, t.user_id, CASE WHEN x.user_id IS NULL THEN 'no_profile' ELSE 'answered' END AS outcome,
+       CASE WHEN x.user_id IS NOT NULL THEN printf({_q(K.ADVICE_PROMPT)}, x.context, t.query) END AS prompt
+FROM fx_turns t LEFT JOIN pctx x ON x.user_id = t.user_id"""
 
     words = " OR ".join(f"coalesce(contains(text, {_q(w)}), false)" for w in K.COMPARE_WORDS)
     reqs = ", ".join(_q(r) for r in K.RECOMMEND_REQUESTS)
@@ -454,6 +537,19 @@ SELECT conv_id, turn, CASE WHEN {words} THEN 'compare' ELSE 'recommend' END AS i
        coalesce({_STRIP.format(x='text')} IN ({reqs}), false) AS is_recommendation
 FROM conversations WHERE role = 'user'"""
 
+    planted = " OR ".join(f"contains(t.query, {_q(w)})" for w in K.COMPARE_WORDS)
+    q["turn_intent"] = _with(["fx_turns"]) + f"""
+SELECT conv_id, turn, CASE WHEN {planted} THEN 'compare' ELSE 'recommend' END AS intent, {is_request} AS is_recommendation
+FROM fx_turns t"""
+
+    q["appended_turns"] = """
+SELECT conv_id, turn, role, text FROM conversations
+UNION ALL
+SELECT c.conv_id, l.last + n.seq + 1 AS turn, n.role, c.text
+FROM conversations c JOIN (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id) l USING (conv_id),
+     (VALUES (0, 'user'), (1, 'assistant')) AS n(seq, role)
+WHERE c.turn = 0"""
+
     q["filtered_knn"] = f"""
 WITH q AS (
   SELECT vec_id AS query_id, embedding AS qvec, unnest(range(vec_id + 1, vec_id + {2 * 5 + 1})) AS doc_id
@@ -497,6 +593,8 @@ def oracle_sql() -> dict[str, str]:
     """All oracle statements, keyed like the registered queries."""
     q = _scoring_sql()
     q.update(_survey_sql())
-    q["catalog_integrity"] = _integrity_sql()
+    q["catalog_integrity"] = _integrity_sql(INTEGRITY_NAMES)
+    q["catalog_violations"] = _integrity_sql(DIRTY_NAMES)
+    q.update(_resolver_sql())
     q.update(_text_sql())
     return q

@@ -43,6 +43,33 @@ class Context:
         from nestegg.sources.fixtures import CATALOG_NAMES
         return {k: self.fx(v) for k, v in CATALOG_NAMES.items()}
 
+    @property
+    def integrity_tables(self) -> dict[str, DataFrame]:
+        from nestegg.sources.fixtures import INTEGRITY_NAMES
+        return {k: self.fx(v) for k, v in INTEGRITY_NAMES.items()}
+
+    @property
+    def dirty_tables(self) -> dict[str, DataFrame]:
+        """The catalog with planted violations."""
+        from nestegg.sources.fixtures import DIRTY_NAMES
+        return {k: self.fx(v) for k, v in DIRTY_NAMES.items()}
+
+    @property
+    def scored_nulls(self) -> Scored:
+        """Top-n under the policy that keeps missing values."""
+        if getattr(self, "_scored_nulls", None) is None:
+            self._scored_nulls = Scored(self.profiles, self.catalog, AS_OF, top_n=TOP_N, missing="null")
+        return self._scored_nulls
+
+    @property
+    def vector_documents(self) -> DataFrame:
+        """Documents with precomputed vectors (rows of the embeddings)."""
+        return self.documents.join(self.fx("fx_document_vectors"), "product_id").join(self.embeddings("embedding"), "vec_id")
+
+    def embeddings(self, name: str) -> DataFrame:
+        from nestegg.sources.tables import read_table
+        return read_table(self.spark, self.sf_dir, "embeddings").select("vec_id", F.col("embedding").alias(name))
+
     @property
     def profiles(self) -> DataFrame:
         if getattr(self, "_profiles", None) is None:
@@ -135,7 +162,7 @@ def q_normalize_answers(spark, sf_dir):
 def q_survey_answer_text(spark, sf_dir):
     ctx = context(spark, sf_dir)
     return answer_texts(ctx.fx("fx_survey"), survey_options(spark)).select(
-        "user_id", "step_key", "option_code", "option_text")
+        "user_id", "step_key", "option_code", "option_text", "label")
 
 
 # ---- D: candidates ---------------------------------------------------------------------
@@ -225,6 +252,30 @@ def q_variable_reasons(spark, sf_dir):
                     F.array_join("reasons", " | ").alias("reasons"))
 
 
+# ---- E, F with missing values kept ------------------------------------------------------
+
+def q_null_return_score(spark, sf_dir):
+    v = context(spark, sf_dir).scored_nulls.v_components
+    return v.select("cand_key", "product_id", _r("norm_1y"), _r("norm_3y"), _r("norm_5y"), _r("score_r"),
+                    _r("score_r_silver"))
+
+
+def q_null_size_age_score(spark, sf_dir):
+    v = context(spark, sf_dir).scored_nulls.v_components
+    return v.select("cand_key", "product_id", "total_net_worth", _r("score_a"), _r("years_active"), "score_s")
+
+
+def q_null_total_topn(spark, sf_dir):
+    t = context(spark, sf_dir).scored_nulls.v_top
+    return t.select("cand_key", "risk_preference", "is_silver", "manages_self",
+                    F.col("rank").cast("int").alias("rank"), "product_id", _r("total_score"))
+
+
+def q_null_guaranteed_topn(spark, sf_dir):
+    t = context(spark, sf_dir).scored_nulls.g_top
+    return t.select("cand_key", "risk_preference", F.col("rank").cast("int").alias("rank"), "product_id", _r("score"))
+
+
 # ---- G: portfolio ----------------------------------------------------------------------
 
 def q_portfolio_flat(spark, sf_dir):
@@ -246,7 +297,31 @@ def q_portfolio_summary(spark, sf_dir):
 
 def q_catalog_integrity(spark, sf_dir):
     from nestegg.operators.integrity import integrity_report
-    return integrity_report(context(spark, sf_dir).catalog)
+    return integrity_report(context(spark, sf_dir).integrity_tables)
+
+
+def q_catalog_violations(spark, sf_dir):
+    """The report over a catalog with planted violations of every kind of rule."""
+    from nestegg.operators.integrity import integrity_report
+    return integrity_report(context(spark, sf_dir).dirty_tables)
+
+
+def q_operator_exact(spark, sf_dir):
+    """C1, C3 against the operator table: blank and exact names; the other texts are left to the fuzzy match."""
+    from nestegg.operators.resolve import resolve_operators
+    ctx = context(spark, sf_dir)
+    r = resolve_operators(ctx.fx("fx_operator_typed_info"), ctx.fx("fx_operator_info"))
+    outcome = F.when(F.col("outcome").isin("blank", "exact"), F.col("outcome")).otherwise("fuzzy")
+    return r.select("user_id", "typed", outcome.alias("outcome"), "matched")
+
+
+def q_operator_fuzzy_pairs(spark, sf_dir):
+    """The (typed, name) pairs that the bounds leave for the exact ratio."""
+    from nestegg.functions.common import py_strip
+    from nestegg.operators.resolve import fuzzy_pairs
+    ctx = context(spark, sf_dir)
+    typed = ctx.fx("fx_operator_typed_info").select(py_strip(F.col("typed")).alias("typed")).where(F.col("typed") != "")
+    return fuzzy_pairs(typed, ctx.fx("fx_operator_info")).select("typed", "name", "common")
 
 
 def q_operator_resolution(spark, sf_dir):
@@ -281,6 +356,13 @@ def q_intent(spark, sf_dir):
                        T.is_recommendation(F.col("text")).alias("is_recommendation"))
 
 
+def q_turn_intent(spark, sf_dir):
+    """H6, H7 over turns with planted comparison words and request literals."""
+    from nestegg.operators import text as T
+    return context(spark, sf_dir).fx("fx_turns").select(
+        "conv_id", "turn", T.intent("query").alias("intent"), T.is_recommendation("query").alias("is_recommendation"))
+
+
 def q_filtered_knn(spark, sf_dir):
     """Every vector is a query; its candidate list is the next 2n (= 10) ids, as a portfolio's 2n products."""
     from nestegg.operators.retrieve import filtered_knn
@@ -311,7 +393,7 @@ def q_chat_history(spark, sf_dir):
 def q_advice_prompts(spark, sf_dir):
     from nestegg.operators.chat import advice_prompts
     ctx = context(spark, sf_dir)
-    return advice_prompts(ctx.user_turns(), ctx.portfolio)
+    return advice_prompts(ctx.fx("fx_turns"), ctx.portfolio)
 
 
 def q_chat_prompts(spark, sf_dir):
@@ -319,8 +401,49 @@ def q_chat_prompts(spark, sf_dir):
     ctx = context(spark, sf_dir)
     docs = ctx.embedded_documents
     out = chat_prompts(ctx.user_turns(), ctx.chat_portfolio, docs, ctx.embedder)
-    return out.select("conv_id", "turn", "user_id", F.col("messages")[0]["content"].alias("system_prompt"),
-                      F.col("messages")[1]["content"].alias("human_prompt"))
+    return _prompt_columns(out)
+
+
+def _prompt_columns(prompts: DataFrame) -> DataFrame:
+    return prompts.select("conv_id", "turn", "user_id", "outcome", F.col("messages")[0]["content"].alias("system_prompt"),
+                          F.col("messages")[1]["content"].alias("human_prompt"))
+
+
+def q_chat_prompts_vectors(spark, sf_dir):
+    """H18 with precomputed vectors, over turns of all kinds (planted words, users without a profile)."""
+    from nestegg.operators.chat import chat_prompts
+    ctx = context(spark, sf_dir)
+    turns = ctx.fx("fx_turns")
+    vectors = lambda df: df.join(ctx.embeddings("qvec"), "vec_id")
+    return _prompt_columns(chat_prompts(turns, ctx.chat_portfolio, ctx.vector_documents, vectors))
+
+
+def q_question_prompts_vectors(spark, sf_dir):
+    """H14 with precomputed vectors: the query's vector is row 0 of the embeddings."""
+    from nestegg.operators.chat import question_prompts
+    ctx = context(spark, sf_dir)
+    vectors = lambda df: df.withColumn("vec_id", F.lit(0).cast("long")).join(ctx.embeddings("qvec"), "vec_id")
+    return question_prompts(ctx.chat_portfolio, ctx.vector_documents, vectors)
+
+
+def q_appended_turns(spark, sf_dir):
+    """Every conversation's turns, followed by one more user turn and its answer."""
+    from nestegg.operators.text import append_turns
+    from nestegg.sources.tables import read_table
+    history = read_table(spark, sf_dir, "conversations")
+    added = history.where((F.col("turn") == 0)).select(
+        "conv_id", F.inline(F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(role).alias("role"), F.col("text").alias("text"))
+                                      for i, role in enumerate(["user", "assistant"])])))
+    return append_turns(history, added)
+
+
+def q_latest_portfolio(spark, sf_dir):
+    """Of the portfolios a user got at each turn, the latest (the amount tells the turns apart)."""
+    from nestegg.operators.portfolio import latest_portfolio
+    ctx = context(spark, sf_dir)
+    p = ctx.portfolio.select("user_id", "risk_preference", F.col("summary.total_amt").alias("amount"))
+    history = ctx.user_turns().select("user_id", "turn").join(p, "user_id").withColumn("amount", F.col("amount") + F.col("turn"))
+    return latest_portfolio(history).select("user_id", "turn", "risk_preference", "amount")
 
 
 def q_question_prompts(spark, sf_dir):
@@ -360,4 +483,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "advice_prompts": q_advice_prompts,
     "chat_prompts": q_chat_prompts,
     "question_prompts": q_question_prompts,
+    "catalog_violations": q_catalog_violations,
+    "operator_exact": q_operator_exact,
+    "operator_fuzzy_pairs": q_operator_fuzzy_pairs,
+    "null_return_score": q_null_return_score,
+    "null_size_age_score": q_null_size_age_score,
+    "null_total_topn": q_null_total_topn,
+    "null_guaranteed_topn": q_null_guaranteed_topn,
+    "turn_intent": q_turn_intent,
+    "chat_prompts_vectors": q_chat_prompts_vectors,
+    "question_prompts_vectors": q_question_prompts_vectors,
+    "appended_turns": q_appended_turns,
+    "latest_portfolio": q_latest_portfolio,
 }

@@ -56,7 +56,7 @@ SELECT concat('X', lpad(CAST(p_partkey AS STRING), 8, '0')) AS id,
        CASE WHEN p_partkey % 41 = 0 THEN NULL
             ELSE DATE '2012-01-01' + CAST((p_partkey * 97) % 5200 AS INT) END AS launch_date,
        CASE WHEN p_partkey % 37 = 0 THEN NULL ELSE l.qty * 1000000 END AS total_net_worth,
-       CAST(CAST((p_partkey * 53) % 4000 - 1000 AS DECIMAL(10,2)) / 100 AS DECIMAL(10,3)) AS average_return_1y,
+       CASE WHEN p_partkey % 43 = 0 THEN NULL ELSE CAST(CAST((p_partkey * 53) % 4000 - 1000 AS DECIMAL(10,2)) / 100 AS DECIMAL(10,3)) END AS average_return_1y,
        CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(CAST((p_partkey * 59) % 4000 - 1000 AS DECIMAL(10,2)) / 100 AS DECIMAL(10,3)) END AS average_return_3y,
        CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(CAST((p_partkey * 61) % 4000 - 1000 AS DECIMAL(10,2)) / 100 AS DECIMAL(10,3)) END AS average_return_5y,
        CAST(NULL AS DECIMAL(10,3)) AS average_return_7y,
@@ -136,6 +136,55 @@ for _key, _label, _kind in K.SURVEY_STEPS:
     _raw_parts.append(f"SELECT user_id, '{_key}' AS step_key, {value} AS answer FROM {{fx_survey}}")
 FIXTURE_SQL["fx_raw_answers"] = "\nUNION ALL\n".join(_raw_parts)
 
+FIXTURE_SQL["fx_provider_info"] = """
+SELECT DISTINCT provider_id AS id, concat('PROVIDER ', provider_id) AS provider_name FROM {fx_product_info}
+"""
+
+# The catalog with planted violations of every kind of rule (n: the product's number).
+FIXTURE_SQL["fx_dirty_product_info"] = """
+SELECT CASE WHEN n % 97 = 0 THEN NULL ELSE id END AS id, CASE WHEN n % 89 = 0 THEN NULL ELSE product_name END AS product_name,
+       product_type, CASE WHEN n % 83 = 0 THEN 'P999' ELSE provider_id END AS provider_id,
+       CASE WHEN n % 79 = 0 THEN 'ETC' WHEN n % 73 = 0 THEN NULL ELSE category END AS category
+FROM (SELECT *, CAST(substr(id, 2) AS BIGINT) AS n FROM {fx_product_info}) p
+UNION ALL
+SELECT id, product_name, product_type, provider_id, category FROM {fx_product_info} WHERE CAST(substr(id, 2) AS BIGINT) % 71 = 0
+"""
+
+FIXTURE_SQL["fx_dirty_product_fixed"] = """
+SELECT id, maturity, interest_rate FROM {fx_product_fixed}
+UNION ALL
+SELECT id, maturity, interest_rate FROM {fx_product_fixed} WHERE CAST(substr(id, 2) AS BIGINT) % 61 = 0
+"""
+
+FIXTURE_SQL["fx_dirty_operator_info"] = """
+SELECT id, CASE WHEN id = 'O005' THEN NULL ELSE operator_name END AS operator_name FROM {fx_operator_info} WHERE id <> 'O003'
+"""
+
+FIXTURE_SQL["fx_dirty_product_mapping"] = """
+SELECT product_id, operator_id, CASE WHEN operator_id = 'O007' THEN NULL ELSE subscriber_type END AS subscriber_type
+FROM {fx_product_mapping}
+"""
+
+# Typed names against the operator dimension: exact, padded, shortened, misspelt, blank, unlike any.
+FIXTURE_SQL["fx_operator_typed_info"] = """
+SELECT c_custkey AS user_id, CASE c_custkey % 6 WHEN 0 THEN name WHEN 1 THEN concat('  ', name, ' ') WHEN 2 THEN substr(name, 2)
+         WHEN 3 THEN concat(substr(name, 1, 2), 'x', substr(name, 3)) WHEN 4 THEN '   ' ELSE 'qqqq' END AS typed
+FROM (SELECT c_custkey, concat('OP', CAST(c_custkey % 50 + 1 AS STRING)) AS name FROM {customer}) c
+"""
+
+# User turns with planted comparison words, request literals and users without a profile.
+FIXTURE_SQL["fx_turns"] = """
+SELECT conv_id, turn, CASE WHEN conv_id % 17 = 16 THEN conv_id + 1000000000 ELSE conv_id END AS user_id,
+       CASE (conv_id + turn) % 4 WHEN 1 THEN concat(text, ' 비교해 주세요') WHEN 2 THEN ' 추천해주세요 ' WHEN 3 THEN '상품 차이' ELSE text END AS query,
+       (conv_id * 7 + turn) % (SELECT count(*) FROM {embeddings}) AS vec_id
+FROM {conversations} WHERE role = 'user'
+"""
+
+# Precomputed document vectors: a product's number picks a row of the embeddings.
+FIXTURE_SQL["fx_document_vectors"] = """
+SELECT id AS product_id, CAST(substr(id, 2) AS BIGINT) % (SELECT count(*) FROM {embeddings}) AS vec_id FROM {fx_product_info}
+"""
+
 FIXTURE_DEPS = {
     "fx_operator_info": ["supplier"],
     "fx_product_info": ["part"],
@@ -147,6 +196,14 @@ FIXTURE_DEPS = {
     "fx_operator_names": [],
     "fx_survey_partial": ["fx_survey"],
     "fx_raw_answers": ["fx_survey"],
+    "fx_provider_info": ["fx_product_info"],
+    "fx_dirty_product_info": ["fx_product_info"],
+    "fx_dirty_product_fixed": ["fx_product_fixed"],
+    "fx_dirty_operator_info": ["fx_operator_info"],
+    "fx_dirty_product_mapping": ["fx_product_mapping"],
+    "fx_operator_typed_info": ["customer"],
+    "fx_turns": ["conversations", "embeddings"],
+    "fx_document_vectors": ["fx_product_info", "embeddings"],
 }
 
 CATALOG_NAMES = {
@@ -156,6 +213,9 @@ CATALOG_NAMES = {
     "product_variable": "fx_product_variable",
     "product_mapping": "fx_product_mapping",
 }
+INTEGRITY_NAMES = {"provider_info": "fx_provider_info", **CATALOG_NAMES}
+DIRTY_NAMES = INTEGRITY_NAMES | {
+    t: f"fx_dirty_{t}" for t in ("product_info", "product_fixed", "operator_info", "product_mapping")}
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str, _cache: dict | None = None) -> DataFrame:
