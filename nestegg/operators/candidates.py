@@ -116,14 +116,15 @@ def set_stats(cands: DataFrame) -> DataFrame:
     )
 
 
-def with_stats(cands: DataFrame, set_rows: int | None = None) -> DataFrame:
+def with_stats(cands: DataFrame, set_rows: int | None = None, stats: DataFrame | None = None) -> DataFrame:
     """Attach :func:`set_stats` to every candidate row (broadcast when the stats are small).
 
-    The stats have at most 3 rows (two categories and NULL) per candidate set.
+    The stats have at most 3 rows (two categories and NULL) per candidate set; ``stats`` passes
+    them when they are written already.
     """
     bound = None if set_rows is None else 3 * set_rows
-    stats = bounded_broadcast(set_stats(cands).withColumnsRenamed({"cand_key": "_sk", "category": "_sc"}),
-                              known_rows=bound)
+    stats = set_stats(cands) if stats is None else stats
+    stats = bounded_broadcast(stats.withColumnsRenamed({"cand_key": "_sk", "category": "_sc"}), known_rows=bound)
     # NULL-safe on category: a product without category stays a candidate (it is in neither half).
     cond = (F.col("cand_key") == F.col("_sk")) & F.col("category").eqNullSafe(F.col("_sc"))
     return cands.join(stats, cond).drop("_sk", "_sc")

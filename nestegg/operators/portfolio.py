@@ -7,13 +7,15 @@ multiplied by the product count.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nestegg.operators import guaranteed as G
 from nestegg.operators import variable as V
-from nestegg.operators.candidates import (candidate_pairs, candidate_sets, product_table, split_category,
-                                          with_stats)
+from nestegg.operators.candidates import (candidate_pairs, candidate_sets, product_table, set_stats,
+                                          split_category, with_stats)
 from nestegg.session import bounded_broadcast, cut_lineage
 
 GUARANTEED_KEYS = ["cand_key", "risk_preference"]
@@ -54,28 +56,40 @@ class Hub:
 
     def __init__(self, profiles: DataFrame, catalog: dict[str, DataFrame], as_of: str, missing: str = "zero",
                  materialize: bool = True):
-        def keep(df: DataFrame, name: str) -> DataFrame:
-            return cut_lineage(df, name) if materialize else df
         self.profiles = profiles
         self.as_of = as_of
+        self.missing = missing
         self.materialize = materialize
         self.segments = segments(profiles)
         self.cand_sets = candidate_sets(profiles).cache()
         self.set_rows = self.cand_sets.count()
         # Catalog-sized, read by the features, the top-n texts and the documents: written once.
-        self.products = keep(product_table(catalog, missing), "products")
+        self.products = self.keep(product_table(catalog, missing), "products")
         self.pairs = candidate_pairs(self.cand_sets, catalog)
         feats = V.variable_features(G.guaranteed_features(self.products), as_of, missing).select(
             "product_id", "category", "interest_rate", "return_1y", "return_3y", "return_5y", "total_expense_ratio",
             "total_net_worth", "is_safe", "is_risky", "kind", "parsed_risk", "product_tdf", "years_active", "score_s")
         # (set x product) rows: two keys and product numbers; the per-set statistics are a
         # tiny broadcast joined where the components are derived, not stored on every row.
-        self.candidates = keep(self.pairs.join(feats, "product_id"), "candidates")
-        g, v = split_category(with_stats(self.candidates, self.set_rows))
-        # One column over the materialised rows: cheaper to recompute than to write and re-read.
-        self.g_components = G.guaranteed_components(g).select(*G_COMPONENT_COLS)
-        self.v_components = keep(V.variable_components(v, as_of, missing, self.set_rows)
-                                 .select(*V_COMPONENT_COLS), "v_components")
+        self.candidates = self.keep(self.pairs.join(feats, "product_id"), "candidates")
+        self.stats = self.keep(set_stats(self.candidates), "set_stats")
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        return cut_lineage(df, name) if self.materialize else df
+
+    @cached_property
+    def _halves(self) -> tuple[DataFrame, DataFrame]:
+        return split_category(with_stats(self.candidates, self.set_rows, self.stats))
+
+    @cached_property
+    def g_components(self) -> DataFrame:
+        """One column over the materialised rows: cheaper to recompute than to write and re-read."""
+        return G.guaranteed_components(self._halves[0]).select(*G_COMPONENT_COLS)
+
+    @cached_property
+    def v_components(self) -> DataFrame:
+        v = V.variable_components(self._halves[1], self.as_of, self.missing, self.set_rows)
+        return self.keep(v.select(*V_COMPONENT_COLS), "v_components")
 
     def with_product_info(self, top: DataFrame, bound: int) -> DataFrame:
         """Attach the product texts to (at most ``bound``) top-n rows; the top rows are the broadcast side."""
@@ -86,47 +100,71 @@ class Hub:
 
 
 class Scored:
-    """Top-n per segment with reasons, over a :class:`Hub` (built here when not given)."""
+    """Top-n per segment with reasons, over a :class:`Hub` (built here when not given).
+
+    Each half is computed when first asked for and written once; a smaller top-n is the first
+    rows of a larger one (``base``: same ranking and tie-break).
+    """
 
     def __init__(self, profiles: DataFrame, catalog: dict[str, DataFrame] | None = None, as_of: str | None = None,
                  top_n: int = 3, missing: str = "zero", materialize: bool = True, hub: Hub | None = None,
                  base: "Scored | None" = None):
-        if base is not None:
-            self._derive(base, top_n)
-            return
-        self.hub = hub or Hub(profiles, catalog, as_of, missing, materialize)
-        self.profiles = profiles
+        if base is not None and top_n > base.top_n:
+            raise ValueError("can only derive a smaller top-n")
+        self.base = base
+        self.hub = base.hub if base is not None else hub or Hub(profiles, catalog, as_of, missing, materialize)
+        self.profiles = base.profiles if base is not None else profiles
         self.top_n = top_n
         self.segments = self.hub.segments
         self.set_rows = self.hub.set_rows
         self.candidates = self.hub.candidates
-        self.g_components = self.hub.g_components
-        self.v_components = self.hub.v_components
-        g_top = G.guaranteed_topn(self.g_components, self.segments, top_n, self.set_rows)
-        v_top = V.variable_topn(self.v_components, self.segments, top_n, self.set_rows)
-        self.g_top = G.guaranteed_reasons(self.hub.with_product_info(g_top, 5 * top_n * self.set_rows))
-        self.v_top = V.variable_reasons(self.hub.with_product_info(v_top, 20 * top_n * self.set_rows))
-
-        def keep(df: DataFrame, name: str) -> DataFrame:
-            return cut_lineage(df, name) if self.hub.materialize else df
-        # Per-segment item arrays: small (<= 20 rows per candidate set), materialised once
-        # and broadcast to users by every portfolio consumer.
-        self.g_items = keep(_items(self.g_top, GUARANTEED_KEYS, "score", _G_SCORES)
-                            .withColumnRenamed("items", "g_items"), f"g_items_top{top_n}")
-        self.v_items = keep(_items(self.v_top, SEGMENT_KEYS, "total_score", _V_SCORES)
-                            .withColumnRenamed("items", "v_items"), f"v_items_top{top_n}")
-
-    def _derive(self, base: "Scored", top_n: int) -> None:
-        """Top-n as the first n rows of a larger top-n (same ranking and tie-break)."""
-        if top_n > base.top_n:
-            raise ValueError("can only derive a smaller top-n")
-        for name in ("hub", "profiles", "segments", "set_rows", "candidates", "g_components", "v_components"):
-            setattr(self, name, getattr(base, name))
-        self.top_n = top_n
-        self.g_top = base.g_top.where(F.col("rank") <= top_n)
-        self.v_top = base.v_top.where(F.col("rank") <= top_n)
-        self.g_items = base.g_items.withColumn("g_items", F.slice("g_items", 1, top_n))
-        self.v_items = base.v_items.withColumn("v_items", F.slice("v_items", 1, top_n))
+
+    @property
+    def g_components(self) -> DataFrame:
+        return self.hub.g_components
+
+    @property
+    def v_components(self) -> DataFrame:
+        return self.hub.v_components
+
+    @cached_property
+    def g_top(self) -> DataFrame:
+        if self.base is not None:
+            return self.base.g_top.where(F.col("rank") <= self.top_n)
+        top = G.guaranteed_topn(self.g_components, self.segments, self.top_n, self.set_rows)
+        top = G.guaranteed_reasons(self.hub.with_product_info(top, 5 * self.top_n * self.set_rows))
+        return self.hub.keep(top, f"g_top{self.top_n}")
+
+    @cached_property
+    def v_top(self) -> DataFrame:
+        if self.base is not None:
+            return self.base.v_top.where(F.col("rank") <= self.top_n)
+        top = V.variable_topn(self.v_components, self.segments, self.top_n, self.set_rows)
+        top = V.variable_reasons(self.hub.with_product_info(top, 20 * self.top_n * self.set_rows))
+        return self.hub.keep(top, f"v_top{self.top_n}")
+
+    @cached_property
+    def g_items(self) -> DataFrame:
+        """Per-segment item arrays (at most 5 rows per candidate set), broadcast to users by every portfolio."""
+        if self.base is not None:
+            return self.base.g_items.withColumn("g_items", F.slice("g_items", 1, self.top_n))
+        items = _items(self.g_top, GUARANTEED_KEYS, "score", _G_SCORES).withColumnRenamed("items", "g_items")
+        return self.hub.keep(items, f"g_items_top{self.top_n}")
+
+    @cached_property
+    def v_items(self) -> DataFrame:
+        """Per-segment item arrays (at most 20 rows per candidate set), broadcast to users by every portfolio."""
+        if self.base is not None:
+            return self.base.v_items.withColumn("v_items", F.slice("v_items", 1, self.top_n))
+        items = _items(self.v_top, SEGMENT_KEYS, "total_score", _V_SCORES).withColumnRenamed("items", "v_items")
+        return self.hub.keep(items, f"v_items_top{self.top_n}")
+
+    @cached_property
+    def item_rows(self) -> tuple[int, int]:
+        """Rows of the two item tables, counted from the written files."""
+        if self.base is not None:
+            return self.base.item_rows
+        return self.g_items.count(), self.v_items.count()
 
 
 def _items(top: DataFrame, keys: list[str], score: str, scores: list[str]) -> DataFrame:
@@ -148,8 +186,9 @@ def recommend(scored: Scored) -> DataFrame:
     """Per user: summary struct + ordered guaranteed / non_guaranteed item arrays."""
     # One row holds up to n items with reason texts and the product record: ~4 KB per item.
     item_bytes = 4096 * max(1, scored.top_n)
-    g_items = bounded_broadcast(scored.g_items, known_rows=5 * scored.set_rows, row_bytes=item_bytes)
-    v_items = bounded_broadcast(scored.v_items, known_rows=20 * scored.set_rows, row_bytes=item_bytes)
+    g_rows, v_rows = scored.item_rows
+    g_items = bounded_broadcast(scored.g_items, known_rows=g_rows, row_bytes=item_bytes)
+    v_items = bounded_broadcast(scored.v_items, known_rows=v_rows, row_bytes=item_bytes)
     users = scored.profiles
     joined = users.join(g_items, GUARANTEED_KEYS, "left").join(v_items, SEGMENT_KEYS, "left")
     empty = F.array().cast(g_items.schema["g_items"].dataType)
