@@ -161,9 +161,11 @@ class Scored:
 
     @cached_property
     def item_rows(self) -> tuple[int, int]:
-        """Rows of the two item tables, counted from the written files."""
+        """Rows of the two item tables: counted from the written files, else their bounds."""
         if self.base is not None:
             return self.base.item_rows
+        if not self.hub.materialize:
+            return 5 * self.set_rows, 20 * self.set_rows
         return self.g_items.count(), self.v_items.count()
 
 
