@@ -17,6 +17,16 @@ that start at anchors are sorted, about one in ``spread`` / 2 bytes:
    another anchor is in its two classes.
 5. Runs of repeated windows go back to their texts.
 
+Leading bytes that very many texts share would load one task of steps 1 and 3. Two exact ways serve
+them, so that no task holds more than ``BUCKET_ROWS`` anchors of one string:
+
+* Leading bytes held by at least ``HEAVY_TEXTS`` of about ``SAMPLE_TEXTS`` sampled texts are heavy
+  (the sample decides the way only, never the result). Their anchors aren't shuffled: each task
+  hashes the windows (128 bits) and counts equal ones before the shuffle; the windows that stay
+  alone are taken from the anchors' ranges.
+* A string of leading bytes that still overflows its bucket gives its windows to that same count, row
+  by row.
+
 Texts are known by a 128-bit hash; copies of a whole text are one text (all of it is repeated), so a
 large group of copies is worked on once.
 
@@ -27,7 +37,7 @@ cross documents, but may overlap within one; repeated rows are documents of thei
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +46,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nestegg.llm.common import as_bytes, fresh, shuffle_partitions, stage, text_pieces
+from nestegg.llm.common import as_bytes, fresh, ship, shuffle_partitions, stage, text_pieces
 
 LENGTH, SPREAD = 200, 160
 BUCKET_ROWS = 16384  # anchors that are sorted at once, unless one string of leading bytes has more
 GRAM = 8
+SAMPLE_TEXTS, HEAVY_TEXTS, HEAVY_KEYS = 16384, 16, 65536
+#: Kinds of pieces: bytes that are repeated; starts of windows to be counted, as a range; one such window.
+SPAN, RANGE, WINDOW = 0, 1, 2
+PIECES = "kind long, w1 long, w2 long, low long, high long, d long, e long, start long, end long"
 
 
 def text_key(text: Column) -> list[Column]:
@@ -68,25 +82,127 @@ def window_anchors(text: bytes, length: int, spread: int) -> tuple[np.ndarray, n
     return at[first], at[first] - last, at[first] - first
 
 
-def anchor_rows(texts: DataFrame, length: int, spread: int) -> DataFrame:
-    """key, d, e, anchor: the hash of the leading bytes, the text, position and offsets in one number."""
+def anchor_keys(text: bytes, at: np.ndarray, lead: int) -> np.ndarray:
+    """The hash of the leading bytes of each anchor."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(text[a : a + lead]) for a in at.tolist()), np.uint64, len(at)).view(np.int64)
+
+
+def among(keys: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Which of the keys are in the sorted array."""
+    if not len(heavy):
+        return np.zeros(len(keys), bool)
+    return heavy[np.minimum(np.searchsorted(heavy, keys), len(heavy) - 1)] == keys
+
+
+def anchor_rows(texts: DataFrame, length: int, spread: int, heavy: Callable[[], np.ndarray] | None = None) -> DataFrame:
+    """key, d, e, anchor: the hash of the leading bytes, the text, position and offsets in one number.
+
+    Anchors with a ``heavy`` key are left out.
+    """
     lead = length - spread + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        others = heavy() if heavy else np.zeros(0, np.int64)
         for piece in text_pieces(batches, "text", 1 << 20):
             keys, packed, sizes = [], [], []
             for text in as_bytes(piece.column("text")):
                 at, lo, hi = window_anchors(text, length, spread)
-                keys += [xxhash.xxh3_64_intdigest(text[a : a + lead]) for a in at.tolist()]
-                packed.append(at << 16 | lo << 8 | hi)
-                sizes.append(len(at))
+                key = anchor_keys(text, at, lead)
+                mine = ~among(key, others)
+                keys.append(key[mine])
+                packed.append((at << 16 | lo << 8 | hi)[mine])
+                sizes.append(int(mine.sum()))
             cols = [np.repeat(piece.column(c).to_numpy(), sizes) for c in ("d", "e")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), *map(pa.array, cols), pa.array(np.concatenate(packed))],
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *map(pa.array, cols), pa.array(np.concatenate(packed))],
                                              names=["key", "d", "e", "anchor"])
 
     return texts.select("d", "e", "text").mapInArrow(run, "key long, d long, e long, anchor long")
 
 
+def heavy_keys(texts: DataFrame, length: int, spread: int) -> np.ndarray:
+    """The keys that many of the sampled texts hold, sorted; at most ``HEAVY_KEYS``."""
+    one_in = max(1, texts.count() // SAMPLE_TEXTS)
+    held = anchor_rows(texts.filter(F.pmod("d", F.lit(one_in)) == 0), length, spread).select("key", "d", "e").distinct()
+    found = held.groupBy("key").count().filter(F.col("count") >= HEAVY_TEXTS).orderBy(F.desc("count"), "key").limit(HEAVY_KEYS)
+    return np.sort(np.array([r[0] for r in found.collect()], np.int64))
+
+
+def mixed64(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(32))
+
+
+def window_hashes(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of every window of ``length`` bytes, from the hashes of its halves."""
+    raw = np.frombuffer(text, np.uint8)
+    gram = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, GRAM)).view("<u8")[:, 0].astype(np.uint64)
+    out = []
+    for seed in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
+        h, width = mixed64(gram ^ np.uint64(seed)), GRAM
+        while width < length:
+            step = min(width, length - width)
+            h = mixed64(h[:-step] * np.uint64(seed) + h[step:])
+            width += step
+        out.append(h.view(np.int64))
+    return out[0], out[1]
+
+
+def row_ids(d: np.ndarray, e: np.ndarray, start: np.ndarray) -> np.ndarray:
+    unsigned = [np.ascontiguousarray(x, np.int64).view(np.uint64) for x in (d, e, start)]
+    return mixed64(unsigned[0] ^ mixed64(unsigned[1] + mixed64(unsigned[2]))).view(np.int64)
+
+
+def pieces(kind: int, d: np.ndarray, e: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Spans or ranges: each is a group of its own in :func:`settled`."""
+    same = np.zeros(len(d), np.int64)
+    cols = [same + kind, row_ids(d, e, start), end, same, same, d, e, start, end]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=PIECES.replace(" long", "").split(", "))
+
+
+def counted_windows(w1: np.ndarray, w2: np.ndarray, d: np.ndarray, e: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """One row for each different window: two rows' ids that differ tell that it occurs twice."""
+    ids, order = row_ids(d, e, start), np.lexsort((w2, w1))
+    new = np.append(True, (np.diff(w1[order]) != 0) | (np.diff(w2[order]) != 0))[: len(order)]
+    first = np.flatnonzero(new)
+    row, ids = order[first], ids[order]
+    low, high = ((f.reduceat(ids, first) if len(first) else ids) for f in (np.minimum, np.maximum))
+    cols = [np.full(len(row), WINDOW), w1[row], w2[row], low, high, d[row], e[row], start[row], start[row] + 1]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=PIECES.replace(" long", "").split(", "))
+
+
+def window_pieces(rows: list[tuple[int, int, bytes, int, np.ndarray, np.ndarray]], length: int) -> Iterator[pa.RecordBatch]:
+    """The windows of (d, e, bytes, place of the bytes in the text, first and last starts) and their ranges."""
+    found, ranges = [], []
+    for d, e, text, place, first, last in rows:
+        starts = np.repeat(first - np.cumsum(last - first + 1) + last - first + 1, last - first + 1) + np.arange((last - first + 1).sum())
+        base = int(first.min())
+        w1, w2 = window_hashes(text[base : int(last.max()) + length], length)
+        n = len(starts)
+        found.append((w1[starts - base], w2[starts - base], np.full(n, d), np.full(n, e), starts + place))
+        ranges.append((np.full(len(first), d), np.full(len(first), e), first + place, last + place + 1))
+    if found:
+        yield counted_windows(*map(np.concatenate, zip(*found)))
+        yield pieces(RANGE, *map(np.concatenate, zip(*ranges)))
+
+
+def heavy_pieces(texts: DataFrame, heavy: Callable[[], np.ndarray], length: int, spread: int) -> DataFrame:
+    """The windows of the heavy anchors, counted piece by piece before any shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = heavy()
+        for piece in text_pieces(batches, "text", 1 << 20):
+            rows = []
+            for d, e, text in zip(*(piece.column(c).to_pylist() for c in ("d", "e")), as_bytes(piece.column("text"))):
+                at, lo, hi = window_anchors(text, length, spread)
+                mine = among(anchor_keys(text, at, length - spread + 1), keys)
+                if mine.any():
+                    rows.append((d, e, text, 0, (at - hi)[mine], (at - lo)[mine]))
+            yield from window_pieces(rows, length)
+
+    return texts.select("d", "e", "text").mapInArrow(run, PIECES)
+
+
 def repeated_anchors(anchors: DataFrame) -> DataFrame:
     """d, e, anchor of the anchors whose key another anchor has too, read as a stream in the order of the keys."""
     n = shuffle_partitions(anchors.sparkSession)
@@ -189,12 +305,13 @@ def repeated_windows(right: list[bytes], left: list[bytes], lo: np.ndarray, hi:
 
 
 def repeated_runs(contexts: DataFrame, length: int, spread: int) -> DataFrame:
-    """d, e, start, end: the bytes that runs of repeated windows cover."""
+    """Pieces: the bytes that runs of repeated windows cover; the windows of leading bytes that overflow."""
     lead = length - spread + 1
     n = shuffle_partitions(contexts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes, bytes]] = []
+        overflowing = None  # leading bytes whose windows are counted elsewhere
 
         def settled(rows):
             rows = sorted(set(rows))
@@ -204,12 +321,23 @@ def repeated_runs(contexts: DataFrame, length: int, spread: int) -> DataFrame:
             step = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             row, first = np.nonzero(step == 1)
             last = np.nonzero(step == -1)[1] - 1  # offsets: the larger, the earlier the window
-            return pa.RecordBatch.from_arrays([pa.array(d[row]), pa.array(e[row]), pa.array(at[row] - last), pa.array(at[row] - first + length)],
-                                              names=["d", "e", "start", "end"])
+            return pieces(SPAN, d[row], e[row], at[row] - last, at[row] - first + length)
+
+        def undecided(rows):
+            for i in range(0, len(rows), 1024):
+                some = []
+                for d, e, x, right, left in rows[i : i + 1024]:
+                    lo, hi = x >> 8 & 255, x & 255
+                    some.append((d, e, left + right, (x >> 16) - hi, np.array([0]), np.array([hi - lo])))
+                yield from window_pieces(some, length)
 
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 held += zip(*(c.to_pylist() for c in batch.slice(i, 4096).columns[:5]))
+                if overflowing is not None:
+                    cut = next((k for k, r in enumerate(held) if r[3][:lead] != overflowing), len(held))
+                    yield from undecided(held[:cut])
+                    held, overflowing = held[cut:], overflowing if cut == len(held) else None
                 if len(held) > BUCKET_ROWS:
                     cut = len(held) - 1
                     while cut and held[cut - 1][3][:lead] == held[-1][3][:lead]:
@@ -217,26 +345,55 @@ def repeated_runs(contexts: DataFrame, length: int, spread: int) -> DataFrame:
                     if cut:
                         yield settled(held[:cut])
                         held = held[cut:]
+                    else:
+                        overflowing = held[0][3][:lead]
+                        yield from undecided(held)
+                        held = []
         if held:
             yield settled(held)
 
     leading = F.substring("right", 1, lead)
-    return contexts.repartitionByRange(n, leading).sortWithinPartitions(leading).mapInArrow(run, "d long, e long, start long, end long")
+    return contexts.repartitionByRange(n, leading).sortWithinPartitions(leading).mapInArrow(run, PIECES)
+
+
+def settled_pieces(found: DataFrame) -> DataFrame:
+    """d, e, kind, start, end: spans, ranges, and the windows that occur once (low = high)."""
+    first = [F.first(c).alias(c) for c in ("d", "e", "start", "end")]
+    grouped = found.groupBy("kind", "w1", "w2").agg(F.min("low").alias("low"), F.max("high").alias("high"), *first)
+    return grouped.filter("low = high").select("d", "e", "kind", "start", "end")
+
+
+def covered(found: list[dict], length: int) -> list[tuple[int, int]]:
+    """The spans of a text's pieces: its spans, and the windows of its ranges but for those that occur once."""
+    alone = np.array(sorted(p["start"] for p in found if p["kind"] == WINDOW), np.int64)
+    spans = [(p["start"], p["end"]) for p in found if p["kind"] == SPAN]
+    for p in found:
+        if p["kind"] == RANGE:
+            edges = alone[np.searchsorted(alone, p["start"]) : np.searchsorted(alone, p["end"])]
+            first, last = np.append(p["start"], edges + 1), np.append(edges, p["end"]) - 1
+            spans += [(a, b + length) for a, b in zip(first.tolist(), last.tolist()) if a <= b]
+    return sorted(spans)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD, text_col: str = "text") -> DataFrame:
-    """d, e (the text's hash) and the merged spans of repeated bytes, for texts that have any."""
+    """d, e (the text's hash) and the pieces that tell its repeated bytes (:func:`covered`), for texts that have any."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(*text_key(text), text.alias("text"))
     long = texts.filter(F.octet_length("text") >= length)
-    repeated = stage(repeated_anchors(anchor_rows(long, length, spread)), "anchors")
+    keys = heavy_keys(long, length, spread)
+    heavy = ship(docs.sparkSession, keys)
+    repeated = stage(repeated_anchors(anchor_rows(long, length, spread, heavy)), "anchors")
     runs = repeated_runs(anchor_contexts(long, repeated, length), length, spread)
+    if len(keys):
+        runs = runs.unionByName(heavy_pieces(long, heavy, length, spread))
+    number = lambda n: F.lit(n).cast("long")
     copies = (
         texts.select("d", "e", F.octet_length("text").cast("long").alias("end")).filter(F.col("end") >= length)
-        .groupBy("d", "e", "end").count().filter("count > 1").select("d", "e", F.lit(0).cast("long").alias("start"), "end")
+        .groupBy("d", "e", "end").count().filter("count > 1").select("d", "e", number(SPAN).alias("kind"), number(0).alias("start"), "end")
     )
-    # Spans of a text: at most one for each anchor.
-    return stage(runs.unionByName(copies).groupBy("d", "e").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")), "repeats")
+    # Pieces of a text: bounded by its length.
+    found = settled_pieces(runs).unionByName(copies)
+    return stage(found.groupBy("d", "e").agg(F.collect_set(F.struct("kind", "start", "end")).alias("spans")), "repeats")
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD, text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -262,14 +419,14 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD, te
             for raw, cuts in zip(as_bytes(piece.column(text_col)), piece.column(spans).to_pylist()):
                 raw, at, removed, n, out = raw or b"", 0, 0, 0, []
                 end = -1
-                for s in cuts or []:
-                    if s["start"] > end:
-                        out.append(raw[at : s["start"]])
+                for first, last in covered(cuts or [], length):
+                    if first > end:
+                        out.append(raw[at:first])
                         n += 1
-                        removed += s["end"] - s["start"]
-                    elif s["end"] > end:
-                        removed += s["end"] - end
-                    end = at = max(end, s["end"])
+                        removed += last - first
+                    elif last > end:
+                        removed += last - end
+                    end = at = max(end, last)
                 kept = b"".join([*out, raw[at:]])
                 rows.append((len(raw), removed, n, hashlib.sha256(kept).hexdigest(), kept))
             cols = list(zip(*rows))

@@ -142,7 +142,11 @@ def test_bk_links_connect_what_brute_force_connects(spark):
     assert all(len(g) == 1 for g in by_root.values()) and len(by_root) == len(set(group.values()))
 
 
-def test_suffix_dedup_equals_brute_force(spark, docs):
+@pytest.mark.parametrize("heavy_texts, bucket_rows", [(16, 16384), (2, 16384), (1000, 3)])
+def test_suffix_dedup_equals_brute_force(spark, docs, monkeypatch, heavy_texts, bucket_rows):
+    """The plain way; with most keys heavy; with most buckets overflowing."""
+    monkeypatch.setattr(sd, "HEAVY_TEXTS", heavy_texts)
+    monkeypatch.setattr(sd, "BUCKET_ROWS", bucket_rows)
     rnd = random.Random(5)
     parts = ["".join(rnd.choice("abc") for _ in range(rnd.randint(0, 300))) for _ in range(20)]
     rows = [(i, rnd.choice(parts)[rnd.randint(0, 60):] + rnd.choice(parts) + "é" * rnd.randint(0, 30)) for i in range(40)]
