@@ -37,11 +37,26 @@ def _ratio(name, typed):
     return pandas_udf(_ratio_batch_fn(), "double").asNondeterministic()(name, typed)
 
 
-def _char_counts(df: DataFrame, text: str) -> DataFrame:
-    """(text, ch, n): character multiset of each distinct text."""
-    return (df.select(text, F.explode(F.split(F.col(text), "(?!$)")).alias("ch"))
-            .where(F.col("ch") != "")
-            .groupBy(text, "ch").agg(F.count(F.lit(1)).alias("n")))
+def _tokens(text: str):
+    """A text's characters, numbered by occurrence, so that set overlap is multiset overlap."""
+    chars = F.split(F.col(text), "(?!$)")
+    return F.transform(chars, lambda c, i: F.concat(
+        c, F.lit("#"), F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
+
+
+def _rare_first(df: DataFrame, text: str, freq: DataFrame, cutoff: float) -> DataFrame:
+    """(text, text_tokens, tok): one row per token of the prefix that a partner must touch.
+
+    A partner of a text of length l shares at least ``cutoff * l / (2 - cutoff)`` tokens with it, so
+    in any common order of tokens the two prefixes of length ``l - that + 1`` meet. Rare tokens come first.
+    """
+    need = F.ceil(F.lit(cutoff) * F.size("toks") / (2 - cutoff) - 1e-9)
+    return (df.select(text, F.explode(_tokens(text)).alias("tok"))
+            .join(freq, "tok", "left")
+            .groupBy(text).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "tok"))).alias("s"))
+            .select(text, F.transform("s", lambda x: x["tok"]).alias("toks"))
+            .select(text, F.col("toks").alias(f"{text}_tokens"),
+                    F.explode(F.slice("toks", F.lit(1), (F.size("toks") - need + 1).cast("int"))).alias("tok")))
 
 
 def dimension_bounds(names: DataFrame) -> tuple[int, int]:
@@ -55,21 +70,26 @@ def fuzzy_pairs(typed: DataFrame, names: DataFrame, cutoff: float = K.FUZZY_CUTO
                 bounds: tuple[int, int] | None = None) -> DataFrame:
     """(typed, name, common): the pairs whose ratio can reach ``cutoff``.
 
-    Pairs are generated by an equi-join on shared characters (a pair with no common
-    character has ratio 0) and pruned by the length bound and the multiset bound
-    ``2*common/(la+lb)``, both upper bounds of the ratio. ``bounds`` = :func:`dimension_bounds`
-    when known; the (name, character) table has at most names x longest name rows.
+    Pairs are generated by an equi-join on the rarest numbered characters of both sides (a prefix
+    filter, which loses no pair that can reach ``cutoff``; frequent syllables are never keys of a text
+    that has rarer ones) and pruned by the length bound and the multiset bound ``2*common/(la+lb)``,
+    both upper bounds of the ratio. Typed texts too long for every name are left out first, so all
+    token arrays are short. ``bounds`` = :func:`dimension_bounds` when known; the (name, token)
+    table has at most names x longest name rows.
     """
-    t = typed.select(F.col("typed")).distinct()
-    nm = names.select(F.col("operator_name").alias("name")).distinct()
-    tc = _char_counts(t, "typed")
     n_names, max_len = bounds if bounds is not None else dimension_bounds(names)
-    nc = bounded_broadcast(_char_counts(nm, "name"), known_rows=n_names * max_len)
-    common = (tc.join(nc.withColumnRenamed("n", "m"), "ch")
-              .groupBy("typed", "name").agg(F.sum(F.least("n", "m")).alias("common")))
+    t = (typed.select(F.col("typed")).distinct()
+         .where((F.col("typed") != "") & (F.length("typed") * cutoff <= max_len * (2 - cutoff) + 1e-9)))
+    nm = names.select(F.col("operator_name").alias("name")).distinct().where(F.col("name") != "")
+    n_tokens = n_names * max_len
+    freq = bounded_broadcast(nm.select(F.explode(_tokens("name")).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("freq")),
+                             known_rows=n_tokens)
+    name_side = bounded_broadcast(_rare_first(nm, "name", freq, cutoff), known_rows=n_tokens)
     la, lb = F.length("name"), F.length("typed")
-    return (common
+    return (_rare_first(t, "typed", freq, cutoff).join(name_side, "tok")
             .where(F.lit(2.0) * F.least(la, lb) / (la + lb) >= cutoff)
+            .dropDuplicates(["typed", "name"])
+            .select("typed", "name", F.size(F.array_intersect("typed_tokens", "name_tokens")).cast("long").alias("common"))
             .where(F.lit(2.0) * F.col("common") / (la + lb) >= cutoff))
 
 
