@@ -26,7 +26,9 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter, defaultdict
+from itertools import accumulate
 from typing import NamedTuple
 
 import ahocorasick
@@ -114,7 +116,10 @@ class Matcher:
                 found[start] = max(weight, found.get(start, 0.0))
             else:
                 excepted.append((start, end))
-        total = sum(w for at, w in found.items() if not any(a <= at < b for a, b in excepted))
+        # In an exception: of those that begin at or before the hit, the one that reaches farthest ends behind it.
+        excepted.sort()
+        begins, reach = [a for a, _ in excepted], [-1, *accumulate((b for _, b in excepted), max)]
+        total = sum(w for at, w in found.items() if reach[bisect_right(begins, at)] <= at)
         return total, n_words
 
     def inputs(self, text: str | None) -> tuple[float, float, float]:
