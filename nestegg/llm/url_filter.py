@@ -5,9 +5,10 @@ keys; level 1 the keys of the universe that pass level 0 though they aren't list
 listed keys that pass level 1, and so on, until no key is wrongly passed. So membership is exact
 for every key of the corpus, and pages are judged by the broadcast bits alone, without a join.
 
-A cascade holds at most ``PART_KEYS`` listed keys: with more, keys are split by a hash into parts,
-each with its own cascade, and one more pass over the pages for each part, so that what is
-broadcast at a time stays bounded.
+A cascade holds about ``PART_KEYS`` keys at most in any level: with more listed keys, or a universe
+of which level 0 would pass more by mistake, keys are split by a hash into parts, each with its own
+cascade, and one more pass over the pages for each part, so that what is broadcast at a time stays
+bounded.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is
 judged by its (empty) host; a rule's path must begin the url's path, so rules with a path never fit
@@ -128,7 +129,8 @@ def build_cascade(universe: DataFrame) -> Cascade:
 def with_listed(pages: DataFrame, key_col: str, universe: DataFrame, out: str, part_keys: int = PART_KEYS) -> DataFrame:
     """``pages`` with a boolean: is the key listed? ``universe``: key, listed, for all keys of the pages."""
     universe = stage(universe.select("key", "listed"), "universe")
-    parts = max(1, -(-universe.filter("listed").count() // part_keys))
+    inside, outside = universe.agg(F.count_if(F.col("listed")), F.count_if(~F.col("listed"))).first()
+    parts = max(1, math.ceil(max(inside, FIRST_RATE * outside) / part_keys))
     schema = T.StructType([*pages.schema.fields, T.StructField(out, T.BooleanType())])
     found, columns = pages, pages.columns
     for nth in range(parts):
