@@ -17,7 +17,8 @@ A round that changes nothing ends them.
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; fewer words
 than a shingle form one shingle; equal fingerprints are one node, so exact copies cost nothing;
 rows that repeat a doc_id stay rows; null ids are never representatives unless a whole component
-has no other.
+has no other. One row of each component is kept, however many components share their smallest id
+(or have none).
 """
 
 from __future__ import annotations
@@ -179,24 +180,25 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     radius: int = RADIUS, keep_columns: bool = False) -> DataFrame:
-    """One row for each document: uid, ``id_col``, fingerprint (long), component id (its smallest document id).
+    """One row for each document: uid, ``id_col``, fingerprint (long), component id (its smallest document id), root.
 
-    ``keep_columns`` stages and returns the other columns of the documents too.
+    The root is the component's least fingerprint: unlike the component id, it is never null, and no
+    two components share it. ``keep_columns`` stages and returns the other columns of the documents too.
     """
-    fp, uid, comp = (fresh(docs, n) for n in ("fp", "uid", "component_id"))
+    fp, uid, comp, root = (fresh(docs, n) for n in ("fp", "uid", "component_id", "component_root"))
     rows = with_fingerprint(docs if keep_columns else docs.select(id_col, text_col), text_col, fp, shingle)
     rows = stage((rows if keep_columns else rows.drop(text_col)).withColumn(uid, F.monotonically_increasing_id()), "simhash")
     nodes = stage(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(id_col).alias("least_id")), "simhash-nodes")
     found = components(fingerprint_links(nodes, radius)).withColumnRenamed("node", "fp")
     nodes = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = nodes.groupBy("root").agg(F.min("least_id").alias(comp))
-    member = nodes.select("root", F.col("fp").alias("node_fp")).join(least, "root").drop("root")
+    member = nodes.select("root", F.col("fp").alias("node_fp")).join(least, "root").withColumnRenamed("root", root)
     return rows.join(member, F.col(fp) == F.col("node_fp")).drop("node_fp")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each component: the one with its smallest id (of rows that repeat it, one)."""
-    fp, uid, comp = (fresh(docs, n) for n in ("fp", "uid", "component_id"))
+    uid, comp, root = (fresh(docs, n) for n in ("uid", "component_id", "component_root"))
     found = near_duplicates(docs, id_col, text_col, keep_columns=True, **options)
-    first = found.filter(F.col(id_col).eqNullSafe(F.col(comp))).groupBy(F.col(comp).alias("kept_id")).agg(F.min(uid).alias("kept_uid"))
+    first = found.filter(F.col(id_col).eqNullSafe(F.col(comp))).groupBy(root).agg(F.min(uid).alias("kept_uid"))
     return found.join(first, F.col(uid) == F.col("kept_uid"), "left_semi").select(*docs.columns)

@@ -121,6 +121,14 @@ def test_simhash_equals_brute_force(spark, docs):
     assert sorted(map(repr, kept.select("doc_id").collect())) == sorted({f"Row(doc_id={c})" for c in got.values()})
 
 
+def test_deduplicate_keeps_a_row_of_every_component(spark):
+    """Components without ids, and components that share their smallest id, are not one component."""
+    one, two, three, four = ("red apples grow on old trees", "ships sail far over cold seas", "who wrote this long letter today", "rain fell on seven hills")
+    rows = [(None, one), (None, two), (None, two), (7, three), (7, four), (9, four), (None, three)]
+    kept = sh.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(None, one), (None, two), (7, three), (7, four)]))
+
+
 def test_bk_links_connect_what_brute_force_connects(spark):
     rnd = random.Random(3)
     base = [rnd.getrandbits(64) for _ in range(40)]
