@@ -3,14 +3,18 @@
 Each language has a tree of byte contexts of variable order, up to ``order`` bytes, with escape
 probabilities (method C, with exclusion): a symbol seen after a context has count / (n + d), the
 d / (n + d) that is left goes to the symbols not seen there, shared as the next shorter context
-does. Statistics are frozen after training, so the probability of every symbol after every full
-context can be tabulated once, and the exact code length of a text is a sum of table entries.
-Bytes are A-Z lower-cased; digits are one symbol, the bytes that are rare in training another.
-The language with the shortest code wins.
+does. Statistics are frozen after training, so the code length of a symbol after a context is a
+fixed number, and the exact code length of a text is a sum of them. A-Z are lower-cased and digits
+are one symbol; each other byte is a symbol of its own, ``SYMBOLS`` in all. The language with the
+shortest code wins.
+
+Tables are sparse: a language has, for each length of context, the contexts and following symbols
+it was seen with, and what an escape from each context costs. Their size follows the text learned
+from, and the order is the same however many languages there are. A piece of text is coded by its
+distinct contexts with symbols, each looked up once a language.
 
 Training: at most ``SAMPLE_DOCS`` documents a language, of at most ``SAMPLE_CHARS`` characters each,
-taken in the order of a hash of the id. The tables take at most ``TABLE_BYTES``; with more
-languages than fit, contexts are shorter.
+taken in the order of a hash of the id.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; rows with a null
 language are scored but not learned from; without any learned language all is ``und``; equal code
@@ -32,58 +36,93 @@ from pyspark.sql import types as T
 from nestegg.llm.common import fresh, ship, with_text_columns
 
 SAMPLE_DOCS, SAMPLE_CHARS = 300, 20_000
-SYMBOLS, ORDER, TABLE_BYTES = 44, 3, 96 << 20
+ORDER = 3
+MOST_BITS = 40.0
 EVIDENCE = 64  # bytes of text that the score's confidence is based on at most
 PIECE_BYTES = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def folded_symbols() -> np.ndarray:
+    """The symbol of each byte."""
+    folded = np.arange(256)
+    folded[65:91] += 32
+    folded[48:58] = 48
+    return np.unique(folded, return_inverse=True)[1].astype(np.uint32)
+
+
+SYMBOL = folded_symbols()
+SYMBOLS = int(SYMBOL.max()) + 1
+
+
+class Contexts(NamedTuple):
+    """What a language was seen with after the contexts of one length; codes ascend."""
+
+    codes: np.ndarray  # number of the context and symbol
+    bits: np.ndarray  # code length of the symbol
+    contexts: np.ndarray
+    escapes: np.ndarray  # what any other symbol costs beside its code length after the shorter context
+
+
+def places(sorted_codes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``codes`` stands, and whether it is there."""
+    at = np.minimum(np.searchsorted(sorted_codes, codes), len(sorted_codes) - 1)
+    return at, sorted_codes[at] == codes
+
+
+def code_lengths(tree: list[Contexts], codes: np.ndarray) -> np.ndarray:
+    """Bits of each symbol after its context, given as numbers of contexts of the tree's greatest length."""
+    bits, todo = np.zeros(len(codes)), np.arange(len(codes))
+    for k in range(len(tree) - 1, -1, -1):
+        now = codes[todo] % SYMBOLS ** (k + 1)
+        at, seen = places(tree[k].codes, now)
+        bits[todo[seen]] += tree[k].bits[at[seen]]
+        todo, now = todo[~seen], now[~seen] // SYMBOLS
+        at, seen = places(tree[k].contexts, now)
+        bits[todo[seen]] += tree[k].escapes[at[seen]]
+    bits[todo] += np.log2(SYMBOLS)
+    return bits
+
+
 class Models(NamedTuple):
     languages: list[str]
-    symbol: np.ndarray  # of each byte
     order: int
-    bits: np.ndarray  # code length: (context and symbol, language)
+    trees: list[list[Contexts]]  # of each language: its contexts by length
 
+    def code_lengths(self, language: int, codes: np.ndarray) -> np.ndarray:
+        return np.minimum(code_lengths(self.trees[language], codes), MOST_BITS)
 
-def symbol_table(texts: list[bytes], n_symbols: int) -> np.ndarray:
-    """Byte to symbol: 0 rare, 1 digits, then the most frequent bytes."""
-    lower = np.arange(256)
-    lower[65:91] += 32
-    counts = np.bincount(lower[np.frombuffer(b"".join(texts), np.uint8)], minlength=256)
-    counts[48:58] = 0
-    counts[10] += 1  # the line break has a symbol of its own: texts begin after one
-    symbol = np.zeros(256, np.int64)
-    for nth, byte in enumerate(np.argsort(-counts, kind="stable")[: n_symbols - 2]):
-        symbol[byte] = nth + 2 if counts[byte] else 0
-    symbol[48:58] = 1
-    return symbol[lower]
+    @property
+    def bits(self) -> np.ndarray:
+        """Code length of every symbol after each full context of any language: (context and symbol, language)."""
+        contexts = np.unique(np.concatenate([tree[-1].contexts for tree in self.trees]))
+        codes = (contexts[:, None] * SYMBOLS + np.arange(SYMBOLS, dtype=np.uint32)).ravel()
+        return np.stack([self.code_lengths(i, codes) for i in range(len(self.trees))], axis=1)
 
 
-def context_codes(symbols: np.ndarray, order: int, n_symbols: int) -> np.ndarray:
-    """For each position from ``order`` on, the number of its context and symbol."""
+def context_codes(symbols: np.ndarray, order: int) -> np.ndarray:
+    """For each position from ``order`` on, the number of its context and symbol (32 bits hold order 3)."""
     n = len(symbols) - order
-    codes = np.zeros(n, np.int64)
+    codes = np.zeros(n, np.uint32)
     for k in range(order + 1):
-        codes = codes * n_symbols + symbols[k : k + n]
+        codes = codes * SYMBOLS + symbols[k : k + n]
     return codes
 
 
-def code_lengths(texts: list[bytes], symbol: np.ndarray, order: int, n_symbols: int) -> np.ndarray:
-    """Bits of each symbol after each context of ``order`` symbols."""
-    joined = symbol[np.frombuffer((b"\n" * order).join([b"", *texts, b""]), np.uint8)]
-    p = np.full((1, n_symbols), 1.0 / n_symbols)
+def learned_tree(texts: list[bytes], order: int) -> list[Contexts]:
+    joined = SYMBOL[np.frombuffer((b"\n" * order).join([b"", *texts, b""]), np.uint8)]
+    tree: list[Contexts] = []
     for k in range(order + 1):
-        counts = np.bincount(context_codes(joined[order - k :], k, n_symbols), minlength=n_symbols ** (k + 1)).reshape(-1, n_symbols)
-        # The context without its first symbol.
-        shorter = np.tile(p, (n_symbols, 1)) if k else p
-        n, seen = counts.sum(axis=1, keepdims=True), counts > 0
-        d = seen.sum(axis=1, keepdims=True)
-        rest = np.where(seen, 0.0, shorter).sum(axis=1, keepdims=True)
-        full = d == n_symbols
-        total = np.where(full, n, n + d)
-        escape = np.where(full | (n == 0), 0.0, d / np.maximum(total, 1) / np.maximum(rest, 1e-300))
-        p = np.where(n == 0, shorter, np.where(seen, counts / np.maximum(total, 1), escape * shorter))
-    return (-np.log2(np.maximum(p, 2.0**-40))).astype(np.float16).ravel()
+        codes, counts = np.unique(context_codes(joined[order - k :], k), return_counts=True)
+        contexts, of, d = np.unique(codes // SYMBOLS, return_inverse=True, return_counts=True)
+        n = np.bincount(of, counts)
+        # The context without its first symbol was seen with all symbols that follow this one.
+        shorter = 2.0 ** -code_lengths(tree, codes % SYMBOLS**k)
+        rest = 1 - np.bincount(of, shorter)
+        total = np.where(d == SYMBOLS, n, n + d)
+        escapes = np.log2(total) - np.log2(d) + np.log2(np.maximum(rest, 1e-12))
+        tree.append(Contexts(codes, np.log2(total[of]) - np.log2(counts), contexts, escapes))
+    return [c._replace(bits=c.bits.astype(np.float32), escapes=c.escapes.astype(np.float32)) for c in tree]
 
 
 def learn_models(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Models:
@@ -97,30 +136,25 @@ def learn_models(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for lang, text in sample.select("sample_lang", text_col).distinct().orderBy("sample_lang", text_col).collect():
         by_language.setdefault(lang, []).append(text.encode())
     languages = sorted(by_language)
-    texts = [t for x in languages for t in by_language[x]]
-    order = next((k for k in range(ORDER, 0, -1) if len(languages) * SYMBOLS ** (k + 1) * 2 <= TABLE_BYTES), 1)
-    symbol = symbol_table(texts, SYMBOLS)
-    bits = np.empty((SYMBOLS ** (order + 1), len(languages)), np.float16)
-    for i, lang in enumerate(languages):
-        bits[:, i] = code_lengths(by_language[lang], symbol, order, SYMBOLS)
-    return Models(languages, symbol, order, bits)
+    return Models(languages, ORDER, [learned_tree(by_language[x], ORDER) for x in languages])
 
 
 def text_bits(texts: list[bytes], models: Models) -> np.ndarray:
     """Code length of each text in each language."""
     k = models.order
     joined = np.frombuffer((b"\n" * k).join([b"", *texts]), np.uint8)
-    bits = models.bits[context_codes(models.symbol[joined], k, SYMBOLS)].astype(np.float32)
+    codes, of = np.unique(context_codes(SYMBOL[joined], k), return_inverse=True)
     sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes + k)
     starts = ends - sizes - k
     # Position i of bits is byte i + k: each text's bytes, then the breaks in front of the next text.
     breaks = (ends[:-1, None] - k + np.arange(k)).ravel()
-    bits[breaks] = 0
-    out = np.zeros((len(texts), bits.shape[1]))
+    out = np.zeros((len(texts), len(models.languages)))
     some = np.flatnonzero(sizes)
-    if len(some):
-        out[some] = np.add.reduceat(np.vstack([bits, np.zeros((1, bits.shape[1]), np.float32)]), starts[some], axis=0, dtype=np.float64)
+    for i in range(len(models.languages) if len(some) else 0):
+        bits = np.append(models.code_lengths(i, codes).astype(np.float32)[of], np.float32(0))
+        bits[breaks] = 0
+        out[some, i] = np.add.reduceat(bits, starts[some], dtype=np.float64)
     return out
 
 

@@ -255,6 +255,38 @@ def test_language_models_are_distributions_and_separate(spark, docs):
     assert {(r.lang_pred, r["_score"]) for r in none} == {("und", 0.0)}
 
 
+def test_language_bytes_of_many_scripts_stay_apart(spark):
+    """Two languages that differ in one rare letter each, among scripts with more bytes than 44."""
+    rnd = random.Random(8)
+    make = lambda parts: " ".join("".join(rnd.choice(parts) for _ in range(4)) for _ in range(60))
+    cyrillic = [chr(c) for c in range(0x430, 0x43A)] * 4
+    parts = {"ru": [*cyrillic, "ы"], "uk": [*cyrillic, "ї"], "el": [chr(c) for c in range(0x3B1, 0x3C9)], "en": [chr(c) for c in range(97, 123)]}
+    rows = [(i, make(parts[x]), x) for i, x in enumerate([*parts] * 30)]
+    models = lg.learn_models(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    tests = [(i, make(parts[x]), x) for i, x in enumerate(["ru", "uk"] * 40)]
+    got = lg.with_language(spark.createDataFrame(tests, "doc_id long, text string, lang string"), models).collect()
+    assert np.mean([r.lang_pred == r.lang for r in got]) > 0.95
+
+
+def test_language_code_lengths_are_those_of_the_definition():
+    texts = ["das haus, die maus 12".encode(), "größe über alles".encode(), b"Aus aus aus"]
+    tree = lg.learned_tree(texts, 3)
+    joined = lg.SYMBOL[np.frombuffer(b"\n\n\n".join([b"", *texts, b""]), np.uint8)].tolist()
+
+    def probability(context, symbol):
+        shorter = (lambda s: probability(context[1:], s)) if context else lambda s: 1 / lg.SYMBOLS
+        k = len(context)
+        counts = Counter(joined[i] for i in range(3, len(joined)) if joined[i - k : i] == context)
+        n, d = sum(counts.values()), len(counts)
+        if not n or symbol in counts:
+            return counts[symbol] / (n + d) if n else shorter(symbol)
+        return d / (n + d) * shorter(symbol) / (1 - sum(map(shorter, counts)))
+
+    for raw in (b"\n\n\nd", b"aus ", b"aus!", b"xyzq", b" maz", "ßx".encode() + b"a", b"1 us"):
+        s = lg.SYMBOL[np.frombuffer(raw, np.uint8)]
+        assert lg.code_lengths(tree, lg.context_codes(s, 3))[0] == pytest.approx(-np.log2(probability(s[:3].tolist(), int(s[3]))), abs=1e-3)
+
+
 def test_toxicity_lexicon(spark, docs):
     rnd = random.Random(6)
     word = lambda: "".join(rnd.choice("tbaeinshr") for _ in range(rnd.randint(2, 7)))
