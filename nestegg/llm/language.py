@@ -13,8 +13,9 @@ it was seen with, and what an escape from each context costs. Their size follows
 from, and the order is the same however many languages there are. A piece of text is coded by its
 distinct contexts with symbols, each looked up once a language.
 
-Training: at most ``SAMPLE_DOCS`` documents a language, of at most ``SAMPLE_CHARS`` characters each,
-taken in the order of a hash of the id.
+Training: the documents of at most ``SAMPLE_DOCS`` ids a language, whatever their length, taken in
+the order of a hash of the id. At most ``SAMPLE_CHARS`` characters of each document are learned from;
+of a longer one, ``SLICES`` slices of equal length, spread evenly from its start to its end.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; rows with a null
 language are scored but not learned from; without any learned language all is ``und``; equal code
@@ -28,14 +29,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nestegg.llm.common import fresh, ship, with_text_columns
 
-SAMPLE_DOCS, SAMPLE_CHARS = 300, 20_000
+SAMPLE_DOCS, SAMPLE_CHARS, SLICES = 300, 20_000, 20
 ORDER = 3
 MOST_BITS = 40.0
 EVIDENCE = 64  # bytes of text that the score's confidence is based on at most
@@ -125,16 +126,23 @@ def learned_tree(texts: list[bytes], order: int) -> list[Contexts]:
     return [c._replace(bits=c.bits.astype(np.float32), escapes=c.escapes.astype(np.float32)) for c in tree]
 
 
+def sampled_slices(text_col: str) -> Column:
+    """The text, or slices of it that have ``SAMPLE_CHARS`` characters together."""
+    size, n = SAMPLE_CHARS // SLICES, F.char_length(text_col)
+    starts = [F.floor((n - size) * i / (SLICES - 1)).cast("int") + 1 for i in range(SLICES)]
+    return F.when(n <= SAMPLE_CHARS, F.array(text_col)).otherwise(F.array(*[F.substr(F.col(text_col), a, F.lit(size)) for a in starts]))
+
+
 def learn_models(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Models:
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()
-                        & F.char_length(text_col).between(1, SAMPLE_CHARS)).select(id_col, lang_col, text_col)
+    known = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.col(text_col) != "")).select(id_col, lang_col, text_col)
     nth = F.row_number().over(W.partitionBy("sample_lang").orderBy(F.xxhash64("sample_id"), "sample_id"))
     ids = known.select(F.col(id_col).alias("sample_id"), F.col(lang_col).alias("sample_lang")).withColumn("nth", nth).filter(F.col("nth") <= SAMPLE_DOCS)
     sample = known.join(F.broadcast(ids.drop("nth").distinct()), (F.col(id_col) == F.col("sample_id")) & (F.col(lang_col) == F.col("sample_lang")))
     by_language: dict[str, list[bytes]] = {}
     # The order of the ids, so that reruns add up the same texts; repeated rows count once.
-    for lang, text in sample.select("sample_lang", text_col).distinct().orderBy("sample_lang", text_col).collect():
-        by_language.setdefault(lang, []).append(text.encode())
+    slices = sample.select("sample_lang", sampled_slices(text_col).alias("slices")).distinct().orderBy("sample_lang", "slices")
+    for lang, texts in slices.collect():
+        by_language.setdefault(lang, []).extend(t.encode() for t in texts)
     languages = sorted(by_language)
     return Models(languages, ORDER, [learned_tree(by_language[x], ORDER) for x in languages])
 

@@ -268,6 +268,24 @@ def test_language_bytes_of_many_scripts_stay_apart(spark):
     assert np.mean([r.lang_pred == r.lang for r in got]) > 0.95
 
 
+def test_language_is_learned_from_long_documents_and_beside_many(spark):
+    """A language of books only, among more languages than dense tables of order 3 had room for."""
+    rnd = random.Random(9)
+    letters = [chr(c) for c in range(97, 123)]
+    parts = {f"l{i:02}": ["".join(rnd.choice(letters) for _ in range(3)) for _ in range(8)] for i in range(20)}
+    make = lambda x, n: " ".join("".join(rnd.choice(parts[x]) for _ in range(3)) for _ in range(n))
+    rows = [(i, make(x, 3000 if x == "l07" else 60), x) for i, x in enumerate([*parts] * 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = lg.learn_models(df)
+    assert models.languages == sorted(parts) and models.order == 3
+    got = lg.with_language(df, models).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+    text = "".join(chr(0x4E00 + i % 9000) for i in range(50_001))
+    cut = spark.createDataFrame([(text,), ("x" * 20_000,)], "text string").select(lg.sampled_slices("text").alias("s")).collect()
+    assert [len(t) for t in cut[0].s] == [1000] * 20 and cut[0].s[0] == text[:1000] and cut[0].s[-1] == text[-1000:]
+    assert cut[1].s == ["x" * 20_000]
+
+
 def test_language_code_lengths_are_those_of_the_definition():
     texts = ["das haus, die maus 12".encode(), "größe über alles".encode(), b"Aus aus aus"]
     tree = lg.learned_tree(texts, 3)
