@@ -15,6 +15,7 @@ from nestegg.llm import language as lg
 from nestegg.llm import mixing as mx
 from nestegg.llm import neighbours as nb
 from nestegg.llm import quality as ql
+from nestegg.llm import queries as qs
 from nestegg.llm import secret_scan as ss
 from nestegg.llm import simhash as sh
 from nestegg.llm import suffix_dedup as sd
@@ -337,3 +338,32 @@ def test_secret_spans(spark, docs):
     assert clean.schema == docs.schema and clean.count() == docs.count()
     assert "24be" not in ss.redact(df, network).filter("doc_id = 0").first().text
     assert ss.redact(df.limit(0), ss.learn_network(df.limit(0))).isEmpty()
+
+
+def test_secrets_of_other_forms_in_the_corpus_are_found(spark, tmp_path):
+    """Planted secrets that no pattern knows aren't learned as harmless, whatever share of the corpus they are."""
+    rnd = random.Random(12)
+    base62 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    pick = lambda n: "".join(rnd.choice(base62) for _ in range(n - 2)) + "7x"
+    word = lambda: "".join(rnd.choice("etaoinshr") for _ in range(rnd.randint(2, 8)))
+    secret = [lambda: f"sk-{pick(32)}", lambda: pick(40), lambda: f"ghp_{pick(36)}", lambda: f"{pick(20)}+{pick(18)}="]
+    harmless = [lambda: f"mail{rnd.randint(0, 9)}.example.com", lambda: f"www.{word()}.com/{word()}/{word()}/{rnd.randint(1, 99)}", lambda: f"{word()}-{word()}-{word()}-{word()}-{rnd.randint(1, 99)}"]
+    rows = []
+    for i in range(600):
+        planted = rnd.choice(secret if i % 2 else harmless)()
+        rows.append((i, f"{word()} {word()} {planted} {word()} {word()}" + (" password=abcdef0123456789" if i % 10 == 0 else "")))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: "model" in r.spans for r in qs.op9_secrets(spark, str(tmp_path)).collect()}
+    known = {i for i, t in rows if not any(k == 2 for _, k, _ in ss.base_spans(t))}
+    assert np.mean([got[i] for i in known if i % 2]) >= ss.RECALL
+    assert np.mean([got[i] for i in known if i % 2 == 0]) < 0.1
+
+
+def test_secret_threshold_keeps_the_recall_of_low_scores():
+    """Few positives that look like the negatives score far below one half, and are kept nevertheless."""
+    windows, _ = ss.made_findings(np.random.default_rng(5), 1000)
+    labels = (np.arange(1000) % 10 < 2).astype(float)
+    network = ss.trained(windows, labels)
+    check = np.random.default_rng(7).permutation(1000)[:250]
+    positive = [windows[i] for i in check if labels[i]]
+    assert (network.probability(positive) >= network.threshold).mean() >= ss.RECALL
