@@ -367,3 +367,24 @@ def test_secret_threshold_keeps_the_recall_of_low_scores():
     check = np.random.default_rng(7).permutation(1000)[:250]
     positive = [windows[i] for i in check if labels[i]]
     assert (network.probability(positive) >= network.threshold).mean() >= ss.RECALL
+
+
+def test_secrets_are_found_anywhere_in_long_runs(spark, tmp_path):
+    rnd = random.Random(13)
+    base62 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    word = lambda: "".join(rnd.choice("etaoinshr") for _ in range(rnd.randint(2, 8)))
+    path = lambda n: f"www.{word()}.com/" + "/".join(f"{word()}-{word()}-{rnd.randint(1, 99)}" for _ in range(n))
+    rows = []
+    for i in range(300):
+        planted = "".join(rnd.choice(base62) for _ in range(40))
+        text = [path(12), f"{path(12)}/{planted}", f"{path(6)}/{planted}/{path(6)}"][i % 3]
+        rows.append((i, f"{word()} {word()} {text} {word()} {word()}"))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: "model" in r.spans for r in qs.op9_secrets(spark, str(tmp_path)).collect()}
+    assert np.mean([got[i] for i in got if i % 3]) >= ss.RECALL
+    assert np.mean([got[i] for i in got if i % 3 == 0]) < 0.1
+    text = "".join(chr(0x4E00 + i) for i in range(500))
+    for start, end in [(100, 116), (100, 148), (100, 149), (100, 300), (0, 500)]:
+        read = [ss.window(text, p) for p in ss.places(start, end)]
+        assert all(any(text[k : k + min(48, end - start)] in w for w in read) for k in range(start, end - min(48, end - start) + 1))
+        assert len(read) == 1 if end - start <= 48 else read[-1].rstrip("\n").endswith(text[end : end + 24])
