@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Dimensions of the default embedder's term space; vectors are sparse, so it costs only the IDF weights.
+DIM = 1 << 20
 
-def fit_embedder(docs: DataFrame, text_col: str = "page_content", dim: int = 256) -> PipelineModel:
+
+def fit_embedder(docs: DataFrame, text_col: str = "page_content", dim: int = DIM) -> PipelineModel:
     """Default embedder: tokens -> hashed term counts -> IDF (fitted on ``docs``) -> L2 normalise."""
     pipe = Pipeline(stages=[
         RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"(?U)\W+", minTokenLength=1),
@@ -27,14 +30,15 @@ def fit_embedder(docs: DataFrame, text_col: str = "page_content", dim: int = 256
 
 def embed(df: DataFrame, model: PipelineModel, text_col: str = "page_content",
           out: str = "embedding") -> DataFrame:
-    """Apply a fitted embedder; the vector becomes array<float> (the stored vector format)."""
+    """Apply a fitted embedder; the sparse vector becomes map<int, double>, dimension to weight."""
     renamed = df if text_col == "page_content" else df.withColumnRenamed(text_col, "page_content")
-    res = model.transform(renamed).withColumn(out, vector_to_array("_vec", "float32"))
+    vec = F.unwrap_udt("_vec")
+    res = model.transform(renamed).withColumn(out, F.map_from_arrays(vec["indices"], vec["values"]))
     res = res.drop("_tok", "_tf", "_tfidf", "_vec")
     return res if text_col == "page_content" else res.withColumnRenamed("page_content", text_col)
 
 
-def build_vector_table(docs: DataFrame, text_col: str = "page_content", dim: int = 256,
+def build_vector_table(docs: DataFrame, text_col: str = "page_content", dim: int = DIM,
                        path: str | None = None, fit_on: DataFrame | None = None) -> tuple[DataFrame, PipelineModel]:
     """Fit the default embedder, embed ``docs`` and store the vectors as a Parquet table.
 
@@ -66,12 +70,20 @@ def squared_l2(a: Column, b: Column) -> Column:
     return F.aggregate(diffs, F.lit(0.0), lambda acc, d: acc + d)
 
 
+def sparse_squared_l2(a: Column, b: Column) -> Column:
+    """The same of two sparse vectors, by their norms and product; rounded, so that what is equal ties."""
+    add = lambda acc, x: acc + x
+    norm = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda acc, x: acc + x * x)
+    products = F.transform(F.map_entries(a), lambda e: e["value"] * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0.0)))
+    return F.round(norm(a) + norm(b) - 2 * F.aggregate(products, F.lit(0.0), add), 12)
+
+
 def filtered_knn(queries: DataFrame, corpus: DataFrame, k: int = 3, query_key: list[str] | None = None,
                  id_col: str = "doc_id") -> DataFrame:
     """k nearest corpus rows per query, among the query's candidate ids only.
 
-    ``queries``: ``query_key`` columns, ``qvec`` array<float>, ``cand_ids`` array.
-    ``corpus``: ``id_col``, ``embedding`` array<float> (plus any payload columns).
+    ``queries``: ``query_key`` columns, ``qvec`` array<float> or sparse (``embed``), ``cand_ids`` array.
+    ``corpus``: ``id_col``, ``embedding`` of the same form (plus any payload columns).
     The answer is exact: candidates are filtered first, then ranked (an index that
     fetches a fixed number of global neighbours and filters afterwards may return
     fewer than k; this never does). Ties are broken by id.
@@ -80,7 +92,8 @@ def filtered_knn(queries: DataFrame, corpus: DataFrame, k: int = 3, query_key: l
     qk = query_key or ["query_id"]
     pairs = (queries.select(*qk, "qvec", F.explode(F.array_distinct("cand_ids")).alias(id_col))
              .join(corpus, id_col))
-    scored = pairs.withColumn("distance", squared_l2(F.col("qvec"), F.col("embedding"))).drop("qvec")
+    l2 = sparse_squared_l2 if isinstance(queries.schema["qvec"].dataType, T.MapType) else squared_l2
+    scored = pairs.withColumn("distance", l2(F.col("qvec"), F.col("embedding"))).drop("qvec")
     w = Window.partitionBy(*qk).orderBy("distance", id_col)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("embedding")
 

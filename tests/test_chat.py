@@ -38,3 +38,20 @@ def test_chat_prompts_layout_and_restriction(spark):
     chk = hits.join(q.select("conv_id", "turn", "cand_ids"), ["conv_id", "turn"])
     assert chk.where(~F.array_contains("cand_ids", F.col("doc_id"))).count() == 0
     assert chk.groupBy("conv_id", "turn").count().where("count > 3").count() == 0
+
+
+def test_embedder_keeps_the_terms_of_a_large_vocabulary_apart(spark):
+    """A query of one term is nearest to the only document that has it, and equally far from all others."""
+    from nestegg.operators import retrieve as R
+
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("낱말"), F.lpad("id", 4, "0")).alias("page_content"))
+    vectors, model = R.build_vector_table(docs)
+    ids = docs.agg(F.sort_array(F.collect_list("doc_id")).alias("cand_ids"))
+    queries = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("query_id"), F.col("page_content").alias("query"))
+    queries = R.embed(queries, model, text_col="query", out="qvec").crossJoin(ids)
+    hits = R.filtered_knn(queries, vectors.select("doc_id", "embedding"), 3).collect()
+    for r in hits:
+        others = [i for i in range(3) if i != r.query_id]
+        assert r.doc_id == (r.query_id if r["rank"] == 1 else others[r["rank"] - 2])
+        assert abs(r.distance - (0 if r["rank"] == 1 else 2)) < 1e-9
+    assert len(hits) == 600
