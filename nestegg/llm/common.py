@@ -35,6 +35,11 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder in the shared folder, for one use."""
+    return f"{shared_root(spark)}/nestegg-llm/{name}-{uuid.uuid4().hex}"
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batches to ``ARROW_ROWS`` rows, unless they are smaller already."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -49,7 +54,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     a staged table only when it is small.
     """
     bound_batches(df.sparkSession)
-    path = f"{shared_root(df.sparkSession)}/nestegg-llm/{name}-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

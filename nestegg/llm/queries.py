@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from nestegg.llm.common import held_out, labelled_documents, read_table, sha256_joined
 from nestegg.llm.decontaminate import contamination
 from nestegg.llm.language import learn_models, with_language
+from nestegg.llm.lexical_search import search
 from nestegg.llm.mixing import mix, taken_words
 from nestegg.llm.neighbours import nearest_neighbours
 from nestegg.llm.quality import with_quality
@@ -19,6 +20,7 @@ from nestegg.llm.suffix_dedup import deduplicated
 from nestegg.llm.toxicity import SAMPLE_ROWS as TOXICITY_ROWS
 from nestegg.llm.toxicity import learn_lexicon, with_toxicity
 from nestegg.llm.url_filter import Rule, judged
+from nestegg.llm.warc import round_trip
 
 URL_RULES = [
     Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"),
@@ -91,6 +93,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search(docs, read_table(spark, sf_dir, "benchmark"), k=10).select("item_id", "rank", "doc_id", "score")
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_neighbours": op2_neighbours,
@@ -102,6 +113,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_secrets": op9_secrets,
     "op10_toxicity": op10_toxicity,
+    "op11_search": op11_search,
+    "op12_warc": op12_warc,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -144,5 +157,38 @@ FROM parts
 """
 
 
+_TERMS = f"regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+_SEARCH_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce({_TERMS}, []) AS w FROM documents),
+corpus AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w)) AS n_words FROM docs),
+items AS (SELECT row_number() OVER () AS item_row, item_id, unnest(list_distinct({_TERMS})) AS term FROM benchmark),
+words AS (SELECT row_id, len(w) AS n, unnest(w) AS term FROM docs),
+tfs AS (SELECT row_id, n, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM items) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tfs, corpus GROUP BY term),
+impacts AS (
+  SELECT row_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // CAST(n_words AS BIGINT)))) AS impact
+  FROM tfs JOIN weights USING (term), corpus),
+scores AS (
+  SELECT item_row, item_id, row_id, CAST(sum(impact) AS BIGINT) AS score
+  FROM items JOIN impacts USING (term) GROUP BY ALL HAVING sum(impact) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_row ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scores JOIN docs USING (row_id)
+QUALIFY rank <= 10
+"""
+
+_WARC_SQL = """
+WITH payloads AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM payloads)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM first_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM firsts
+"""
+
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op3_decontaminate": _DECONTAMINATE_SQL, "op5_url_filter": _url_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontaminate": _DECONTAMINATE_SQL, "op5_url_filter": _url_sql(), "op11_search": _SEARCH_SQL, "op12_warc": _WARC_SQL}
