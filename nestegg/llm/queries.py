@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nestegg.llm.collocations import collocations
 from nestegg.llm.common import held_out, labelled_documents, read_table, sha256_joined
 from nestegg.llm.decontaminate import contamination
 from nestegg.llm.language import learn_models, with_language
@@ -102,6 +103,11 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("text", "lang")
+    return collocations(docs, min_count=100, longest=5, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_neighbours": op2_neighbours,
@@ -115,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_search": op11_search,
     "op12_warc": op12_warc,
+    "op13_collocations": op13_collocations,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -189,6 +196,34 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM firsts
 """
 
+_COLLOCATIONS_SQL = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format('text')}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, w[i:i + s - 1] AS w FROM (
+    SELECT lang, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM words, unnest(range(1, 6)) AS t(s) WHERE len(w) >= s)),
+counts AS (SELECT lang, w, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+candidates AS (SELECT * FROM counts WHERE len(w) > 1),
+inside AS (
+  SELECT DISTINCT lang, w[i:j] AS part, f FROM (
+    SELECT lang, w, f, i, unnest(range(i + 1, len(w) + 1)) AS j FROM (SELECT *, unnest(range(1, len(w))) AS i FROM candidates))
+  WHERE j - i + 1 < len(w)),
+kept AS (
+  SELECT lang, w, f FROM candidates
+  WHERE NOT EXISTS (FROM inside WHERE inside.lang = candidates.lang AND inside.part = candidates.w AND 100 * inside.f >= 100 * candidates.f)),
+cuts AS (SELECT lang, w, f AS a, unnest(range(1, len(w))) AS k FROM kept),
+scores AS (
+  SELECT cuts.lang, cuts.w, a, k, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score FROM (
+    SELECT *, w[1:k] AS x_w, w[k + 1:] AS y_w FROM cuts) AS cuts
+  JOIN counts AS x ON x.lang = cuts.lang AND x.w = x_w JOIN counts AS y ON y.lang = cuts.lang AND y.w = y_w JOIN totals ON totals.lang = cuts.lang),
+weakest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) AS rank, array_to_string(w, ' ') AS phrase,
+  a, l, r, n, CAST(score AS BIGINT) AS score
+FROM weakest QUALIFY rank <= 2000
+"""
+
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
-    "op3_decontaminate": _DECONTAMINATE_SQL, "op5_url_filter": _url_sql(), "op11_search": _SEARCH_SQL, "op12_warc": _WARC_SQL}
+    "op3_decontaminate": _DECONTAMINATE_SQL, "op5_url_filter": _url_sql(), "op11_search": _SEARCH_SQL, "op12_warc": _WARC_SQL, "op13_collocations": _COLLOCATIONS_SQL}
