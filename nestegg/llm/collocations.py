@@ -8,7 +8,8 @@ Texts (A-Z lower-cased) are cut into pieces at ``[.,;:!?\x0A-\x0D]``, pieces int
 2. The chunks' vocabularies, summed, give every word's count. Words that occur ``min_count`` times
    get dense numbers (no phrase of that many occurrences holds another word). The numbers come
    back to each chunk by a join on (language, word) and one on the chunk; no dictionary is
-   broadcast. The renumbered chunks are staged.
+   broadcast, only a bit table of fixed size that keeps most of the rare words out of the join. The
+   renumbered chunks are staged.
 3. For each length from 2 on, a task packs the n-grams of its chunks, permutes them, and holds
    them in counting quotient filters (``quotient_filter.py``), one for each slice of the permuted
    keys. The filters of a slice, from all tasks, are merged in order; keys that occur ``min_count``
@@ -50,7 +51,7 @@ from nestegg.llm.quotient_filter import MOST_HALF, Packing, QuotientFilter, comb
 FOLD = bytes(0xFF if chr(b) in ".,;:!?\n\v\f\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 BREAK = b"\xff"
 #: Text of one chunk; its numbers and vocabulary are one row.
-CHUNK_TEXT = 512 << 10
+CHUNK_TEXT = 2 << 20
 #: Distinct keys that a task holds before it writes its filters out.
 HELD_KEYS = 2 << 20
 #: Words of the corpus for each slice.
@@ -100,9 +101,19 @@ def numbered(frequent: DataFrame) -> tuple[DataFrame, int]:
     return placed.withColumn("id", (F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int")).drop("part", "start", "at"), total
 
 
+def may_be_frequent(own: DataFrame, words: DataFrame) -> DataFrame:
+    """The rows of ``own`` whose word sets a bit that a frequent word sets: bitmaps of at most ``2^TABLE_BITS`` bits are broadcast."""
+    bit = F.shiftrightunsigned(F.xxhash64("lang", "word"), 64 - TABLE_BITS)
+    place, bucket = bit.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)), F.shiftright(bit, BUCKET_BITS)
+    maps = words.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits"))
+    byte = F.conv(F.hex(F.substr("bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1
+    return own.withColumn("bucket", bucket).join(F.broadcast(maps), "bucket").filter(is_set).select(own.columns)
+
+
 def renumbered(made: DataFrame, words: DataFrame) -> DataFrame:
     """tokens (int32) of each chunk under the global numbers; 0 for breaks and for words that aren't frequent."""
-    own = made.select("chunk", "lang", F.posexplode("words").alias("place", "word"))
+    own = may_be_frequent(made.select("chunk", "lang", F.posexplode("words").alias("place", "word")), words)
     maps = own.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("chunk").agg(
         F.collect_list(F.struct("place", "id")).alias("pairs"))
     schema = T.StructType([T.StructField("tokens", T.BinaryType())])
@@ -162,14 +173,14 @@ def filters(tokens: DataFrame, packing: Packing, slice_bits: int, shorter: bytes
             return [combined(packing.half, *(np.concatenate(x) for x in zip(*parts)))]
 
         for batch in batches:
-            for raw in batch.column("tokens").to_pylist():
-                left, right = keys(np.frombuffer(raw, np.int32), table)
+            for raw in batch.column("tokens"):
+                left, right = keys(np.frombuffer(raw.as_py(), np.int32), table)
                 held.append(combined(packing.half, left, right, np.ones(len(left), np.int64)))
-            if sum(len(h[0]) for h in held) > HELD_KEYS:
-                held = together(held)
-                if len(held[0][0]) > HELD_KEYS // 2:
-                    yield from written(held)
-                    held = []
+                if sum(len(h[0]) for h in held) > HELD_KEYS:
+                    held = together(held)
+                    if len(held[0][0]) > HELD_KEYS // 2:
+                        yield from written(held)
+                        held = []
         if held:
             yield from written(together(held))
 
