@@ -3,14 +3,12 @@ r"""Phrase collocations: exact n-gram counts in counting quotient filters, score
 Texts (A-Z lower-cased) are cut into pieces at ``[.,;:!?\x0A-\x0D]``, pieces into words
 ``[^\x20\x09]+``; everything is counted within a language (null: ``und``).
 
-1. One pass over the texts turns each run of documents of one language into a chunk: its words as
-   numbers of the chunk's own vocabulary, with the vocabulary and its counts (staged).
-2. The chunks' vocabularies, summed, give every word's count. Words that occur ``min_count`` times
-   get dense numbers (no phrase of that many occurrences holds another word). The numbers come
-   back to each chunk by a join on (language, word) and one on the chunk; no dictionary is
-   broadcast, only a bit table of fixed size that keeps most of the rare words out of the join. The
-   renumbered chunks are staged.
-3. For each length from 2 on, a task packs the n-grams of its chunks, permutes them, and holds
+1. One pass over the texts counts words in each task, then over all tasks. Words that occur
+   ``min_count`` times get dense numbers (no phrase of that many occurrences holds another word).
+2. A second pass writes the texts as numbers (staged): the words of a piece are looked up by their
+   128-bit hashes in the sorted hashes of the numbered words, which are broadcast (16 bytes each,
+   at most ``MOST_WORDS``). 0 stands for the end of a piece and for any other word.
+3. For each length from 2 on, a task packs the n-grams of its pieces, permutes them, and holds
    them in counting quotient filters (``quotient_filter.py``), one for each slice of the permuted
    keys. The filters of a slice, from all tasks, are merged in order; keys that occur ``min_count``
    times are read back through the inverse permutation. Slices are even, whatever the n-grams are,
@@ -25,20 +23,20 @@ Texts (A-Z lower-cased) are cut into pieces at ``[.,;:!?\x0A-\x0D]``, pieces int
 
 Defined cases: null and empty texts have no words; null languages count as ``und``; rows that repeat
 count again; an empty table, or one without frequent words, gives an empty result; other columns
-take no part. More than ``2^24 - 1`` frequent words (of all languages) are an error, to be met with a
-larger ``min_count``: the packed key of five words would not fit.
+take no part. More than ``MOST_WORDS`` frequent words (of all languages) are an error, to be met with a
+larger ``min_count``: the packed key of five words would not fit, and the hashes are broadcast.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,8 +48,9 @@ from nestegg.llm.quotient_filter import MOST_HALF, Packing, QuotientFilter, comb
 #: A-Z become a-z, tabs become spaces, characters that end a piece become 0xFF (which UTF-8 doesn't use).
 FOLD = bytes(0xFF if chr(b) in ".,;:!?\n\v\f\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 BREAK = b"\xff"
-#: Text of one chunk; its numbers and vocabulary are one row.
-CHUNK_TEXT = 2 << 20
+MOST_WORDS = (1 << 24) - 1
+#: Distinct words that a task counts before it writes them out.
+HELD_WORDS = 1 << 20
 #: Distinct keys that a task holds before it writes its filters out.
 HELD_KEYS = 2 << 20
 #: Words of the corpus for each slice.
@@ -60,33 +59,49 @@ TABLE_BITS = 27
 BUCKET_BITS = 15  # of one bitmap of Spark's
 
 
-def chunks(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """chunk, lang, n_words, tokens (int32: 0 ends a piece, else the place in ``words`` from 1), words, counts."""
-    schema = T.StructType([
-        T.StructField("chunk", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("n_words", T.LongType()),
-        T.StructField("tokens", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.LongType()))])
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
+def cut(texts: list[bytes | None]) -> list[bytes]:
+    """The words of the texts, with ``BREAK`` around each piece."""
+    found = BREAK.join([b"", *(t or b"" for t in texts)]).translate(FOLD).replace(BREAK, b" \xff ").split(b" ")
+    return [w for w in found if w]
+
+
+def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    """(language, words) of each piece of a batch."""
+    for piece in text_pieces(batches, "text"):
+        texts = defaultdict(list)
+        for lang, text in zip(piece.column("lang").to_pylist(), as_bytes(piece.column("text"))):
+            texts[lang].append(text)
+        for lang, some in texts.items():
+            yield lang, cut(some)
+
+
+def texts_of(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """lang, word, f over all texts; the row without a word has the number of all."""
+    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("word", T.StringType()), T.StructField("f", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = TaskContext.get().partitionId() << 33
-        for piece in text_pieces(batches, "text", CHUNK_TEXT):
-            by_lang = defaultdict(list)
-            for lang, text in zip(piece.column("lang").to_pylist(), as_bytes(piece.column("text"))):
-                by_lang[lang].append(text or b"")
-            for lang, texts in by_lang.items():
-                numbers: dict[bytes, int] = defaultdict()
-                numbers.default_factory = numbers.__len__
-                numbers[BREAK]  # noqa: B018  the break is number 0
-                found = BREAK.join([b"", *texts]).translate(FOLD).replace(BREAK, b" \xff ").split(b" ")
-                tokens = np.fromiter((numbers[w] for w in found if w), np.int32)
-                tokens = tokens[np.concatenate([[True], (tokens[1:] != 0) | (tokens[:-1] != 0)])]
-                counts = np.bincount(tokens, minlength=len(numbers))[1:]
-                if len(counts):
-                    row = (made, lang, int(counts.sum()), tokens.tobytes(), [w.decode() for w in [*numbers][1:]], counts)
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=schema.names)
-                    made += 1
-
-    return docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang")).mapInArrow(run, schema)
+        counts: dict[str, Counter] = defaultdict(Counter)
+
+        def written() -> Iterator[pa.RecordBatch]:
+            for lang, found in counts.items():
+                found.pop(BREAK, None)
+                words, n = [None, *(w.decode() for w in found)], [sum(found.values()), *found.values()]
+                for a in range(0, len(words), 50_000):
+                    some = words[a : a + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.string()), pa.array(n[a : a + 50_000], pa.int64())], names=schema.names)
+
+        for lang, words in by_language(batches):
+            counts[lang].update(words)
+            if sum(map(len, counts.values())) > HELD_WORDS:
+                yield from written()
+                counts.clear()
+        yield from written()
+
+    return docs.mapInArrow(run, schema).groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
 def numbered(frequent: DataFrame) -> tuple[DataFrame, int]:
@@ -101,36 +116,42 @@ def numbered(frequent: DataFrame) -> tuple[DataFrame, int]:
     return placed.withColumn("id", (F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int")).drop("part", "start", "at"), total
 
 
-def may_be_frequent(own: DataFrame, words: DataFrame) -> DataFrame:
-    """The rows of ``own`` whose word sets a bit that a frequent word sets: bitmaps of at most ``2^TABLE_BITS`` bits are broadcast."""
-    bit = F.shiftrightunsigned(F.xxhash64("lang", "word"), 64 - TABLE_BITS)
-    place, bucket = bit.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)), F.shiftright(bit, BUCKET_BITS)
-    maps = words.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits"))
-    byte = F.conv(F.hex(F.substr("bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    is_set = F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1
-    return own.withColumn("bucket", bucket).join(F.broadcast(maps), "bucket").filter(is_set).select(own.columns)
+def hashes(words: list[bytes], lang: str) -> tuple[np.ndarray, np.ndarray]:
+    """The two hashes of words of a language, as :func:`hash_table` has them from Spark."""
+    seeds = [xxhash.xxh64_intdigest(x, 42) for x in (lang.encode(), lang.encode() + b"\0")]
+    return tuple(np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words)) for seed in seeds)
 
 
-def renumbered(made: DataFrame, words: DataFrame) -> DataFrame:
-    """tokens (int32) of each chunk under the global numbers; 0 for breaks and for words that aren't frequent."""
-    own = may_be_frequent(made.select("chunk", "lang", F.posexplode("words").alias("place", "word")), words)
-    maps = own.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("chunk").agg(
-        F.collect_list(F.struct("place", "id")).alias("pairs"))
+def hash_table(words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first hash, second hash, number) of the numbered words, in order of the first."""
+    table = words.select(F.xxhash64("lang", "word").alias("a"), F.xxhash64(F.concat("lang", F.lit("\0")), "word").alias("b"), "id").toArrow()
+    a, b, number = (table.column(c).to_numpy() for c in ("a", "b", "id"))
+    a = a.view(np.uint64)
+    order = np.argsort(a)
+    if len(a) != len(np.unique(a)):
+        raise ValueError("two frequent words have one hash")
+    return a[order], b.view(np.uint64)[order], number[order]
+
+
+def renumbered(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """tokens (int32) of pieces of the texts; 0 for breaks and for words without a number."""
+    shipped = ship(docs.sparkSession, hash_table(words))
     schema = T.StructType([T.StructField("tokens", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                tokens = np.frombuffer(row.column("tokens")[0].as_py(), np.int32)
-                to = np.zeros(int(tokens.max()) + 1, np.int32)
-                pairs = row.column("pairs").flatten()
-                to[np.asarray(pairs.field(0)) + 1] = np.asarray(pairs.field(1))
-                tokens = to[tokens]
-                kept = tokens[np.concatenate([[True], (tokens[1:] != 0) | (tokens[:-1] != 0)])]
-                yield pa.RecordBatch.from_arrays([pa.array([kept.tobytes()], pa.binary())], names=["tokens"])
+        first, second, number = shipped()
+        for lang, found in by_language(batches):
+            own: dict[bytes, int] = defaultdict()
+            own.default_factory = own.__len__
+            tokens = np.fromiter(map(own.__getitem__, found), np.int32, len(found))
+            a, b = hashes([*own], lang)
+            at = np.minimum(np.searchsorted(first, a), len(first) - 1)
+            to = np.where((first[at] == a) & (second[at] == b), number[at], 0).astype(np.int32)
+            tokens = to[tokens]
+            kept = tokens[np.concatenate([[True], (tokens[1:] != 0) | (tokens[:-1] != 0)])] if len(tokens) else tokens
+            yield pa.RecordBatch.from_arrays([pa.array([kept.tobytes()], pa.binary())], names=["tokens"])
 
-    return made.select("chunk", "tokens").join(maps, "chunk").select("tokens", "pairs").mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def table_bit(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -218,7 +239,7 @@ def phrase_counts(tokens: DataFrame, n_numbers: int, n_words: int, min_count: in
     """words, f of all phrases of 2 to ``longest`` words that occur ``min_count`` times; None if there are none."""
     slice_bits, table, out = max(1, (n_words // SLICE_WORDS).bit_length()), None, None
     if Packing(longest, n_numbers.bit_length()).half > MOST_HALF:
-        raise ValueError(f"{n_numbers} words occur {min_count} times; keys of {longest} of them don't fit, take a larger min_count")
+        raise ValueError(f"keys of {longest} of {n_numbers} words don't fit, take a larger min_count")
     for length in range(2, longest + 1):
         packing = Packing(length, n_numbers.bit_length())
         parts = filters(tokens, packing, min(slice_bits, packing.half), table)
@@ -254,16 +275,17 @@ def scored(phrases: DataFrame, words: DataFrame, totals: DataFrame) -> DataFrame
 def collocations(docs: DataFrame, min_count: int = 100, longest: int = 5, top: int = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's ``top`` collocations."""
     spark: SparkSession = docs.sparkSession
-    made = stage(chunks(docs, text_col, lang_col), "phrase-chunks")
-    totals = stage(made.groupBy("lang").agg(F.sum("n_words").alias("n")), "phrase-totals")  # a row for each language
-    pairs = F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("count"))
-    every = made.select("lang", F.inline(pairs)).groupBy("lang", "word").agg(F.sum("count").alias("f"))
-    words, n_numbers = numbered(every.filter(F.col("f") >= min_count))
+    texts = texts_of(docs, text_col, lang_col)
+    counts = stage(word_counts(texts).filter((F.col("f") >= min_count) | F.col("word").isNull()), "phrase-counts")
+    totals = counts.filter(F.col("word").isNull()).select("lang", F.col("f").alias("n"))  # a row for each language
+    words, n_numbers = numbered(counts.filter(F.col("word").isNotNull()))
+    if n_numbers > MOST_WORDS:
+        raise ValueError(f"{n_numbers} words occur {min_count} times, {MOST_WORDS} are possible; take a larger min_count")
     words = stage(words, "phrase-dictionary")
     n_words = totals.agg(F.sum("n")).first()[0] or 0
     phrases = None
     if n_numbers:
-        tokens = stage(renumbered(made, words), "phrase-tokens")
+        tokens = stage(renumbered(texts, words), "phrase-tokens")
         phrases = phrase_counts(tokens, n_numbers, n_words, min_count, longest)
     if phrases is None:
         return spark.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")

@@ -52,7 +52,7 @@ def random_rows(seed):
 def test_collocations_equal_brute_force(spark, monkeypatch, min_count, top, held):
     monkeypatch.setattr(cl, "HELD_KEYS", held)
     monkeypatch.setattr(cl, "SLICE_WORDS", 1000)
-    monkeypatch.setattr(cl, "CHUNK_TEXT", 3000)
+    monkeypatch.setattr(cl, "HELD_WORDS", held)
     rows = random_rows(min_count)
     docs = spark.createDataFrame([(t, lang, "x", 1, [1]) for lang, t in rows], "text string, lang string, phrase string, n int, words array<int>").repartition(7)
     got = cl.collocations(docs, min_count=min_count, top=top)
