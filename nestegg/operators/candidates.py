@@ -65,6 +65,14 @@ def coerce(df: DataFrame, missing: str = "zero") -> DataFrame:
     return df
 
 
+def set_operators(profiles_or_sets: DataFrame, catalog: dict[str, DataFrame]) -> DataFrame:
+    """(cand_key, operator_id) of every distinct candidate set."""
+    sets = (profiles_or_sets if "operator_name" in profiles_or_sets.columns
+            else candidate_sets(profiles_or_sets))
+    ops = catalog["operator_info"].select(F.col("id").alias("operator_id"), "operator_name")
+    return sets.join(ops, "operator_name").select("cand_key", "operator_id")
+
+
 def candidate_pairs(profiles_or_sets: DataFrame, catalog: dict[str, DataFrame]) -> DataFrame:
     """Distinct (cand_key, product_id) a candidate set may buy.
 
@@ -72,11 +80,8 @@ def candidate_pairs(profiles_or_sets: DataFrame, catalog: dict[str, DataFrame])
     mapping; duplicates (several operators or subscriber types per product) are
     removed on the two keys only, before any product attribute is attached.
     """
-    sets = (profiles_or_sets if "operator_name" in profiles_or_sets.columns
-            else candidate_sets(profiles_or_sets))
-    ops = catalog["operator_info"].select(F.col("id").alias("operator_id"), "operator_name")
     # Small side: one row per (set, operator); size-checked before broadcasting.
-    set_ops = sets.join(ops, "operator_name").select("cand_key", "operator_id")
+    set_ops = set_operators(profiles_or_sets, catalog)
     return (catalog["product_mapping"].select("product_id", "operator_id")
             .join(bounded_broadcast(set_ops), "operator_id")
             .select("cand_key", "product_id")

@@ -12,10 +12,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nestegg.operators import bitmaps as B
 from nestegg.operators import guaranteed as G
 from nestegg.operators import variable as V
-from nestegg.operators.candidates import (candidate_pairs, candidate_sets, product_table, set_stats,
-                                          split_category, with_stats)
+from nestegg.operators.candidates import candidate_sets, product_table, set_operators, with_stats
 from nestegg.session import bounded_broadcast, cut_lineage
 
 GUARANTEED_KEYS = ["cand_key", "risk_preference"]
@@ -44,52 +44,64 @@ def segments(profiles: DataFrame) -> DataFrame:
 class Hub:
     """Candidate rows and their segment-free components, shared by every top-n.
 
-    Product-level features (keyword kind, parsed risk level, TDF flag, launch age)
-    are computed once per product. The (candidate set x product) rows carry only
-    the two keys and numbers; product texts are attached to the bounded top-n rows
-    only. The candidate-set table is the only one whose size is measured: every
-    table keyed by candidate set is bounded by a fixed multiple of it (classes x
-    silver x direct <= 20). The candidate rows and the two component tables are
-    written once to the shared checkpoint folder (``materialize``), so each top-n
-    and each consumer reads them instead of replaying the catalog joins.
+    Product-level features (keyword kind, parsed risk level, TDF flag, launch age) are computed once
+    per product. A candidate set is the union of its operators' bitmaps, its statistics merge from
+    its operators' extremes, and the size rank counts bits (``bitmaps.py``): what is written grows
+    with operators x products. Rows of (set, product) are expanded where they are consumed (the
+    top-n, or a query that returns them), in the partitioning of the bitmaps, and product texts are
+    attached to the bounded top-n rows only. The candidate-set table is the only one whose size is
+    measured: every table keyed by candidate set is bounded by a fixed multiple of it (classes x
+    silver x direct <= 20).
     """
 
     def __init__(self, profiles: DataFrame, catalog: dict[str, DataFrame], as_of: str, missing: str = "zero",
-                 materialize: bool = True):
+                 materialize: bool = True, bucket_bits: int = B.BUCKET_BITS):
         self.profiles = profiles
         self.as_of = as_of
         self.missing = missing
         self.materialize = materialize
         self.segments = segments(profiles)
-        self.cand_sets = candidate_sets(profiles).cache()
+        self.cand_sets = cut_lineage(candidate_sets(profiles), "candidate_sets")
         self.set_rows = self.cand_sets.count()
         # Catalog-sized, read by the features, the top-n texts and the documents: written once.
         self.products = self.keep(product_table(catalog, missing), "products")
-        self.pairs = candidate_pairs(self.cand_sets, catalog)
         feats = V.variable_features(G.guaranteed_features(self.products), as_of, missing).select(
             "product_id", "category", "interest_rate", "return_1y", "return_3y", "return_5y", "total_expense_ratio",
             "total_net_worth", "is_safe", "is_risky", "kind", "parsed_risk", "product_tdf", "years_active", "score_s")
-        # (set x product) rows: two keys and product numbers; the per-set statistics are a
-        # tiny broadcast joined where the components are derived, not stored on every row.
-        self.candidates = self.keep(self.pairs.join(feats, "product_id"), "candidates")
-        self.stats = self.keep(set_stats(self.candidates), "set_stats")
+        self.slots = B.product_slots(feats, bucket_bits=bucket_bits)
+        self.operators = set_operators(self.cand_sets, catalog)
+        self.summaries = self.keep(B.operator_summaries(catalog["product_mapping"], self.slots.rows), "operator_summaries")
+        self.counts = self.keep(B.ranked_counts(self.sets, self.slots.ranked_buckets), "set_counts")
+        worth = self.counts.groupBy("cand_key").agg(F.max("n_worth").alias("n_worth"))
+        self.stats = self.keep(B.set_extremes(self.operators, self.summaries).join(worth, "cand_key", "left"), "set_stats")
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         return cut_lineage(df, name) if self.materialize else df
 
-    @cached_property
-    def _halves(self) -> tuple[DataFrame, DataFrame]:
-        return split_category(with_stats(self.candidates, self.set_rows, self.stats))
+    @property
+    def sets(self) -> DataFrame:
+        """(cand_key, bucket, bits): never written, the OR of a few small rows."""
+        n = int(self.products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return B.set_bitmaps(self.operators, self.summaries, n)
+
+    @property
+    def candidates(self) -> DataFrame:
+        """One row per (cand_key, product), with the product features."""
+        return B.set_rows(self.sets, self.slots)
+
+    def _half(self, category: str) -> DataFrame:
+        rows = B.set_rows(self.sets, self.slots, self.slots.rows.where(F.col("category") == category))
+        return with_stats(rows, self.set_rows, self.stats)
 
     @cached_property
     def g_components(self) -> DataFrame:
-        """One column over the materialised rows: cheaper to recompute than to write and re-read."""
-        return G.guaranteed_components(self._halves[0]).select(*G_COMPONENT_COLS)
+        return G.guaranteed_components(self._half("GUARANTEED")).select(*G_COMPONENT_COLS)
 
     @cached_property
     def v_components(self) -> DataFrame:
-        v = V.variable_components(self._halves[1], self.as_of, self.missing, self.set_rows)
-        return self.keep(v.select(*V_COMPONENT_COLS), "v_components")
+        ranked = B.average_ranks(self._half("NON_GUARANTEED"), self.counts, self.slots, "worth_rank")
+        v = V.variable_components(ranked, self.as_of, self.missing, self.set_rows)
+        return v.select(*V_COMPONENT_COLS)
 
     def with_product_info(self, top: DataFrame, bound: int) -> DataFrame:
         """Attach the product texts to (at most ``bound``) top-n rows; the top rows are the broadcast side."""
@@ -117,7 +129,10 @@ class Scored:
         self.top_n = top_n
         self.segments = self.hub.segments
         self.set_rows = self.hub.set_rows
-        self.candidates = self.hub.candidates
+
+    @property
+    def candidates(self) -> DataFrame:
+        return self.hub.candidates
 
     @property
     def g_components(self) -> DataFrame:

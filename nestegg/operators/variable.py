@@ -1,10 +1,9 @@
 """Market-linked (non-guaranteed) product scoring.
 
 Per (cand_key, product) the components R (two variants: normal / silver), C, A,
-S, the parsed risk level and the TDF flag are computed once. A segment's F and T of a product depend on its
-(level, tdf) alone, so within a (cand_key, silver, level, tdf) group a segment ranks
-by the exact total for one (F, T) of at most 5 x 2. The top-n of every such group is
-the pool that is expanded to segments.
+S, the parsed risk level and the TDF flag are computed once. Rows are scored, narrow, for the
+segments present among the users of their set (20 at most), and the ranking window keeps n
+rows a segment in each map task before the shuffle.
 """
 
 from __future__ import annotations
@@ -19,6 +18,10 @@ from nestegg.operators.candidates import EPOCH, average_rank
 from nestegg.session import bounded_broadcast
 
 
+#: Levels of the risk matrix.
+RISK_LEVELS = range(1, 1 + max(map(len, K.RISK_LEVEL_MATRIX.values())))
+
+
 def score_return(df: DataFrame) -> DataFrame:
     """F1-F2: min-max normalised returns and R for both modes (``score_r``, ``score_r_silver``)."""
     df = df.withColumns({
@@ -60,7 +63,8 @@ def score_fee(df: DataFrame) -> DataFrame:
 
 def score_size(df: DataFrame, buckets: int = 128, set_rows: int | None = None) -> DataFrame:
     """F8: 100*(avg_rank-1)/(N-1) over non-null net worth; N <= 1 -> 50; NULL -> 0."""
-    df = average_rank(df, ["cand_key"], "total_net_worth", buckets=buckets, out="worth_rank", key_rows=set_rows)
+    if "worth_rank" not in df.columns:
+        df = average_rank(df, ["cand_key"], "total_net_worth", buckets=buckets, out="worth_rank", key_rows=set_rows)
     n = F.col("n_worth")
     a = F.when(n > 1, F.coalesce(F.lit(100.0) * (F.col("worth_rank") - 1) / (n - 1), F.lit(0.0))).otherwise(F.lit(50.0))
     return df.withColumn("score_a", a).drop("worth_rank")
@@ -86,7 +90,8 @@ def variable_components(variable: DataFrame, as_of: str, missing: str = "zero",
     """All segment-free components for variable candidate rows carrying ``set_stats``.
 
     Product-level features are computed here unless already present (see
-    :func:`variable_features`); the set-dependent ones (R, C, A) always are.
+    :func:`variable_features`); the set-dependent ones (R, C, A) always are. ``worth_rank`` is taken
+    from the rows when they carry it (``bitmaps.average_ranks``).
     """
     df = variable if "score_s" in variable.columns else variable_features(variable, as_of, missing)
     df = score_return(df)
@@ -94,49 +99,52 @@ def variable_components(variable: DataFrame, as_of: str, missing: str = "zero",
     return score_size(df, set_rows=set_rows)
 
 
-def total_score(silver: Column, score_r: Column, score_f: Column, score_t: Column) -> Column:
-    """weighted sum in the fixed term order; any NULL term makes the total NULL."""
-    def wsum(w):
-        return (F.lit(w["R"]) * score_r + F.lit(w["F"]) * score_f + F.lit(w["C"]) * F.col("score_c")
-                + F.lit(w["T"]) * score_t + F.lit(w["A"]) * F.col("score_a") + F.lit(w["S"]) * F.col("score_s"))
-    return F.when(silver, wsum(K.WEIGHTS_SILVER)).otherwise(wsum(K.WEIGHTS_NORMAL))
+def segment_terms(segments: DataFrame) -> DataFrame:
+    """What a segment brings to the total: F by risk level, the fit of a TDF, and the weights of its mode.
+
+    Worked out once a segment, so that a (segment, product) row only multiplies and adds.
+    """
+    weights = lambda w: F.struct(*[F.lit(float(w[c])).alias(c) for c in "RFCTAS"])
+    return segments.withColumns({
+        "_f": F.array(*[risk_level_score(F.col("risk_preference"), F.lit(level)) for level in RISK_LEVELS]),
+        "_t": tdf_fit(F.col("manages_self")),
+        "_w": F.when(F.col("is_silver"), weights(K.WEIGHTS_SILVER)).otherwise(weights(K.WEIGHTS_NORMAL)),
+    })
 
 
 def score_segments(rows: DataFrame) -> DataFrame:
-    """Per-segment F, T and total for rows carrying risk_preference, is_silver, manages_self."""
-    return rows.withColumns({
+    """per-segment F, T and total (weighted sum in the fixed term order) for component rows with a segment.
+
+    Any NULL term makes the total NULL; a risk level outside the matrix has no F.
+    """
+    rows = rows if "_w" in rows.columns else segment_terms(rows)
+    level, w = F.col("parsed_risk"), F.col("_w")
+    rows = rows.withColumns({
         "score_r_mode": F.when(F.col("is_silver"), F.col("score_r_silver")).otherwise(F.col("score_r")),
-        "score_f": risk_level_score(F.col("risk_preference"), F.col("parsed_risk")),
-        "score_t": (F.col("product_tdf") * tdf_fit(F.col("manages_self"))).cast("double"),
-    }).withColumn("total_score", total_score(F.col("is_silver"), F.col("score_r_mode"), F.col("score_f"),
-                                             F.col("score_t")))
-
-
-def variable_pool(components: DataFrame, top_n: int) -> DataFrame:
-    """Rows among the top-n by exact total of their (cand_key, silver, level, tdf), for any F and T it can take."""
-    fits = F.array_distinct(F.array(*[F.struct(risk_level_score(F.lit(c), F.col("parsed_risk")).alias("score_f"),
-                                               (F.col("product_tdf") * tdf_fit(F.lit(m))).cast("double").alias("score_t"))
-                                      for c in K.RISK_LEVEL_MATRIX for m in (False, True)]))
-    df = (components.withColumn("is_silver", F.explode(F.array(F.lit(False), F.lit(True))))
-          .withColumn("_fit", F.explode(fits)))
-    score_r = F.when(F.col("is_silver"), F.col("score_r_silver")).otherwise(F.col("score_r"))
-    df = df.withColumn("_total", total_score(F.col("is_silver"), score_r, F.col("_fit.score_f"), F.col("_fit.score_t")))
-    win = Window.partitionBy("cand_key", "is_silver", "parsed_risk", "product_tdf", "_fit") \
-        .orderBy(F.col("_total").desc_nulls_last(), "product_id")
-    return (df.withColumn("_k", F.row_number().over(win)).where(F.col("_k") <= top_n)
-            .drop("_k", "_fit", "_total").dropDuplicates(["cand_key", "product_id", "is_silver"]))
+        "score_f": F.when(level.between(RISK_LEVELS[0], RISK_LEVELS[-1]), F.get("_f", (level - RISK_LEVELS[0]).cast("int"))),
+        "score_t": (F.col("product_tdf") * F.col("_t")).cast("double"),
+    })
+    total = (w["R"] * F.col("score_r_mode") + w["F"] * F.col("score_f") + w["C"] * F.col("score_c")
+             + w["T"] * F.col("score_t") + w["A"] * F.col("score_a") + w["S"] * F.col("score_s"))
+    return rows.withColumn("total_score", total).drop("_f", "_t", "_w")
+
+
+#: What the totals need of a component row.
+_SCORED = ["cand_key", "product_id", "score_r", "score_r_silver", "parsed_risk", "product_tdf", "score_c", "score_a", "score_s"]
 
 
 def variable_topn(components: DataFrame, segments: DataFrame, top_n: int = 3,
                   set_rows: int | None = None) -> DataFrame:
-    """Top-n variable products per segment (cand_key, risk_preference, is_silver, manages_self)."""
-    segs = segments.select("cand_key", "risk_preference", "is_silver", "manages_self").distinct()
-    pool = variable_pool(components, top_n)
+    """Top-n variable products per segment (cand_key, risk_preference, is_silver, manages_self), by the exact total."""
+    segs = segment_terms(segments.select("cand_key", "risk_preference", "is_silver", "manages_self").distinct())
     bound = None if set_rows is None else 20 * set_rows  # 5 classes x 2 x 2 per set
-    scored = score_segments(pool.join(bounded_broadcast(segs, known_rows=bound), ["cand_key", "is_silver"]))
+    more = [c for c in components.columns if c not in _SCORED]
+    rows = components.select(*_SCORED, F.struct(*more).alias("more")) if more else components
+    scored = score_segments(rows.join(bounded_broadcast(segs, known_rows=bound), "cand_key"))
     w = Window.partitionBy("cand_key", "risk_preference", "is_silver", "manages_self") \
         .orderBy(F.col("total_score").desc_nulls_last(), "product_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
+    top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
+    return top.select(*[c for c in top.columns if c != "more"], *(["more.*"] if more else []))
 
 
 def variable_reasons(scored: DataFrame) -> DataFrame:

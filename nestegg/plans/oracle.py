@@ -597,4 +597,6 @@ def oracle_sql() -> dict[str, str]:
     q["catalog_violations"] = _integrity_sql(DIRTY_NAMES)
     q.update(_resolver_sql())
     q.update(_text_sql())
+    q["chat_history_stream"] = q["chat_history"]
+    q["chat_prompts_stream"] = q["chat_prompts_vectors"]
     return q

@@ -131,6 +131,11 @@ class Context:
             "conv_id", "turn", F.col("conv_id").alias("user_id"), F.col("text").alias("query"))
 
 
+def vectors_of(ctx: Context) -> Callable[[DataFrame], DataFrame]:
+    """An embedder of turns that have precomputed vectors."""
+    return lambda df: df.join(ctx.embeddings("qvec"), "vec_id")
+
+
 def context(spark: SparkSession, sf_dir: str) -> Context:
     key = (id(spark), spark.sparkContext.applicationId, sf_dir)
     if key not in _CONTEXTS:
@@ -414,8 +419,33 @@ def q_chat_prompts_vectors(spark, sf_dir):
     from nestegg.operators.chat import chat_prompts
     ctx = context(spark, sf_dir)
     turns = ctx.fx("fx_turns")
-    vectors = lambda df: df.join(ctx.embeddings("qvec"), "vec_id")
-    return _prompt_columns(chat_prompts(turns, ctx.chat_portfolio, ctx.vector_documents, vectors))
+    return _prompt_columns(chat_prompts(turns, ctx.chat_portfolio, ctx.vector_documents, vectors_of(ctx)))
+
+
+def q_chat_prompts_stream(spark, sf_dir):
+    """H18 as a stream: the turns are written to a folder, streamed from there, and answered batch by batch."""
+    from nestegg.streaming.conversations import batches, run_prompts
+    from nestegg.session import shared_path
+    ctx, folder = context(spark, sf_dir), shared_path(spark, "prompt_stream")
+    ctx.fx("fx_turns").write.parquet(f"{folder}/turns")
+    turns = spark.readStream.schema(ctx.fx("fx_turns").schema).parquet(f"{folder}/turns")
+    run_prompts(turns, lambda _: ctx.chat_portfolio, ctx.vector_documents, vectors_of(ctx), f"{folder}/prompts",
+                f"{folder}/checkpoint").awaitTermination()
+    message = "messages array<struct<role: string, content: string>>"
+    return _prompt_columns(batches(spark, f"{folder}/prompts", f"conv_id long, turn long, user_id long, query string, outcome string, {message}"))
+
+
+def q_chat_history_stream(spark, sf_dir):
+    """H17 as a stream over the conversations (written to a folder first); turns are a second apart."""
+    from nestegg.streaming.conversations import current_states, run_states
+    from nestegg.session import shared_path
+    from nestegg.sources.tables import read_table
+    folder, source = shared_path(spark, "history_stream"), read_table(spark, sf_dir, "conversations")
+    source.write.parquet(f"{folder}/turns")  # a file source needs a folder
+    turns = spark.readStream.schema(source.schema).parquet(f"{folder}/turns")
+    turns = turns.withColumn("event_time", F.timestamp_seconds(F.lit(1767225600) + F.col("turn")))
+    run_states(turns, f"{folder}/states", f"{folder}/checkpoint").awaitTermination()
+    return current_states(spark, f"{folder}/states")
 
 
 def q_question_prompts_vectors(spark, sf_dir):
@@ -495,4 +525,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "question_prompts_vectors": q_question_prompts_vectors,
     "appended_turns": q_appended_turns,
     "latest_portfolio": q_latest_portfolio,
+    "chat_history_stream": q_chat_history_stream,
+    "chat_prompts_stream": q_chat_prompts_stream,
 }

@@ -62,6 +62,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """The path of a table or stream folder under the shared checkpoint folder, for one use."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/nestegg-tables/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as a Parquet table under the shared checkpoint folder and read it back.
 
@@ -71,8 +76,7 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     which also recomputes its input for the checkpoint job.
     """
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/nestegg-tables/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

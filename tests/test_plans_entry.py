@@ -31,7 +31,7 @@ def test_plans_have_no_cartesian_and_use_group_limits(spark):
     from nestegg.operators import guaranteed as G
     from nestegg.operators import variable as V
     assert "WindowGroupLimit" in _plan(G.guaranteed_topn(sc.g_components, sc.segments, 3))
-    assert "WindowGroupLimit" in _plan(V.variable_pool(sc.v_components, 3))
+    assert "WindowGroupLimit" in _plan(V.variable_topn(sc.v_components, sc.segments, 3))
 
 
 def test_python_only_in_resolution(spark):
