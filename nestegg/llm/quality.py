@@ -78,15 +78,16 @@ class Discriminant(NamedTuple):
     scale: np.ndarray
     means: np.ndarray  # one row for each class
     factors: np.ndarray  # Cholesky factors of the classes' covariances
+    inverses: np.ndarray  # of the factors
     log_prior: float
     line: tuple[float, float]
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.centre) / self.scale
         density = []
-        for mean, factor in zip(self.means, self.factors):
-            solved = np.linalg.solve(factor, (z - mean).T)
-            density.append(-0.5 * (solved**2).sum(axis=0) - np.log(np.diag(factor)).sum())
+        for mean, factor, inverse in zip(self.means, self.factors, self.inverses):
+            solved = np.einsum("nj,ij->ni", z - mean, inverse)
+            density.append(-0.5 * (solved**2).sum(axis=1) - np.log(np.diag(factor)).sum())
         return density[1] - density[0] + self.log_prior
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -94,25 +95,40 @@ class Discriminant(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(a * self.raw(x) + b, -30, 30)))
 
 
+def triangular_inverse(factor: np.ndarray) -> np.ndarray:
+    """Inverse of a lower triangular matrix, row by row."""
+    out = np.eye(len(factor))
+    for i, row in enumerate(factor):
+        out[i] = (out[i] - (row[:i, None] * out[:i]).sum(axis=0)) / row[i]
+    return out
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a' b, without the threads of a BLAS library: the driver and the workers are processes that fork."""
+    return np.einsum("ni,nj->ij", a, b)
+
+
 def fit(x: np.ndarray, y: np.ndarray) -> Discriminant:
     centre, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
     z = (x - centre) / scale
     groups = [z[y == k] for k in (0, 1)]
     means = np.array([g.mean(axis=0) for g in groups])
-    own = [(g - m).T @ (g - m) / len(g) for g, m in zip(groups, means)]
+    own = [products(g - m, g - m) / len(g) for g, m in zip(groups, means)]
     pooled = sum(len(g) * c for g, c in zip(groups, own)) / len(z)
     factors = []
     for c in own:
         c = (1 - SHRINK_TO_POOLED) * c + SHRINK_TO_POOLED * pooled
         c = (1 - SHRINK_TO_DIAGONAL) * c + SHRINK_TO_DIAGONAL * np.diag(np.diag(c))
         factors.append(np.linalg.cholesky(c + 1e-3 * np.eye(len(c))))
-    model = Discriminant(centre, scale, means, np.array(factors), float(np.log(len(groups[1]) / len(groups[0]))), (1.0, 0.0))
+    inverses = np.array([triangular_inverse(f) for f in factors])
+    model = Discriminant(centre, scale, means, np.array(factors), inverses, float(np.log(len(groups[1]) / len(groups[0]))), (1.0, 0.0))
     # Calibration: a logistic line through the raw scores, the far ones drawn in.
     raw = np.clip(model.raw(x), -50, 50)
     w, design = np.array([0.5, 0.0]), np.stack([raw, np.ones_like(raw)], axis=1)
     for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        step = np.linalg.solve((design * (p * (1 - p) + 1e-6)[:, None]).T @ design + 1e-3 * np.eye(2), design.T @ (p - y))
+        p = 1 / (1 + np.exp(-np.clip((design * w).sum(axis=1), -30, 30)))
+        slope = products(design, (p - y)[:, None])[:, 0]
+        step = np.linalg.solve(products(design * (p * (1 - p) + 1e-6)[:, None], design) + 1e-3 * np.eye(2), slope)
         w = w - np.clip(step, -1, 1)
     return model._replace(line=(max(float(w[0]), 1e-3), float(w[1])))
 
