@@ -35,3 +35,21 @@ def contains_any(c: Column, words: list[str]) -> Column:
 def col_or(df_columns: list[str], name: str, default) -> Column:
     """Optional input column: the column when present, else a literal default."""
     return F.col(name) if name in df_columns else F.lit(default)
+
+
+def python_round1(x: Column) -> Column:
+    """Python's ``round(x, 1)``: the binary value decides, exact half-way cases go to the even digit.
+
+    10 x is p + e exactly: the product p as rounded, and its error e from the two halves of x
+    (26 bits each, so ten times a half is exact). Half-way is decided by (p - floor(p) - 0.5) + e.
+    """
+    a = F.abs(x)
+    p = a * 10.0
+    big = a * 134217729.0  # 2^27 + 1
+    high = big - (big - a)
+    error = (high * 10.0 - p) + (a - high) * 10.0
+    low = F.floor(p).cast("double")
+    side = (p - low - 0.5) + error
+    up = (side > 0) | ((side == 0) & (F.pmod(low, F.lit(2.0)) == 1))
+    rounded = (low + F.when(up, 1.0).otherwise(0.0)) / 10.0
+    return F.when(a < 1e15, F.when(x < 0, -rounded).otherwise(rounded)).otherwise(x)

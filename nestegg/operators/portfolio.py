@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nestegg.functions.common import python_round1
 from nestegg.operators import bitmaps as B
 from nestegg.operators import guaranteed as G
 from nestegg.operators import variable as V
@@ -189,7 +190,7 @@ def _items(top: DataFrame, keys: list[str], score: str, scores: list[str]) -> Da
         F.col("rank"),
         F.col("product_id"),
         F.col("product_name"),
-        F.round(F.col(score), 1).alias("score"),
+        python_round1(F.col(score)).alias("score"),
         F.col(score).alias("raw_score"),
         F.col("reasons"),
         F.struct(*[F.col(c) for c in PRODUCT_INFO]).alias("product_info"),

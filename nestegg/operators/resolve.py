@@ -2,39 +2,76 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from nestegg import constants as K
 from nestegg.functions.common import py_strip
 from nestegg.session import bounded_broadcast
 
 
-def _ratio_batch_fn():
-    """The batch function, built in a closure so it is shipped to workers by value
-    (workers need only the standard library and pandas, not this package)."""
-    def ratio_batch(name: pd.Series, typed: pd.Series) -> pd.Series:
-        import difflib as _difflib
+def _place(a: Column, b: Column, i: Column, k: Column) -> Column:
+    """Where ``k`` characters of ``a`` from ``i`` on first stand in ``b``; 0 if nowhere."""
+    return F.call_function("locate", F.substring(a, i, k), b)
 
-        import pandas as _pd
-        # Same argument order as difflib.get_close_matches: the candidate is seq1.
-        sm = _difflib.SequenceMatcher()
-        out = []
-        for a, b in zip(name, typed):
-            sm.set_seqs(a, b)
-            out.append(sm.ratio())
-        return _pd.Series(out, dtype="float64")
-    return ratio_batch
 
+def _longest_match(a: Column, b: Column) -> Column:
+    """struct(k, i, j): the longest common substring (k characters from 1-based i of a and j of b).
+
+    Of equally long ones that which starts first in a, then first in b. A start can only win with more
+    characters than the best so far, and where k characters are found, fewer are too.
+    """
+    none = F.struct(F.lit(0).alias("k"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+
+    def longer(best, i):
+        room = F.length(a) - i + 1
+        found = F.filter(F.sequence(best["k"] + 1, F.greatest(room, best["k"] + 1)),
+                         lambda k: (k <= room) & (_place(a, b, i, k) > 0))
+        k = F.array_max(found)
+        return F.when(k.isNull(), best).otherwise(F.struct(k.alias("k"), i.alias("i"), _place(a, b, i, k).alias("j")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(a)), none, longer)
 
-def _ratio(name, typed):
-    """Ratcliff-Obershelp ratio per Arrow batch (the one Python step of the resolver).
 
-    Marked nondeterministic so that the cutoff isn't pushed below it, which would run it twice a pair.
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def matched_characters(a: Column, b: Column) -> Column:
+    """Characters in the matching blocks of two texts: the longest match, then the same left and right of it.
+
+    The parts still to be looked at are a stack in a fold. Each match leaves two parts at most and takes a
+    character of the shorter text, so 2 * length + 1 steps empty it.
+    """
+    part = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
+    both = lambda p: (p["a"] != "") & (p["b"] != "")
+    start = F.struct(F.filter(F.array(part(a, b)), both).alias("todo"), F.lit(0).alias("n"))
+
+    def step(state, _):
+        def matched(top, rest):
+            def split(m):
+                left = part(F.substring(top["a"], F.lit(1), m["i"] - 1), F.substring(top["b"], F.lit(1), m["j"] - 1))
+                right = part(F.substring(top["a"], m["i"] + m["k"], F.length(top["a"])), F.substring(top["b"], m["j"] + m["k"], F.length(top["b"])))
+                parts = F.filter(F.array(left, right), both)
+                todo = F.when(m["k"] > 0, F.concat(rest, parts)).otherwise(rest)
+                return F.struct(todo.alias("todo"), (state["n"] + m["k"]).alias("n"))
+            return _let(_longest_match(top["a"], top["b"]), split)
+        size = F.size(state["todo"])
+        return F.when(size == 0, state).otherwise(_let(F.get(state["todo"], size - 1), lambda top: matched(top, F.slice(state["todo"], F.lit(1), size - 1))))
+
+    steps = F.sequence(F.lit(1), 2 * F.least(F.length(a), F.length(b)) + 1)
+    return F.aggregate(steps, start, step, lambda state: state["n"])
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Ratcliff-Obershelp ratio of two texts (``a`` in the place of the candidate), 1 for two empty ones.
+
+    Same blocks and ties as the standard library's matcher, whose shortcut for texts of 200 and more
+    characters (it leaves out frequent ones) isn't made.
     """
-    return pandas_udf(_ratio_batch_fn(), "double").asNondeterministic()(name, typed)
+    total = F.length(a) + F.length(b)
+    return F.when(total == 0, F.lit(1.0)).otherwise(F.lit(2.0) * matched_characters(a, b) / total)
 
 
 def _tokens(text: str):
@@ -100,7 +137,7 @@ def fuzzy_matches(typed: DataFrame, names: DataFrame, n: int = K.FUZZY_TOP,
     Only the pruned pairs (:func:`fuzzy_pairs`) are scored with the exact ratio.
     """
     pairs = (fuzzy_pairs(typed, names, cutoff, bounds)
-             .withColumn("ratio", _ratio(F.col("name"), F.col("typed")))
+             .withColumn("ratio", similarity(F.col("name"), F.col("typed")))
              .where(F.col("ratio") >= cutoff))
     w = Window.partitionBy("typed").orderBy(F.col("ratio").desc(), F.col("name").desc())
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

@@ -7,12 +7,15 @@ top-k over at most len(candidates) rows per query: no all-pairs product.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nestegg.session import cut_lineage
+
 #: Dimensions of the default embedder's term space; vectors are sparse, so it costs only the IDF weights.
 DIM = 1 << 20
 
@@ -47,7 +50,6 @@ def build_vector_table(docs: DataFrame, text_col: str = "page_content", dim: int
     ``path`` defaults to a fresh folder under the session's checkpoint folder. Returns
     the re-read table and the fitted model (needed to embed queries the same way).
     """
-    from nestegg.session import cut_lineage
     model = fit_embedder(fit_on if fit_on is not None else docs, text_col, dim)
     vecs = embed(docs, model, text_col)
     if path is None:
@@ -56,6 +58,50 @@ def build_vector_table(docs: DataFrame, text_col: str = "page_content", dim: int
     return docs.sparkSession.read.parquet(path), model
 
 
+def update_vector_table(docs: DataFrame, path: str, embed_docs, id_col: str = "product_id", text_col: str = "page_content",
+                        buckets: int = 64) -> dict[str, int]:
+    """A7 kept up to date: only texts that are new or changed are embedded, and only their buckets are written.
+
+    The table at ``path`` holds the columns of ``docs``, ``content_hash`` and what ``embed_docs`` (DataFrame ->
+    DataFrame with ``embedding``) adds, in folders by a hash of the id. Rows that are in it with the same hash are
+    kept as they are; rows that ``docs`` has no more go. The embedder must be the same at every call (a refitted
+    one needs a new path). The change set is written first, so a failure leaves the table as it was or each bucket
+    whole; running it again finishes the work. Returns the rows embedded, kept and removed. Ids must be unique.
+    """
+    spark = docs.sparkSession
+    bucket = F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int")
+    now = docs.withColumns({"content_hash": F.sha2(F.coalesce(F.to_json(F.struct(*docs.columns)), F.lit("")), 256), "bucket": bucket})
+    try:
+        old = spark.read.parquet(path).where(F.col(id_col).isNotNull())
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        old = None
+    keys = [id_col, "content_hash"]
+    if old is None:
+        changed, gone = now, now.limit(0).select(id_col, "bucket")
+    else:
+        changed = now.join(old.select(*keys), keys, "left_anti")
+        gone = cut_lineage(old.select(id_col, "bucket").join(now.select(id_col), id_col, "left_anti"), "vectors_gone")
+    fresh = cut_lineage(embed_docs(changed), "vectors_fresh")
+    counts = {"embedded": fresh.count(), "removed": gone.count()}
+    if old is None:
+        fresh.write.partitionBy("bucket").parquet(path)
+        return counts | {"kept": 0}
+    touched = fresh.select("bucket").unionByName(gone.select("bucket")).distinct()
+    kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(now.select(*keys), keys, "left_semi")
+    # A bucket whose rows are all gone gets no file by a dynamic overwrite, therefore it keeps a row without id.
+    blank = touched.select("bucket", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fresh.schema.fields if f.name != "bucket"])
+    rows = cut_lineage(kept.unionByName(fresh).unionByName(blank), "vectors_next")
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return counts | {"kept": now.count() - counts["embedded"]}
+
+
+def read_vector_table(spark, path: str, id_col: str = "product_id") -> DataFrame:
+    """The rows of a table that :func:`update_vector_table` keeps."""
+    return spark.read.parquet(path).where(F.col(id_col).isNotNull()).drop("bucket")
+
+
 def embed_with(df: DataFrame, text_col: str, model_fn, out: str = "embedding",
                return_type: str = "array<float>") -> DataFrame:
     """User-supplied embedding model applied per Arrow batch (``model_fn(pd.Series) -> pd.Series``)."""
@@ -78,8 +124,71 @@ def sparse_squared_l2(a: Column, b: Column) -> Column:
     return F.round(norm(a) + norm(b) - 2 * F.aggregate(products, F.lit(0.0), add), 12)
 
 
+def _l2(kind: T.DataType):
+    return sparse_squared_l2 if isinstance(kind, T.MapType) else squared_l2
+
+
+def vector_blocks(corpus: DataFrame, id_col: str = "doc_id", n_blocks: int = 64) -> tuple[DataFrame, list]:
+    """The corpus with its ``block`` (the nearest of ``n_blocks`` pivots), written, and (pivot, radius, rows) of each block.
+
+    Pivots are the first rows by a hash of the id; their number bounds what is collected.
+    """
+    l2 = _l2(corpus.schema["embedding"].dataType)
+    rows = corpus.where(F.col("embedding").isNotNull())
+    pivots = [r.embedding for r in rows.orderBy(F.xxhash64(id_col), id_col).select("embedding").limit(n_blocks).collect()]
+    if not pivots:
+        return rows.withColumn("block", F.lit(0)), []
+    nearest = F.array_min(F.transform(F.array(*map(_literal, pivots)), lambda p, i: F.struct(l2(F.col("embedding"), p).alias("d"), i.alias("i"))))
+    placed = cut_lineage(rows.withColumn("_near", nearest).withColumns(
+        {"block": F.col("_near.i"), "to_pivot": F.sqrt(F.greatest(F.col("_near.d"), F.lit(0.0)))}).drop("_near"), "vector_blocks")
+    sizes = {r.block: (r.radius, r.n) for r in placed.groupBy("block").agg(F.max("to_pivot").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}
+    return placed.drop("to_pivot"), [(p, *sizes.get(i, (0.0, 0))) for i, p in enumerate(pivots)]
+
+
+def blocks_to_read(queries: DataFrame, blocks: list, fetch_k: int) -> DataFrame:
+    """``queries`` with ``block``: the blocks that can hold one of its ``fetch_k`` nearest rows.
+
+    The distance to a block's rows lies between (to the pivot - radius) and (to the pivot + radius). The
+    ``fetch_k`` nearest are no farther than the least upper bound under which that many rows lie for sure; a
+    block whose lower bound is above isn't read. A margin covers rounding.
+    """
+    l2 = _l2(queries.schema["qvec"].dataType)
+    pivots = F.array(*[_literal(p) for p, _, _ in blocks])
+    sizes = F.array(*[F.struct(F.lit(float(r)).alias("r"), F.lit(int(n)).alias("n")) for _, r, n in blocks])
+    bounds = F.transform(pivots, lambda p, i: F.struct(
+        F.sqrt(F.greatest(l2(F.col("qvec"), p), F.lit(0.0))).alias("d"), F.get(sizes, i)["r"].alias("r"), F.get(sizes, i)["n"].alias("n"), i.alias("block")))
+    queries = queries.withColumn("_bounds", bounds)
+    rows = lambda limit: F.aggregate("_bounds", F.lit(0), lambda n, b: n + F.when(b["d"] + b["r"] <= limit, b["n"]).otherwise(0))
+    enough = F.filter(F.transform("_bounds", lambda b: b["d"] + b["r"]), lambda u: rows(u) >= fetch_k)
+    reach = F.coalesce(F.array_min(enough), F.lit(float("inf"))) * (1 + 1e-9) + 1e-9
+    return (queries.withColumn("_reach", reach)
+            .withColumn("block", F.explode(F.transform(F.filter("_bounds", lambda b: (b["n"] > 0) & (b["d"] - b["r"] <= F.col("_reach"))), lambda b: b["block"])))
+            .drop("_bounds", "_reach"))
+
+
+def _literal(vector) -> Column:
+    if isinstance(vector, dict):
+        return F.create_map(*[F.lit(x) for kv in vector.items() for x in kv]) if vector else F.create_map().cast("map<int,double>")
+    return F.array(*[F.lit(float(x)) for x in vector])
+
+
+def global_nearest(queries: DataFrame, corpus: DataFrame, fetch_k: int, query_key: list[str] | None = None, id_col: str = "doc_id",
+                   n_blocks: int = 64) -> DataFrame:
+    """The ``fetch_k`` nearest rows of the whole corpus for each query, exactly: query columns, id, distance, rank.
+
+    An equi-join of the blocks to read with the rows of the blocks; ties go by id. Rows without a vector take no part.
+    """
+    qk = query_key or ["query_id"]
+    placed, blocks = vector_blocks(corpus, id_col, n_blocks)
+    pairs = blocks_to_read(queries, blocks, fetch_k) if blocks else queries.withColumn("block", F.lit(0)).limit(0)
+    l2 = _l2(corpus.schema["embedding"].dataType)
+    near = pairs.join(placed, "block").withColumn("distance", l2(F.col("qvec"), F.col("embedding"))).drop("qvec", "embedding", "block")
+    w = Window.partitionBy(*qk).orderBy("distance", id_col)
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= fetch_k)
+
+
 def filtered_knn(queries: DataFrame, corpus: DataFrame, k: int = 3, query_key: list[str] | None = None,
-                 id_col: str = "doc_id") -> DataFrame:
+                 id_col: str = "doc_id", fetch_k: int | None = None) -> DataFrame:
     """k nearest corpus rows per query, among the query's candidate ids only.
 
     ``queries``: ``query_key`` columns, ``qvec`` array<float> or sparse (``embed``), ``cand_ids`` array.
@@ -88,11 +197,19 @@ def filtered_knn(queries: DataFrame, corpus: DataFrame, k: int = 3, query_key: l
     fetches a fixed number of global neighbours and filters afterwards may return
     fewer than k; this never does). Ties are broken by id.
     Returns query_key + id_col + distance + rank (1-based) + payload.
+
+    With ``fetch_k`` it does as such an index: the ``fetch_k`` nearest rows of the whole corpus are searched
+    (:func:`global_nearest`) and filtered by the candidate ids afterwards, so that there may be fewer than ``k``.
     """
     qk = query_key or ["query_id"]
+    if fetch_k is not None:
+        hits = global_nearest(queries.select(*qk, "qvec", "cand_ids"), corpus, fetch_k, qk, id_col)
+        w = Window.partitionBy(*qk).orderBy("distance", id_col)
+        return (hits.where(F.array_contains("cand_ids", F.col(id_col))).drop("cand_ids")
+                .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
     pairs = (queries.select(*qk, "qvec", F.explode(F.array_distinct("cand_ids")).alias(id_col))
              .join(corpus, id_col))
-    l2 = sparse_squared_l2 if isinstance(queries.schema["qvec"].dataType, T.MapType) else squared_l2
+    l2 = _l2(queries.schema["qvec"].dataType)
     scored = pairs.withColumn("distance", l2(F.col("qvec"), F.col("embedding"))).drop("qvec")
     w = Window.partitionBy(*qk).orderBy("distance", id_col)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("embedding")

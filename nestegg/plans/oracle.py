@@ -316,11 +316,11 @@ FROM prof JOIN conversations c ON c.conv_id = user_id WHERE role = 'user' GROUP
     silver = _q(K.VR_SILVER)
     q["portfolio_flat"] = _with(_CATALOG_FX, PROFILE, CANDIDATES, GUARANTEED, VARIABLE) + f"""
 SELECT p.user_id, 'guaranteed' AS half, CAST(g.rank AS INTEGER) AS rank, g.product_id, g.product_name,
-       round(g.score, 1) AS display_score, round(g.score, 4) AS score, g.reasons
+       CAST(format('{{:.1f}}', g.score) AS DOUBLE) AS display_score, round(g.score, 4) AS score, g.reasons
 FROM prof p JOIN greason g ON p.cand_key = g.cand_key AND p.risk_preference = g.risk_preference
 UNION ALL
 SELECT p.user_id, 'non_guaranteed' AS half, CAST(v.rank AS INTEGER) AS rank, v.product_id, v.product_name,
-       round(v.total_score, 1) AS display_score, round(v.total_score, 4) AS score,
+       CAST(format('{{:.1f}}', v.total_score) AS DOUBLE) AS display_score, round(v.total_score, 4) AS score,
        CASE WHEN p.is_silver THEN concat_ws(' | ', v.reasons, replace({silver}, '%s', CAST(p.period AS VARCHAR)))
             ELSE v.reasons END AS reasons
 FROM prof p JOIN vreason v ON p.cand_key = v.cand_key AND p.risk_preference = v.risk_preference
@@ -405,9 +405,40 @@ def _integrity_sql(tables: dict[str, str]) -> str:
 _STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 
+def _similarity_sql(base: str, typed: str, names: str) -> str:
+    """``base`` with ``top``: (typed, name, ratio, rank) of the three most similar names, by recursion over matching blocks."""
+    best = """list_max(list_filter(flatten(list_transform(range(1, length(a) + 1),
+      lambda i: list_transform(range(1, length(a) - i + 2), lambda k: {'k': k, 'first': -i}))),
+      lambda m: contains(b, substr(a, -m.first, m.k))))"""
+    return base.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+tx AS (SELECT DISTINCT typed FROM {typed} WHERE typed <> ''),
+nm AS (SELECT DISTINCT operator_name AS name FROM {names} WHERE operator_name <> ''),
+open_texts AS (SELECT typed FROM tx WHERE typed NOT IN (SELECT name FROM nm)),
+blocks AS (
+  SELECT typed, name, a, b, {best} AS m FROM (SELECT typed, name, name AS a, typed AS b FROM open_texts, nm
+    WHERE 2.0 * least(length(typed), length(name)) / (length(typed) + length(name)) >= {K.FUZZY_CUTOFF})
+  UNION ALL
+  SELECT typed, name, a, b, {best} AS m FROM (
+    SELECT typed, name, p.a AS a, p.b AS b FROM (
+      SELECT typed, name, unnest([{{'a': substr(a, 1, -m.first - 1), 'b': substr(b, 1, strpos(b, substr(a, -m.first, m.k)) - 1)}},
+                                  {{'a': substr(a, m.k - m.first), 'b': substr(b, strpos(b, substr(a, -m.first, m.k)) + m.k)}}]) AS p
+      FROM blocks WHERE m IS NOT NULL)
+    WHERE p.a <> '' AND p.b <> '')),
+ratios AS (SELECT typed, name, 2.0 * coalesce(sum(m.k), 0) / (length(typed) + length(name)) AS ratio FROM blocks GROUP BY typed, name),
+top AS (SELECT *, row_number() OVER (PARTITION BY typed ORDER BY ratio DESC, name DESC) AS rank FROM ratios WHERE ratio >= {K.FUZZY_CUTOFF} QUALIFY rank <= {K.FUZZY_TOP})"""
+
+
 def _resolver_sql() -> dict[str, str]:
     base = _with(["fx_operator_typed_info", "fx_operator_info"]) + f", texts AS (SELECT user_id, {_STRIP.format(x='typed')} AS typed FROM fx_operator_typed_info)"
+    literal = _with(["fx_operator_typed", "fx_operator_names"]) + f", texts AS (SELECT user_id, typed AS raw, {_STRIP.format(x='typed')} AS typed FROM fx_operator_typed)"
     return {
+        "operator_suggestions": _similarity_sql(base, "texts", "fx_operator_info") + """
+SELECT typed, CAST(rank AS INTEGER) AS rank, name, round(ratio, 9) AS ratio FROM top""",
+        "operator_resolution": _similarity_sql(literal, "texts", "fx_operator_names") + """,
+listed AS (SELECT typed, string_agg(name, '|' ORDER BY rank) AS suggestions FROM top GROUP BY typed)
+SELECT user_id, raw, typed, nm.name AS matched, suggestions,
+  CASE WHEN typed = '' THEN 'blank' WHEN nm.name IS NOT NULL THEN 'exact' WHEN suggestions IS NOT NULL THEN 'suggest' ELSE 'none' END AS outcome
+FROM texts LEFT JOIN nm ON nm.name = typed LEFT JOIN listed USING (typed)""",
         "operator_exact": base + """
 SELECT user_id, typed, CASE WHEN typed = '' THEN 'blank' WHEN o.operator_name IS NOT NULL THEN 'exact' ELSE 'fuzzy' END AS outcome,
        o.operator_name AS matched
@@ -449,11 +480,11 @@ SELECT product_id, category, {_STRIP.format(x='content')} AS page_content FROM (
     silver = _q(K.VR_SILVER)
     items = f"""
 items AS (
-  SELECT p.user_id, 0 AS half, g.rank, g.product_id, g.product_name, round(g.score, 1) AS dscore,
+  SELECT p.user_id, 0 AS half, g.rank, g.product_id, g.product_name, CAST(format('{{:.1f}}', g.score) AS DOUBLE) AS dscore,
          g.reasons AS rp, g.interest_rate, g.risk_level
   FROM prof p JOIN greason g ON p.cand_key = g.cand_key AND p.risk_preference = g.risk_preference
   UNION ALL
-  SELECT p.user_id, 1 AS half, v.rank, v.product_id, v.product_name, round(v.total_score, 1) AS dscore,
+  SELECT p.user_id, 1 AS half, v.rank, v.product_id, v.product_name, CAST(format('{{:.1f}}', v.total_score) AS DOUBLE) AS dscore,
          CASE WHEN p.is_silver THEN concat_ws(' | ', v.reasons, replace({silver}, '%s', CAST(p.period AS VARCHAR)))
               ELSE v.reasons END AS rp, v.interest_rate, v.risk_level
   FROM prof p JOIN vreason v ON p.cand_key = v.cand_key AND p.risk_preference = v.risk_preference
@@ -566,6 +597,16 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_
 SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id AS neighbor_id, round(distance, 6) AS distance
 FROM r WHERE rank <= 3"""
 
+    q["filtered_knn_fetch"] = """
+WITH d AS (
+  SELECT q.vec_id AS query_id, e.vec_id AS doc_id, list_reduce(list_transform(list_zip(q.embedding, e.embedding),
+      lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))),
+    lambda a, b: a + b, CAST(0.0 AS DOUBLE)) AS distance
+  FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0),
+near AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) <= 50)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS INTEGER) AS rank, doc_id AS neighbor_id, round(distance, 6) AS distance
+FROM near WHERE abs(doc_id - query_id) <= 40 AND (doc_id - query_id) % 2 = 0 QUALIFY rank <= 3"""
+
     q["parse_questions"] = f"""
 WITH a AS (
   SELECT conv_id, turn,
@@ -597,6 +638,22 @@ def oracle_sql() -> dict[str, str]:
     q["catalog_violations"] = _integrity_sql(DIRTY_NAMES)
     q.update(_resolver_sql())
     q.update(_text_sql())
+    q["rejected_rows"] = _with(["fx_raw_product_fixed", "fx_product_info"]) + """,
+r AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM fx_raw_product_fixed),
+found AS (
+  SELECT id, 'unreadable' AS rule, 'maturity' AS column_name, maturity AS value FROM r WHERE maturity IS NOT NULL AND TRY_CAST(maturity AS INTEGER) IS NULL
+  UNION ALL SELECT id, 'unreadable', 'interest_rate', interest_rate FROM r WHERE interest_rate IS NOT NULL AND TRY_CAST(interest_rate AS DECIMAL(5, 2)) IS NULL
+  UNION ALL SELECT id, 'not_null', 'id', id FROM r WHERE id IS NULL
+  UNION ALL SELECT id, 'foreign_key', 'id->product_info.id', id FROM r WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM fx_product_info WHERE id IS NOT NULL)
+  UNION ALL SELECT id, 'primary_key', 'id', coalesce(id, '') FROM r WHERE n > 1)
+SELECT 'product_fixed' AS table_name, coalesce(id, 'NULL') AS key, rule, column_name, value FROM found"""
+    q["products_by_names"] = _with(["fx_operator_info", "fx_product_mapping", "fx_product_info", "fx_product_fixed"]) + """
+SELECT DISTINCT i.id AS product_id, i.product_name, i.category, CAST(f.interest_rate AS DOUBLE) AS interest_rate
+FROM fx_operator_info o JOIN fx_product_mapping m ON m.operator_id = o.id JOIN fx_product_info i ON i.id = m.product_id LEFT JOIN fx_product_fixed f ON f.id = i.id
+WHERE o.operator_name IN ('OP1', 'OP2', 'O''P3''); DROP TABLE x; --', '\\', ':names', '') AND i.category = 'GUARANTEED'"""
+    q["display_rounding"] = """
+SELECT p_partkey, x, CAST(format('{:.1f}', x) AS DOUBLE) AS shown
+FROM (SELECT p_partkey, (p_partkey % 4001) / 20.0 AS x FROM part UNION ALL SELECT p_partkey, p_retailprice / 8 AS x FROM part)"""
     q["chat_history_stream"] = q["chat_history"]
     q["chat_prompts_stream"] = q["chat_prompts_vectors"]
     return q

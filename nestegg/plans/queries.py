@@ -311,6 +311,31 @@ def q_catalog_violations(spark, sf_dir):
     return integrity_report(context(spark, sf_dir).dirty_tables)
 
 
+def q_rejected_rows(spark, sf_dir):
+    """A3 before the write, D7: rejected rows of a table that arrives as text, with rule, column and raw value."""
+    from nestegg.operators.integrity import checked_rows, rejected_rows
+    ctx = context(spark, sf_dir)
+    rows = checked_rows("product_fixed", ctx.fx("fx_raw_product_fixed"), {"product_info": ctx.fx("fx_product_info")})
+    return rejected_rows("product_fixed", rows)
+
+
+#: Operator names as a user may type them into a query's list.
+ASKED_OPERATORS = ["OP1", "OP2", "OP1", "O'P3'); DROP TABLE x; --", "\\", ":names", ""]
+
+
+def q_products_by_names(spark, sf_dir):
+    """A1, A2: the catalog query with its list of names as a bound parameter."""
+    from nestegg.sources.catalog import run_query
+    ctx = context(spark, sf_dir)
+    return run_query(spark, """
+        SELECT DISTINCT i.id AS product_id, i.product_name, i.category, CAST(f.interest_rate AS DOUBLE) AS interest_rate
+        FROM {operators} o JOIN {mapping} m ON m.operator_id = o.id JOIN {info} i ON i.id = m.product_id LEFT JOIN {fixed} f ON f.id = i.id
+        WHERE o.operator_name IN (:names) AND i.category = :category""",
+        {"names": ASKED_OPERATORS, "category": "GUARANTEED"},
+        {"operators": ctx.fx("fx_operator_info"), "mapping": ctx.fx("fx_product_mapping"), "info": ctx.fx("fx_product_info"),
+         "fixed": ctx.fx("fx_product_fixed")})
+
+
 def q_operator_exact(spark, sf_dir):
     """C1, C3 against the operator table: blank and exact names; the other texts are left to the fuzzy match."""
     from nestegg.operators.resolve import resolve_operators
@@ -337,6 +362,27 @@ def q_operator_resolution(spark, sf_dir):
                     F.array_join("suggestions", "|").alias("suggestions"))
 
 
+def q_operator_suggestions(spark, sf_dir):
+    """C2 against the operator table: the similar names of every text that is no name itself."""
+    from nestegg.functions.common import py_strip
+    from nestegg.operators.resolve import fuzzy_matches
+    ctx = context(spark, sf_dir)
+    names = ctx.fx("fx_operator_info")
+    typed = ctx.fx("fx_operator_typed_info").select(py_strip(F.col("typed")).alias("typed"))
+    typed = typed.join(names.select(F.col("operator_name").alias("typed")), "typed", "left_anti")
+    return fuzzy_matches(typed, names).select("typed", F.col("rank").cast("int").alias("rank"), "name", _r("ratio", 9))
+
+
+def q_display_rounding(spark, sf_dir):
+    """G4 on numbers that are half-way between two tenths, and on prices."""
+    from nestegg.functions.common import python_round1
+    from nestegg.sources.tables import read_table
+    part = read_table(spark, sf_dir, "part")
+    halves = part.select("p_partkey", ((F.col("p_partkey") % 4001).cast("double") / 20.0).alias("x"))
+    rows = halves.unionByName(part.select("p_partkey", (F.col("p_retailprice").cast("double") / 8).alias("x")))
+    return rows.withColumn("shown", python_round1(F.col("x")))
+
+
 # ---- H: documents, contexts, retrieval, prompts ------------------------------------------
 
 def q_rag_documents(spark, sf_dir):
@@ -381,6 +427,18 @@ def q_filtered_knn(spark, sf_dir):
                        F.round("distance", 6).alias("distance"))
 
 
+def q_filtered_knn_fetch(spark, sf_dir):
+    """H10 with ``fetch_k``: of the 50 nearest vectors, the 3 nearest among the query's candidates (ids of its own parity)."""
+    from nestegg.operators.retrieve import filtered_knn
+    from nestegg.sources.tables import read_table
+    e = read_table(spark, sf_dir, "embeddings")
+    listed = F.filter(F.sequence(F.col("vec_id") - 40, F.col("vec_id") + 40), lambda i: (i - F.col("vec_id")) % 2 == 0)
+    q = e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), listed.alias("cand_ids"))
+    hits = filtered_knn(q, e.select(F.col("vec_id").alias("doc_id"), "embedding"), 3, ["query_id"], "doc_id", fetch_k=50)
+    return hits.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("doc_id").alias("neighbor_id"),
+                       F.round("distance", 6).alias("distance"))
+
+
 def q_parse_questions(spark, sf_dir):
     from nestegg.operators.text import parse_questions
     from nestegg.sources.tables import read_table
@@ -525,6 +583,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "question_prompts_vectors": q_question_prompts_vectors,
     "appended_turns": q_appended_turns,
     "latest_portfolio": q_latest_portfolio,
+    "operator_suggestions": q_operator_suggestions,
+    "display_rounding": q_display_rounding,
+    "rejected_rows": q_rejected_rows,
+    "products_by_names": q_products_by_names,
+    "filtered_knn_fetch": q_filtered_knn_fetch,
     "chat_history_stream": q_chat_history_stream,
     "chat_prompts_stream": q_chat_prompts_stream,
 }

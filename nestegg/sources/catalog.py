@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,10 @@ def load_catalog(spark: SparkSession, path: str, fmt: str = "parquet",
 
 
 def conform(df: DataFrame, schema) -> DataFrame:
-    """Project ``df`` onto ``schema``: typed casts (ANSI-safe), absent columns as NULL."""
+    """Project ``df`` onto ``schema``: typed casts (ANSI-safe), absent columns as NULL.
+
+    ``integrity.write_checked`` tells which values were unreadable, and keeps their rows out of a table.
+    """
     cols = []
     for f in schema.fields:
         if f.name in df.columns:
@@ -33,6 +38,31 @@ def conform(df: DataFrame, schema) -> DataFrame:
     return df.select(*cols)
 
 
+def run_query(spark: SparkSession, query: str, args: dict[str, object] | None = None,
+              tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A1, A2: run ``query`` with bound parameters (``:name``) over ``tables`` (written ``{name}``) or the catalog.
+
+    Values never become part of the query's text. A list is bound item by item, so that ``x IN (:names)`` reaches
+    the scan as a filter; an empty list finds nothing. A query that can't be run raises, at once or when its
+    rows are read: there is no empty result instead.
+    """
+    bound: dict[str, object] = {}
+
+    def marker(match: re.Match) -> str:
+        name = match.group(2)
+        value = (args or {}).get(name)
+        if match.group(1) or not isinstance(value, (list, tuple, set)):  # quoted text, or a single value
+            if not match.group(1) and name in (args or {}):
+                bound[name] = value
+            return match.group(0)
+        items = {f"{name}_{i}": v for i, v in enumerate(dict.fromkeys(value))} or {f"{name}_0": None}
+        bound.update(items)
+        return ", ".join(f":{n}" for n in items)
+
+    text = re.sub(r"('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|::)|:([A-Za-z_]\w*)", marker, query)
+    return spark.sql(text, args=bound, **(tables or {}))
+
+
 def read_jdbc_query(spark: SparkSession, url: str, query: str, properties: dict | None = None,
                     partition_column: str | None = None, lower: int | None = None,
                     upper: int | None = None, num_partitions: int | None = None) -> DataFrame:

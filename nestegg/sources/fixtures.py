@@ -180,6 +180,15 @@ SELECT conv_id, turn, CASE WHEN conv_id % 17 = 16 THEN conv_id + 1000000000 ELSE
 FROM {conversations} WHERE role = 'user'
 """
 
+# Product numbers as a source delivers them, as texts; some are unreadable, some keys are missing or repeated.
+FIXTURE_SQL["fx_raw_product_fixed"] = """
+SELECT id, CASE WHEN n % 11 = 3 THEN 'abc' WHEN n % 11 = 5 THEN '' WHEN n % 11 = 7 THEN NULL ELSE CAST(maturity AS STRING) END AS maturity,
+       CASE WHEN n % 13 = 2 THEN 'N/A' WHEN n % 13 = 4 THEN '3,5%' ELSE CAST(interest_rate AS STRING) END AS interest_rate
+FROM (SELECT CASE WHEN CAST(substr(id, 2) AS BIGINT) % 97 = 1 THEN NULL WHEN CAST(substr(id, 2) AS BIGINT) % 89 = 2 THEN concat('X', id) ELSE id END AS id,
+             maturity, interest_rate, CAST(substr(id, 2) AS BIGINT) AS n FROM {fx_product_fixed}
+      UNION ALL SELECT id, maturity, interest_rate, 0 AS n FROM {fx_product_fixed} WHERE CAST(substr(id, 2) AS BIGINT) % 53 = 0) x
+"""
+
 # Precomputed document vectors: a product's number picks a row of the embeddings.
 FIXTURE_SQL["fx_document_vectors"] = """
 SELECT id AS product_id, CAST(substr(id, 2) AS BIGINT) % (SELECT count(*) FROM {embeddings}) AS vec_id FROM {fx_product_info}
@@ -203,6 +212,7 @@ FIXTURE_DEPS = {
     "fx_dirty_product_mapping": ["fx_product_mapping"],
     "fx_operator_typed_info": ["customer"],
     "fx_turns": ["conversations", "embeddings"],
+    "fx_raw_product_fixed": ["fx_product_fixed"],
     "fx_document_vectors": ["fx_product_info", "embeddings"],
 }
 
