@@ -148,7 +148,7 @@ REASON_BLOCK_ITEM = "■ %s (추천 점수: %s점)\n  - %s\n\n"
 COMPARE_WORDS = ["비교", "차이"]
 RECOMMEND_REQUESTS = ["추천", "추천해주세요", "상품 추천", "포트폴리오 추천"]
 FOLLOWUP_QUERY = "이 상품들의 특징과 차이"
-FIRST_TURN_QUERY = "추천해주세요"
+
 
 # Chat prompt (system + human).
 CHAT_SYSTEM = """

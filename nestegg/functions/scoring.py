@@ -71,6 +71,11 @@ def tdf_fit(direct_manage_self: Column) -> Column:
     return F.when(direct_manage_self, F.lit(K.TDF_FIT[K.MANAGE_SELF])).otherwise(F.lit(K.TDF_FIT[K.MANAGE_EXPERT]))
 
 
+def tdf_fit_of_style(style: Column) -> Column:
+    """F6 for a management style as text: expert 100, advice 50, self 0, any other 50."""
+    return lookup(K.TDF_FIT, style, K.TDF_FIT_DEFAULT)
+
+
 def years_active(launch: Column, as_of: Column) -> Column:
     return F.datediff(as_of, launch).cast("double") / F.lit(K.DAYS_PER_YEAR)
 

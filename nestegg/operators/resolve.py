@@ -137,7 +137,8 @@ def fuzzy_matches(typed: DataFrame, names: DataFrame, n: int = K.FUZZY_TOP,
     Only the pruned pairs (:func:`fuzzy_pairs`) are scored with the exact ratio.
     """
     pairs = (fuzzy_pairs(typed, names, cutoff, bounds)
-             .withColumn("ratio", similarity(F.col("name"), F.col("typed")))
+             # A generated column: the cutoff isn't pushed below it, which would work the ratio out twice a pair.
+             .withColumn("ratio", F.explode(F.array(similarity(F.col("name"), F.col("typed")))))
              .where(F.col("ratio") >= cutoff))
     w = Window.partitionBy("typed").orderBy(F.col("ratio").desc(), F.col("name").desc())
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

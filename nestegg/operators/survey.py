@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nestegg import constants as K
 from nestegg.functions.common import lookup, py_strip
-from nestegg.functions.profile import (asset_allocation, candidate_key, is_silver, manages_self,
+from nestegg.functions.profile import (asset_allocation, candidate_key, is_silver, manage_style, manages_self,
                                        risk_class, risk_score)
 
 RADIO_KEYS = [k for k, _, kind in K.SURVEY_STEPS if kind == "radio" and k != "direct_manage"]
@@ -102,3 +102,20 @@ def build_profiles(answers: DataFrame) -> DataFrame:
         "manages_self": manages_self(F.col("direct_manage")),
         "cand_key": candidate_key(F.col("pension_operator")),
     })
+
+
+def with_profile_defaults(records: DataFrame) -> DataFrame:
+    """Stored profile records in which fields may be missing, with the defaults of the recommendation step.
+
+    A missing class is neutral, a missing amount 0, a missing period 10 (not silver), and a missing answer on
+    direct management means self (unlike a survey answer, see ``profile.manages_self``). Absent columns are missing.
+    """
+    defaults = {"risk_preference": F.lit(K.DEFAULT_RISK), "investment_amount": F.lit(K.DEFAULT_AMOUNT).cast("long"),
+                "period": F.lit(K.DEFAULT_PERIOD), "direct_manage": F.lit(K.DEFAULT_DIRECT_MANAGE)}
+    filled = records.withColumns({c: F.coalesce(F.col(c), v) if c in records.columns else v for c, v in defaults.items()})
+    return filled.withColumns({
+        "grnt_ratio": asset_allocation(F.col("risk_preference")),
+        "is_silver": is_silver(F.col("period")),
+        "manages_self": manages_self(F.col("direct_manage")),
+        "style": manage_style(F.col("direct_manage")),
+    })

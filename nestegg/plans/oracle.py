@@ -651,6 +651,17 @@ SELECT 'product_fixed' AS table_name, coalesce(id, 'NULL') AS key, rule, column_
 SELECT DISTINCT i.id AS product_id, i.product_name, i.category, CAST(f.interest_rate AS DOUBLE) AS interest_rate
 FROM fx_operator_info o JOIN fx_product_mapping m ON m.operator_id = o.id JOIN fx_product_info i ON i.id = m.product_id LEFT JOIN fx_product_fixed f ON f.id = i.id
 WHERE o.operator_name IN ('OP1', 'OP2', 'O''P3''); DROP TABLE x; --', '\\', ':names', '') AND i.category = 'GUARANTEED'"""
+    share = " ".join(f"WHEN '{k}' THEN {v}" for k, v in K.GUARANTEED_SHARE.items())
+    fit = " ".join(f"WHEN '{k}' THEN {v}" for k, v in K.TDF_FIT.items())
+    q["profile_defaults"] = _with(["fx_profile_records"]) + f""",
+r AS (SELECT user_id, coalesce(risk_preference, '{K.DEFAULT_RISK}') AS risk_preference, CAST(coalesce(investment_amount, {K.DEFAULT_AMOUNT}) AS BIGINT) AS investment_amount,
+  CAST(coalesce(period, {K.DEFAULT_PERIOD}) AS INTEGER) AS period, coalesce(direct_manage, {str(K.DEFAULT_DIRECT_MANAGE).upper()}) AS manages_self, style_text
+  FROM fx_profile_records)
+SELECT user_id, risk_preference, investment_amount, period, period <= {K.SILVER_MAX_PERIOD} AS is_silver, manages_self,
+  CASE WHEN manages_self THEN '{K.MANAGE_SELF}' ELSE '{K.MANAGE_EXPERT}' END AS style,
+  CAST(CASE risk_preference {share} ELSE {K.GUARANTEED_SHARE_DEFAULT} END AS DOUBLE) AS grnt_ratio,
+  CAST(CASE style_text {fit} ELSE {K.TDF_FIT_DEFAULT} END AS INTEGER) AS tdf_fit
+FROM r"""
     q["display_rounding"] = """
 SELECT p_partkey, x, CAST(format('{:.1f}', x) AS DOUBLE) AS shown
 FROM (SELECT p_partkey, (p_partkey % 4001) / 20.0 AS x FROM part UNION ALL SELECT p_partkey, p_retailprice / 8 AS x FROM part)"""

@@ -170,6 +170,15 @@ def q_survey_answer_text(spark, sf_dir):
         "user_id", "step_key", "option_code", "option_text", "label")
 
 
+def q_profile_defaults(spark, sf_dir):
+    """B8, F6 on stored records: missing fields take the defaults, management styles are texts."""
+    from nestegg.functions.scoring import tdf_fit_of_style
+    from nestegg.operators.survey import with_profile_defaults
+    r = with_profile_defaults(context(spark, sf_dir).fx("fx_profile_records"))
+    return r.select("user_id", "risk_preference", "investment_amount", "period", "is_silver", "manages_self", "style", "grnt_ratio",
+                    tdf_fit_of_style(F.col("style_text")).alias("tdf_fit"))
+
+
 # ---- D: candidates ---------------------------------------------------------------------
 
 def q_candidates(spark, sf_dir):
@@ -585,6 +594,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "latest_portfolio": q_latest_portfolio,
     "operator_suggestions": q_operator_suggestions,
     "display_rounding": q_display_rounding,
+    "profile_defaults": q_profile_defaults,
     "rejected_rows": q_rejected_rows,
     "products_by_names": q_products_by_names,
     "filtered_knn_fetch": q_filtered_knn_fetch,

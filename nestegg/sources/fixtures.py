@@ -189,6 +189,20 @@ FROM (SELECT CASE WHEN CAST(substr(id, 2) AS BIGINT) % 97 = 1 THEN NULL WHEN CAS
       UNION ALL SELECT id, maturity, interest_rate, 0 AS n FROM {fx_product_fixed} WHERE CAST(substr(id, 2) AS BIGINT) % 53 = 0) x
 """
 
+# Stored profile records with missing fields, and management styles as texts.
+def _lookup_sql(key: str, values: list[str]) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+FIXTURE_SQL["fx_profile_records"] = f"""
+SELECT c_custkey AS user_id, CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'nothing' ELSE {_lookup_sql('c_custkey % 5', [*K.GUARANTEED_SHARE])} END AS risk_preference,
+       CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey * 1000 END AS investment_amount,
+       CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST(c_custkey % 13 AS INT) END AS period,
+       CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN FALSE ELSE TRUE END AS direct_manage,
+       {_lookup_sql('c_custkey % 4', [*K.TDF_FIT, 'no answer'])} AS style_text
+FROM {{customer}}
+"""
+
 # Precomputed document vectors: a product's number picks a row of the embeddings.
 FIXTURE_SQL["fx_document_vectors"] = """
 SELECT id AS product_id, CAST(substr(id, 2) AS BIGINT) % (SELECT count(*) FROM {embeddings}) AS vec_id FROM {fx_product_info}
@@ -213,6 +227,7 @@ FIXTURE_DEPS = {
     "fx_operator_typed_info": ["customer"],
     "fx_turns": ["conversations", "embeddings"],
     "fx_raw_product_fixed": ["fx_product_fixed"],
+    "fx_profile_records": ["customer"],
     "fx_document_vectors": ["fx_product_info", "embeddings"],
 }
 

@@ -34,15 +34,14 @@ def test_plans_have_no_cartesian_and_use_group_limits(spark):
     assert "WindowGroupLimit" in _plan(V.variable_topn(sc.v_components, sc.segments, 3))
 
 
-def test_python_only_in_resolution(spark):
+def test_no_python_in_the_reference_queries(spark):
     from nestegg.plans.queries import QUERIES
-    for name in ["portfolio_flat", "portfolio_context", "candidates", "rag_documents", "filtered_knn"]:
+    for name in ["portfolio_flat", "portfolio_context", "candidates", "rag_documents", "filtered_knn", "operator_resolution", "operator_suggestions"]:
         plan = _plan(QUERIES[name](spark, SF))
-        assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan, name
+        assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan and "MapInArrow" not in plan, name
     # Once a pair: the cutoff must not be pushed below the ratio.
-    initial = _plan(QUERIES["operator_resolution"](spark, SF)).split("Initial Plan")[-1]
-    assert initial.count("ArrowEvalPython [") + initial.count("ArrowEvalPython (") <= 2
-    assert "ArrowEvalPython" in initial
+    initial = _plan(QUERIES["operator_suggestions"](spark, SF)).split("Initial Plan")[-1]
+    assert initial.count("Generate explode(array") == 1
 
 
 def _rows(pdf):
