@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +19,8 @@ from pyspark.sql import types as T
 CHUNK_BYTES = 2 << 20
 #: Rows that Spark hands to a Python worker at a time (its default of 10,000 long texts is a lot of memory).
 ARROW_ROWS = 1000
+#: Rows of one labelled id that a sample takes.
+ROWS_OF_ID = 4
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,9 +96,15 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, rows: int) -
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
-    """text, label of the documents of a sample of at most ``rows`` labelled ids, staged."""
+    """text, label of the documents of a sample of at most ``rows`` labelled ids, staged.
+
+    Rows that share an id count ``ROWS_OF_ID`` times at most, in the order of a hash of the text, so the
+    sample has at most ``ROWS_OF_ID * rows`` rows whatever the ids are.
+    """
     sample = labelled_sample(labels, id_col, label_col, rows)
-    return stage(docs.join(F.broadcast(sample), F.col(id_col) == F.col("sample_id")).select(text_col, "label"), "labelled")
+    known = docs.join(F.broadcast(sample), F.col(id_col) == F.col("sample_id")).select("sample_id", F.col(text_col), "label")
+    nth = F.row_number().over(W.partitionBy("sample_id").orderBy(F.xxhash64(text_col), text_col))
+    return stage(known.withColumn("nth", nth).filter(F.col("nth") <= ROWS_OF_ID).select(text_col, "label"), "labelled")
 
 
 def text_pieces(batches: Iterator[pa.RecordBatch], text_col: str, max_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

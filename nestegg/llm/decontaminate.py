@@ -8,8 +8,9 @@ words that are long enough for the shortest phrase, which loses no occurrence. B
 finds all phrases at once; occurrences are located through sampled suffixes, and overlapping ones
 merge into removal spans (code points, end exclusive).
 
-The benchmark is shipped to the tasks in blocks of at most ``block_bytes`` of text; each further
-block is one more pass that adds to the spans of the one before.
+The benchmark is shipped to the tasks in blocks of about ``block_bytes`` of text, dealt by a hash; each
+further block is one more pass that adds to the spans of the one before, which is staged. The driver
+holds the items of one block at a time, and a block's broadcast can be dropped when its pass is over.
 
 Defined cases: a null or empty text has no words; a null or empty item has no phrases; items with
 null ids mark words but are not named; items that repeat an id count once; an empty benchmark
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nestegg.llm.common import as_bytes, fresh, ship, text_pieces
+from nestegg.llm.common import as_bytes, fresh, ship, stage, text_pieces
 from nestegg.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -126,13 +127,17 @@ def shard_hits(texts: list[bytes | None], phrases: Phrases) -> tuple[list[int],
     return counts, hits
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str | None, str | None]]]:
-    """The items in blocks of at most about ``block_bytes`` of text; one block is collected at a time."""
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """The items with the number of their block, and how many blocks of about ``block_bytes`` of text there are."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // block_bytes) or 1
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[tuple(r) for r in items.filter(part == i).collect()] for i in range(n)]
+    return items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), n
+
+
+def block_of(items: DataFrame, block: int) -> list[tuple[str | None, str | None]]:
+    """(item_id, text) of one block's items."""
+    return [tuple(r) for r in items.filter(F.col("block") == block).select("item_id", "text").collect()]
 
 
 def hit_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text",
@@ -146,10 +151,10 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_
     schema = T.StructType([*docs.schema.fields, T.StructField(n_words, T.LongType()), T.StructField(n_hit, T.LongType()),
                            T.StructField(spans, SPANS), T.StructField(items, T.ArrayType(T.StringType()))])
     out, columns, plain = docs, docs.columns, docs.schema
-    blocks = item_blocks(benchmark, item_id, item_text, block_bytes)
-    for nth, block in enumerate(blocks):
-        cut_now = cut and nth == len(blocks) - 1
-        shipped = ship(docs.sparkSession, Phrases(block, window))
+    blocks, n_blocks = item_blocks(benchmark, item_id, item_text, block_bytes)
+    for nth in range(n_blocks):
+        cut_now = cut and nth == n_blocks - 1
+        shipped = ship(docs.sparkSession, Phrases(block_of(blocks, nth), window))
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped, first=not nth, cut_now=cut_now) -> Iterator[pa.RecordBatch]:
             phrases = shipped()
@@ -180,6 +185,8 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_
                      pa.array(new_items, pa.list_(pa.string()))], names=schema.names)
 
         out = out.mapInArrow(run, plain if cut_now else schema)
+        if nth < n_blocks - 1:  # the block is done with before the next one is collected
+            out = stage(out, "hit-spans")
     return out
 
 

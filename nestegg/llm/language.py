@@ -140,7 +140,10 @@ def learn_models(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sample = known.join(F.broadcast(ids.drop("nth").distinct()), (F.col(id_col) == F.col("sample_id")) & (F.col(lang_col) == F.col("sample_lang")))
     by_language: dict[str, list[bytes]] = {}
     # The order of the ids, so that reruns add up the same texts; repeated rows count once.
-    slices = sample.select("sample_lang", sampled_slices(text_col).alias("slices")).distinct().orderBy("sample_lang", "slices")
+    # An id on many rows gets no more than a language's share: rows are counted again, in the same order.
+    row = F.row_number().over(W.partitionBy("sample_lang").orderBy(F.xxhash64("sample_id"), "sample_id", F.xxhash64("slices")))
+    slices = sample.select("sample_id", "sample_lang", sampled_slices(text_col).alias("slices")).withColumn("row", row)
+    slices = slices.filter(F.col("row") <= SAMPLE_DOCS).select("sample_lang", "slices").distinct().orderBy("sample_lang", "slices")
     for lang, texts in slices.collect():
         by_language.setdefault(lang, []).extend(t.encode() for t in texts)
     languages = sorted(by_language)
