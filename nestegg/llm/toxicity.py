@@ -9,10 +9,14 @@ don't count.
 Training: from a sample of at most ``sample_rows`` labelled documents. One pass counts, per task
 before the shuffle, in how many toxic and clean documents each word and stem occurs; what is
 significantly toxic becomes a candidate. A second pass over the sample lists each document's
-candidates, and the lexicon takes the most significant one, sets aside the documents that hold it,
+candidates with their share of its words, and the lexicon, of what takes a far larger share in toxic
+texts than in clean ones (long clean texts may hold it once by chance), takes the most significant one, sets aside the documents that hold it,
 and repeats, so that the words around a toxic word (in its copies, say) don't get in; then all that
-stay significant when documents that begin and end alike count once. The score is
-a logistic of the weighted hits and of the weighted hits per word, fitted on the sample.
+stay significant when documents that begin and end alike count once. A third pass finds the
+exceptions: whole words that a stem hits, and pairs of neighbouring words of which one is hit, that
+are no more common in toxic documents than in clean ones and significantly cleaner than the entry's
+other documents (phrases of the caller's own may be added). The score is a logistic of the weighted
+hits and of the weighted hits per word, fitted on the sample.
 
 Scoring is a map-only pass over whole texts.
 
@@ -43,14 +47,13 @@ from nestegg.llm.common import fresh, ship, text_pieces, with_text_columns
 SAMPLE_ROWS = 12000
 STEM_SIZES = (4, 5, 6)
 MIN_DOCS = 4
-MIN_ODDS = 3.0  # log-odds of an entry: 20 times as common in toxic documents
+MIN_ODDS = 2.5  # of an entry: its mean share of the words is 12 times as large in toxic documents (log)
 FEATURES_AT_ONCE = 150_000
 
 # Letters of other scripts, and digits and signs, with the Latin letter they imitate.
 LOOK_ALIKES = dict(zip("авекмнорстухіјѕһԁԛԝαβγεηικνορτυχωϲ", "abekmhopctyxijshdqwabyeniknoptuxwc"))
 DIGITS = dict(zip("01345789l|", "oieastbgii"))
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "£": "l"}
-EXCEPTIONS = ("clown fish", "trash can", "trash bin", "idiot proof", "scum line")
 #: A sign stands for a letter only in front of a letter or digit.
 SIGN = re.compile(r"[@$!|€£](?=[^\W_])")
 
@@ -84,6 +87,16 @@ def features(folded: str) -> set[str]:
     return {f" {w} " for w in words if 2 < len(w) <= 40} | {f" {w[:k]}" for w in words for k in STEM_SIZES if len(w) > k}
 
 
+def shares(folded: str, wanted: set[str]) -> dict[str, float]:
+    """The wanted features with their share of the words."""
+    words = Counter(folded.split())
+    counts: Counter[str] = Counter()
+    for word, n in words.items():
+        for f in features(word) & wanted:
+            counts[f] += n
+    return {f: n / words.total() for f, n in sorted(counts.items())}
+
+
 class Lexicon(NamedTuple):
     weights: dict[str, float]
     exceptions: tuple[str, ...]
@@ -155,8 +168,8 @@ def counted_features(sample: DataFrame, text_col: str) -> DataFrame:
                                           F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("n0"))
 
 
-def chosen_entries(held: list[set[str]], labels: np.ndarray, ends: list[str], threshold: float) -> dict[str, float]:
-    """Entries with their log-odds.
+def chosen_entries(held: list[dict[str, float]], labels: np.ndarray, ends: list[str], n_words: list[int], threshold: float) -> dict[str, float]:
+    """Entries with the logarithm of how many times their mean share of the words is larger in toxic texts.
 
     First the most significant candidate, then the most significant in the documents without it,
     and so on. Then all others that are as significant when documents that begin and end alike
@@ -167,12 +180,15 @@ def chosen_entries(held: list[set[str]], labels: np.ndarray, ends: list[str], th
         for f in h:
             lists[f].append(i)
     n1, n0 = int((labels == 1).sum()), int((labels == 0).sum())
+    # What is in no text of a class counts as half a word in a text of the usual length.
+    least = 0.5 / max(1.0, float(np.median(n_words)))
 
-    def odds(rows: list[int]) -> float:
-        a = sum(labels[i] == 1 for i in rows)
-        return math.log((a + 0.5) / (n1 + 1)) - math.log((len(rows) - a + 0.5) / (n0 + 1))
+    def odds(f: str, rows: list[int]) -> float:
+        toxic = math.fsum(held[i][f] for i in rows if labels[i] == 1)
+        clean = math.fsum(held[i][f] for i in rows if labels[i] == 0)
+        return math.log((toxic + least) / (n1 + 1)) - math.log((clean + least) / (n0 + 1))
 
-    weights = {f: odds(rows) for f, rows in lists.items()}
+    weights = {f: odds(f, rows) for f, rows in lists.items()}
     # Of equally significant entries the longest comes first: the whole word, not its beginning.
     names = sorted((f for f in lists if weights[f] >= MIN_ODDS), key=lambda f: (-len(f), f))
     out: dict[str, float] = {}
@@ -197,6 +213,47 @@ def chosen_entries(held: list[set[str]], labels: np.ndarray, ends: list[str], th
     return out
 
 
+def learned_exceptions(sample: DataFrame, weights: dict[str, float], text_col: str, threshold: float) -> list[str]:
+    """Words and pairs of words around hits that the labels show to be harmless."""
+
+    def run(batches):
+        folding, known, counts = FoldTable(), shipped(), Counter()
+        out = lambda: pa.RecordBatch.from_pydict({"entry": [k[0] for k in counts], "phrase": [k[1] for k in counts], "label": [k[2] for k in counts], "n": list(counts.values())})
+        for piece in text_pieces(batches, text_col):
+            for text, label in zip(piece.column(text_col).to_pylist(), piece.column("label").to_pylist()):
+                words = fold(text, folding).split()
+                hit = {w: features(w) & known for w in set(words)}
+                found = set()
+                for i, word in enumerate(words):
+                    for entry in hit[word]:
+                        found.add((entry, "", label))
+                        phrases = [] if entry == f" {word} " else [word]
+                        phrases += [" ".join(words[k:k + 2]) for k in (i - 1, i) if 0 <= k < len(words) - 1]
+                        found.update((entry, phrase, label) for phrase in phrases)
+                counts.update(found)
+                if len(counts) > FEATURES_AT_ONCE:
+                    yield out()
+                    counts.clear()
+        if counts:
+            yield out()
+
+    shipped = ship(sample.sparkSession, set(weights))
+    partial = sample.select(text_col, F.col("label").cast("long").alias("label")).mapInArrow(run, "entry string, phrase string, label long, n long")
+    counts = partial.groupBy("entry", "phrase").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"),
+                                                    F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
+    classes = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
+    clean = counts.filter((F.col("phrase") == "") | (F.col("b") >= MIN_DOCS) & (F.col("a") * classes[0] <= F.col("b") * classes[1]))
+    rows = clean.toPandas()
+    of = {r.entry: (r.a, r.b) for r in rows.itertuples() if not r.phrase}
+    out = set()
+    for r in rows[rows.phrase != ""].itertuples():
+        a, b = of[r.entry]
+        # Among the entry's documents: is the phrase's share in clean ones larger than in toxic ones?
+        if a and b and significance(np.array([r.b]), np.array([r.a]), b, a)[0] >= threshold:
+            out.add(r.phrase)
+    return sorted(out)
+
+
 def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     """Logistic regression by Newton steps."""
     w = np.zeros(x.shape[1])
@@ -210,14 +267,14 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return w
 
 
-def learn_lexicon(sample: DataFrame, text_col: str = "text", exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """``sample``: a bounded table of texts with ``label`` 0 or 1."""
+def learn_lexicon(sample: DataFrame, text_col: str = "text", exceptions: tuple[str, ...] = ()) -> Lexicon:
+    """``sample``: a bounded table of texts with ``label`` 0 or 1; ``exceptions``: known phrases, beside those learned."""
     classes = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     n1, n0 = classes.get(1, 0), classes.get(0, 0)
     if not n1 or not n0:
         return Lexicon({}, exceptions, (30.0 if n1 else -30.0, 0.0, 0.0))
     counts = counted_features(sample, text_col).filter(F.col("n1") >= MIN_DOCS)
-    counts = counts.filter(F.col("n1") * n0 > 4 * F.col("n0") * n1)
+    counts = counts.filter(F.col("n1") * n0 > 2 * F.col("n0") * n1)
     table = counts.toPandas()
     threshold = 2 * math.log(len(table) + 1000) + 4
     llr = significance(table.n1.to_numpy(float), table.n0.to_numpy(float), n1, n0)
@@ -227,15 +284,19 @@ def learn_lexicon(sample: DataFrame, text_col: str = "text", exceptions: tuple[s
         folding, wanted = FoldTable(), shipped()
         for piece in text_pieces(batches, text_col):
             folded = [fold(t, folding) for t in piece.column(text_col).to_pylist()]
-            held = [sorted(features(f) & wanted) for f in folded]
+            held = [shares(f, wanted) for f in folded]
             ends = [" ".join([*w[:5], *w[-5:]]) for w in map(str.split, folded)]
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.string())), pa.array(ends, pa.string()), piece.column("label").cast(pa.int64())],
-                                             names=["held", "ends", "label"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([list(h) for h in held], pa.list_(pa.string())), pa.array([list(h.values()) for h in held], pa.list_(pa.float64())),
+                 pa.array(ends, pa.string()), pa.array([f.count(" ") - 1 for f in folded], pa.int64()), piece.column("label").cast(pa.int64())],
+                names=["held", "share", "ends", "n_words", "label"])
 
     shipped = ship(sample.sparkSession, candidates)
-    rows = sample.select(text_col, F.col("label").cast("long").alias("label")).mapInArrow(run, "held array<string>, ends string, label long").collect()
-    weights = chosen_entries([set(r[0]) for r in rows], np.array([r[2] for r in rows]), [r[1] for r in rows], threshold)
-    lexicon = Lexicon(weights, exceptions, (0.0, 0.0, 0.0))
+    rows = sample.select(text_col, F.col("label").cast("long").alias("label")).mapInArrow(run, "held array<string>, share array<double>, ends string, n_words long, label long").collect()
+    weights = chosen_entries([dict(zip(r.held, r.share)) for r in rows], np.array([r.label for r in rows]), [r.ends for r in rows],
+                             [r.n_words for r in rows], threshold)
+    harmless = learned_exceptions(sample, weights, text_col, threshold) if weights else []
+    lexicon = Lexicon(weights, tuple(dict.fromkeys([*exceptions, *harmless])), (0.0, 0.0, 0.0))
     ready = ship(sample.sparkSession, lexicon)
 
     def measure(batches):
