@@ -29,11 +29,12 @@ BLOCK_WORDS = 32
 SHARD_SLOTS = 8192
 BUCKET_DOCS = 1024  # documents of one source that one window task orders
 SLOT_CHUNK = 16384  # slots that one row of the recipe is expanded to at a time
+CHUNK_SPAN = 4096  # chunks that one array holds
 ROUNDS = 20
 
 
 class Mix(NamedTuple):
-    sizes: DataFrame  # uid, doc_id, source, size
+    sizes: DataFrame  # uid, doc_id, source, size, text_hash
     recipe: DataFrame  # one row for each source
     blocks: DataFrame  # src, block, uid, piece_start, piece_words, from_word
     slots: DataFrame  # shard, position, src, block, slot_words
@@ -102,22 +103,23 @@ def packed_blocks(sizes: DataFrame, recipe: DataFrame, seed: int, block_words: i
     """The pieces of documents in each block of their source's stream.
 
     The stream position of a document is a prefix sum over the source. A source is split by a
-    hash of the id into buckets of about ``BUCKET_DOCS`` documents, each ordered by a task of its
-    own, so that a source with most of the rows doesn't land in one task.
+    hash of id, size and text into buckets of about ``BUCKET_DOCS`` documents, each ordered by a task
+    of its own, so that neither a source nor an id with most of the rows lands in one task.
     """
     keys = recipe.select("source", "src", F.ceil(F.col("n_docs") / BUCKET_DOCS).alias("n_buckets"))
     docs = (
         sizes.alias("d")
         .join(keys.alias("k"), F.col("d.source").eqNullSafe(F.col("k.source")))
         .filter("size > 0")
-        .select("uid", "doc_id", "size", "src", F.xxhash64(F.lit(seed), F.col("doc_id")).alias("h"), "n_buckets")
+        .select("uid", "doc_id", "size", "src", "text_hash", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"), F.col("text_hash")).alias("h"),
+                "n_buckets")
         .withColumn("bucket", F.pmod(F.col("h"), F.col("n_buckets")))
     )
     before = lambda *order: W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     offsets = docs.groupBy("src", "bucket").agg(F.sum("size").alias("words")).select(
         "src", "bucket",
         F.coalesce(F.sum("words").over(before("bucket").partitionBy("src")), F.lit(0)).alias("offset"))
-    in_bucket = before("h", "doc_id", "size", "uid").partitionBy("src", "bucket")
+    in_bucket = before("h", "doc_id", "size", "text_hash", "uid").partitionBy("src", "bucket")
     at, block = F.col("at"), F.col("block")
     lo, hi = F.greatest(at, block * block_words), F.least(at + F.col("size"), (block + 1) * block_words)
     return (
@@ -137,10 +139,12 @@ def dealt_slots(recipe: DataFrame, seed: int, block_words: int, shard_slots: int
     the slots is expanded by many tasks.
     """
     n = shuffle_partitions(recipe.sparkSession)
+    last_chunk = F.floor((F.col("n_slots") - 1) / SLOT_CHUNK)
     chunks = (
         recipe.filter("n_slots > 0")
         .select("src", "n_blocks", "n_slots", "epochs", "rest", "last_words", "first_slot", "all_slots",
-                F.explode(F.sequence(F.lit(0), F.floor((F.col("n_slots") - 1) / SLOT_CHUNK))).alias("chunk"))
+                F.explode(F.sequence(F.lit(0), F.floor(last_chunk / CHUNK_SPAN))).alias("span"))
+        .withColumn("chunk", F.explode(F.sequence(F.col("span") * CHUNK_SPAN, F.least(last_chunk, (F.col("span") + 1) * CHUNK_SPAN - 1))))
         .repartition(n, "src", "chunk")
     )
     first = F.col("chunk") * SLOT_CHUNK
@@ -167,7 +171,7 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, max_repeat: i
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     sizes = stage(
         docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"),
-                    F.col(source_col).alias("source"), words.alias("size"),
+                    F.col(source_col).alias("source"), words.alias("size"), F.xxhash64(F.col(text_col)).alias("text_hash"),
                     *([F.col(text_col).alias("text")] if keep_text else [])), "mix-sizes")
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     recipe = stage(slot_recipe(fill_targets(cyclic_weights(sources, weights), share, max_repeat), block_words), "mix-recipe")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nestegg.llm.common import as_bytes, fresh, stage, with_text_columns
+from nestegg.llm.common import as_bytes, fresh, shuffle_partitions, stage, with_text_columns
 
 SHINGLE, RADIUS, BLOCKS, SEED = 3, 2, 8, 42
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -131,7 +131,7 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLO
     """(a, b): a spanning set of the links between the distinct fingerprints of column ``fp``."""
     masks = F.array(*[F.struct(F.lit(i).cast("byte").alias("table"), F.lit(m).alias("mask")) for i, m in enumerate(shard_masks(radius, blocks))])
     shards = (
-        prints.select("fp").distinct()
+        prints.select("fp").repartition(shuffle_partitions(prints.sparkSession), "fp").distinct()
         .select("fp", F.explode(masks).alias("m"))
         .groupBy(F.col("m.table").alias("table"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key"))
         .agg(F.collect_list("fp").alias("prints"))
@@ -185,9 +185,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The root is the component's least fingerprint: unlike the component id, it is never null, and no
     two components share it. ``keep_columns`` stages and returns the other columns of the documents too.
     """
-    fp, uid, comp, root = (fresh(docs, n) for n in ("fp", "uid", "component_id", "component_root"))
-    rows = with_fingerprint(docs if keep_columns else docs.select(id_col, text_col), text_col, fp, shingle)
-    rows = stage((rows if keep_columns else rows.drop(text_col)).withColumn(uid, F.monotonically_increasing_id()), "simhash")
+    rows = fingerprinted(docs if keep_columns else docs.select(id_col, text_col), text_col, shingle, keep_columns)
+    return with_components(rows, docs, id_col, radius)
+
+
+def fingerprinted(docs: DataFrame, text_col: str, shingle: int, keep_text: bool) -> DataFrame:
+    """``docs`` with fingerprint and uid, staged."""
+    rows = with_fingerprint(docs, text_col, fresh(docs, "fp"), shingle)
+    return stage((rows if keep_text else rows.drop(text_col)).withColumn(fresh(docs, "uid"), F.monotonically_increasing_id()), "simhash")
+
+
+def with_components(rows: DataFrame, docs: DataFrame, id_col: str, radius: int) -> DataFrame:
+    """The fingerprinted ``rows`` with component id and root."""
+    fp, comp, root = (fresh(docs, n) for n in ("fp", "component_id", "component_root"))
     nodes = stage(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(id_col).alias("least_id")), "simhash-nodes")
     found = components(fingerprint_links(nodes, radius)).withColumnRenamed("node", "fp")
     nodes = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -196,9 +206,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(member, F.col(fp) == F.col("node_fp")).drop("node_fp")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each component: the one with its smallest id (of rows that repeat it, one)."""
-    uid, comp, root = (fresh(docs, n) for n in ("uid", "component_id", "component_root"))
-    found = near_duplicates(docs, id_col, text_col, keep_columns=True, **options)
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One document of each component: the one with its smallest id (of rows that repeat it, one).
+
+    What goes is found on the ids and fingerprints alone; the texts meet the uids that go in one anti join.
+    """
+    fp, uid, comp, root = (fresh(docs, n) for n in ("fp", "uid", "component_id", "component_root"))
+    rows = fingerprinted(docs, text_col, shingle, keep_text=True)
+    found = with_components(rows.select(id_col, fp, uid), docs, id_col, radius)
     first = found.filter(F.col(id_col).eqNullSafe(F.col(comp))).groupBy(root).agg(F.min(uid).alias("kept_uid"))
-    return found.join(first, F.col(uid) == F.col("kept_uid"), "left_semi").select(*docs.columns)
+    first = first.withColumnRenamed(root, "kept_root")
+    gone = found.join(first, F.col(root) == F.col("kept_root")).filter(F.col(uid) != F.col("kept_uid")).select(uid)
+    return rows.join(stage(gone, "simhash-gone"), uid, "left_anti").select(*docs.columns)
