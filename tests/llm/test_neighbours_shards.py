@@ -51,6 +51,7 @@ def test_clustered_vectors_need_a_small_share():
 def test_hot_id_and_hot_vector_are_dealt_over_the_shards(spark, tmp_path):
     rng = np.random.default_rng(5)
     x, ids = rng.normal(size=(3000, 8)), np.arange(3000)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)  # so that nothing is nearer than the same vector
     x[1000:2000], ids[1000:2000] = x[0], 40
     df = vectors(spark, tmp_path, x, ids)
     got = found(df, 20)
