@@ -8,16 +8,21 @@ the candidate; one that is longer than a window is read to its end in steps of `
 each ``WIDTH - LEFT`` characters in a row are together in a window, and the last window holds ``LEFT``
 characters behind it. A window goes as character classes through embedding, convolution, ReLU,
 maximum over positions, logistic; a candidate's score is the greatest of its windows' scores. It
-is written in numpy and trained by Adam on labelled findings: secrets that the patterns find in a
-bounded sample of the documents, and made findings of further forms of secrets and of harmless
+is written in numpy and trained by Adam on labelled findings: all different windows of secrets that
+the patterns find in the documents, and made findings of further forms of secrets and of harmless
 strings, so that it learns more than the patterns. What no pattern finds in the documents may be a
 secret or not, so it has no label and isn't learned from. Scores are calibrated (Platt) on findings
 that training didn't see, and the threshold is the highest one that keeps at least ``RECALL`` of
 their positives, both of the documents' and of the made ones. A candidate at or above it that no base
 span touches becomes a ``model`` span.
 
-Training is seeded, so reruns agree; scanning is a map-only pass over whole texts. Offsets are code
-points, ends exclusive.
+Training is distributed: the documents' windows are dealt by their hash into parts of about
+``PART_WINDOWS``; in each epoch a task goes through each part, together with the made findings, from
+the weights and moments of the epoch before, and the results are averaged. Held-out windows come
+back as counts of their logits in steps of ``1 / LOGIT_STEPS``. The documents' windows weigh as much
+as ``PART_WINDOWS`` at most against the made ones in the calibration, as they do in each part.
+Averages are sums of whole numbers and the order in a part is seeded, so reruns agree whatever the
+tasks are; scanning is a map-only pass over whole texts. Offsets are code points, ends exclusive.
 
 Defined cases: null and empty texts have no spans; without documents the network learns from the
 made findings alone; matches of the patterns that are too short are dropped but use up their text.
@@ -35,9 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nestegg.llm.common import fresh, ship, text_pieces, with_text_columns
+from nestegg.llm.common import bound_batches, fresh, ship, stage, text_pieces, with_text_columns
 
-SAMPLE_DOCS, SAMPLE_WINDOWS = 1000, 3000
+PART_WINDOWS, MADE = 3000, 3000
+EPOCHS = 6
+LOGIT_STEPS, MOST_LOGIT = 1024, 60
+FIXED = 2.0**50  # averages are summed as whole numbers of this unit
 LEFT, WIDTH = 24, 72
 KNOWN_BY = 12  # characters of a secret that a window is labelled by
 EMBED, KERNEL, FILTERS = 8, 5, 24
@@ -170,22 +178,19 @@ def made_findings(rng: np.random.Generator, n: int) -> tuple[list[str], np.ndarr
     return windows, np.array(labels, float)
 
 
-def trained(windows: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 6, batch: int = 64, rate: float = 0.01,
-            origin: np.ndarray | None = None) -> Network:
-    """Adam on three quarters of the findings; calibration and threshold on the rest, recall held in each origin."""
-    rng = np.random.default_rng(seed)
-    order = rng.permutation(len(labels))
-    cut = len(order) // 4
-    check, learn = order[:cut], order[cut:]
-    codes = encoded(windows)
-    net = Network(rng.normal(0, 0.3, (128, EMBED)), rng.normal(0, 0.2, (KERNEL * EMBED, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.2, FILTERS + 1))
-    weights = [net.embedding, net.kernel, net.bias, net.out]
-    first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    steps = 0
-    for _ in range(epochs):
-        rng.shuffle(learn)
-        for at in range(0, len(learn), batch):
-            part = learn[at : at + batch]
+class Training:
+    """Weights of the network under Adam, and its moments."""
+
+    def __init__(self, rng: np.random.Generator):
+        self.net = Network(rng.normal(0, 0.3, (128, EMBED)), rng.normal(0, 0.2, (KERNEL * EMBED, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.2, FILTERS + 1))
+        self.weights = [self.net.embedding, self.net.kernel, self.net.bias, self.net.out]
+        self.first, self.second = [np.zeros_like(w) for w in self.weights], [np.zeros_like(w) for w in self.weights]
+        self.steps = 0
+
+    def epoch(self, codes: np.ndarray, labels: np.ndarray, order: np.ndarray, batch: int = 64, rate: float = 0.01) -> None:
+        net = self.net
+        for at in range(0, len(order), batch):
+            part = order[at : at + batch]
             patches, best, pooled, logit = net._layers(codes[part])
             wrong = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[part]) / len(part)
             to_pool = wrong[:, None] * net.out[None, :-1] * (pooled > 0)
@@ -195,46 +200,129 @@ def trained(windows: list[str], labels: np.ndarray, seed: int = 7, epochs: int =
             back = (to_pool[:, :, None] * net.kernel.T[None]).reshape(len(part), FILTERS, KERNEL, EMBED)
             at_codes = codes[part][np.arange(len(part))[:, None, None], best[:, :, None] + np.arange(KERNEL)]
             np.add.at(to_embed, at_codes.ravel(), back.reshape(-1, EMBED))
-            steps += 1
-            for w, g, m, v in zip(weights, (to_embed, to_kernel, to_pool.sum(0), np.append(wrong @ pooled, wrong.sum())), first, second):
+            self.steps += 1
+            for w, g, m, v in zip(self.weights, (to_embed, to_kernel, to_pool.sum(0), np.append(wrong @ pooled, wrong.sum())), self.first, self.second):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
-                w -= rate * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.999**steps)) + 1e-8)
-    held = [windows[i] for i in check]
-    logit, y = net.logits(held), labels[check]
-    a, b = 1.0, 0.0
-    for _ in range(200):  # Platt scaling by gradient steps
+                w -= rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.999**self.steps)) + 1e-8)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([*(x.ravel() for x in (*self.weights, *self.first, *self.second)), [self.steps]])
+
+    def put(self, flat: np.ndarray) -> None:
+        at = 0
+        for x in (*self.weights, *self.first, *self.second):
+            x[...] = flat[at : at + x.size].reshape(x.shape)
+            at += x.size
+        for v in self.second:
+            np.maximum(v, 0, out=v)
+        self.steps = round(flat[at])
+
+
+def calibrated(net: Network, logit: np.ndarray, y: np.ndarray, of: np.ndarray, n: np.ndarray, weight: np.ndarray, step: float = 0.0) -> Network:
+    """Platt scaling, and the threshold that holds the recall in each origin (``of``).
+
+    A logit stands for ``n`` findings between it and ``step`` more; they have a ``weight`` in the scaling.
+    """
+    a, b, share = 1.0, 0.0, weight / max(weight.sum(), 1e-9)
+    for _ in range(200):  # gradient steps
         p = 1 / (1 + np.exp(-np.clip(a * logit + b, -30, 30)))
-        a, b = a - 0.05 * float(((p - y) * logit).mean()), b - 0.05 * float((p - y).mean())
-    net = net._replace(scale=(a, b))
-    p, of = net.probability(held), np.zeros(len(y)) if origin is None else origin[check]
-    positives = [np.sort(p[(y == 1) & (of == x)]) for x in np.unique(of[y == 1])]
-    return net._replace(threshold=min((float(x[int((1 - RECALL) * len(x))]) for x in positives), default=0.5))
+        a, b = a - 0.05 * float(((p - y) * logit * share).sum()), b - 0.05 * float(((p - y) * share).sum())
+    p = np.minimum(*(1 / (1 + np.exp(-np.clip(a * x + b, -30, 30))) for x in (logit, logit + step)))
+    limits = []
+    for x in np.unique(of[y == 1]):
+        mine = np.flatnonzero((y == 1) & (of == x))
+        mine = mine[np.argsort(p[mine], kind="stable")]
+        upto = np.cumsum(n[mine])
+        limits.append(float(p[mine[np.searchsorted(upto, int((1 - RECALL) * upto[-1]), "right")]]))
+    return net._replace(scale=(a, b), threshold=min(limits, default=0.5))
+
+
+def trained(windows: list[str], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.01) -> Network:
+    """Adam on three quarters of the findings; calibration and threshold on the rest."""
+    rng = np.random.default_rng(seed)
+    order = rng.permutation(len(labels))
+    cut = len(order) // 4
+    check, learn = order[:cut], order[cut:]
+    codes, training = encoded(windows), Training(rng)
+    for _ in range(epochs):
+        rng.shuffle(learn)
+        training.epoch(codes, labels, learn, batch, rate)
+    one = np.ones(cut)
+    return calibrated(training.net, training.net.logits([windows[i] for i in check]), labels[check], 0 * one, one, one)
 
 
-def corpus_findings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """window: candidates of a sample of at most ``SAMPLE_DOCS`` ids that the patterns know as secrets."""
-    ids = docs.select(F.col(id_col).alias("sample_id")).filter("sample_id is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("sample_id"), "sample_id").limit(SAMPLE_DOCS)
+def corpus_findings(docs: DataFrame, text_col: str) -> DataFrame:
+    """window: the different windows of all candidates that the patterns know as secrets."""
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         for piece in text_pieces(batches, text_col):
-            windows = []
+            windows = set()
             for text in piece.column(text_col).to_pylist():
                 if base := base_spans(text or ""):
                     spans = [(s, e) for s, _, e in base]
-                    windows += [window(text, p) for a, b in candidates(text) for p in holding(places(a, b), [(s, e) for s, e in spans if s < b and a < e])]
-            yield pa.RecordBatch.from_arrays([pa.array(windows, pa.string())], names=["window"])
+                    windows.update(window(text, p) for a, b in candidates(text) for p in holding(places(a, b), [(s, e) for s, e in spans if s < b and a < e]))
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(windows), pa.string())], names=["window"])
+
+    return docs.select(text_col).mapInArrow(run, "window string").distinct()
+
+
+def averaged_epoch(learn: DataFrame, n: int, training: Training, windows: list[str], labels: np.ndarray, seed: int) -> None:
+    """One epoch of ``training``, averaged over the parts of ``learn`` (``n`` windows), each with the made findings."""
+    shipped = ship(learn.sparkSession, (training, windows, labels))
+
+    def run(table: pa.Table) -> pa.Table:
+        own, made, made_labels = shipped()
+        part = table.column("part")[0].as_py()
+        found = sorted(table.column("window").to_pylist())
+        own.epoch(encoded(made + found), np.append(made_labels, np.ones(len(found))), np.random.default_rng([seed, own.steps, part]).permutation(len(made) + len(found)))
+        value = np.rint(own.flat() * (len(found) / n) * FIXED).astype(np.int64)
+        return pa.table([pa.array(np.arange(len(value), dtype=np.int32)), pa.array(value)], names=["place", "value"])
 
-    found = docs.join(F.broadcast(ids), F.col(id_col) == F.col("sample_id")).select(text_col).mapInArrow(run, "window string")
-    return found.distinct().orderBy(F.xxhash64("window"), "window").limit(SAMPLE_WINDOWS)
+    sums = learn.groupBy("part").applyInArrow(run, "place int, value long").groupBy("place").agg(F.sum("value").alias("value"))
+    training.put(np.array([r.value for r in sums.orderBy("place").collect()]) / FIXED)
+
+
+def held_logits(held: DataFrame, net: Network) -> tuple[np.ndarray, np.ndarray]:
+    """The logits of the windows, in steps, and how many have each."""
+    shipped = ship(held.sparkSession, net)
+
+    def run(batches):
+        own = shipped()
+        for batch in batches:
+            at = np.floor(np.clip(own.logits(batch.column("window").to_pylist()), -MOST_LOGIT, MOST_LOGIT) * LOGIT_STEPS)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64))], names=["at"])
+
+    counts = held.select("window").mapInArrow(run, "at long").groupBy("at").count().orderBy("at").collect()
+    return np.array([r.at for r in counts], float) / LOGIT_STEPS, np.array([r["count"] for r in counts], float)
 
 
 def learn_network(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> Network:
-    found = [r[0] for r in corpus_findings(docs, id_col, text_col).collect()]
-    windows, labels = made_findings(np.random.default_rng(seed), 3000)
-    origin = np.repeat([0, 1], [len(windows), len(found)])
-    return trained(windows + found, np.append(labels, np.ones(len(found))), seed, origin=origin)
+    windows, labels = made_findings(np.random.default_rng(seed), MADE)
+    found = stage(corpus_findings(docs, text_col), "secret-windows")
+    n = found.count()
+    if not n:
+        return trained(windows, labels, seed)
+    parts = -(-n // PART_WINDOWS)
+    turn = F.xxhash64(F.lit(seed), "window")
+    found = found.withColumns({"held": F.pmod(turn, F.lit(4)) == 0, "part": F.pmod(F.shiftright(turn, 8), F.lit(parts))})
+    learn, n_learn = found.filter(~F.col("held")), found.filter(~F.col("held")).count()
+    rng = np.random.default_rng(seed)
+    order = rng.permutation(len(labels))
+    check, mine = order[: len(order) // 4], order[len(order) // 4 :]
+    training = Training(rng)
+    for _ in range(EPOCHS):
+        if n_learn:
+            averaged_epoch(learn, n_learn, training, [windows[i] for i in mine], labels[mine], seed)
+        else:  # the few windows that there are happen to be held out
+            training.epoch(encoded(windows), labels, rng.permutation(mine))
+    logit, count = held_logits(found.filter("held"), training.net)
+    made = training.net.logits([windows[i] for i in check])
+    one = np.ones(len(check))
+    return calibrated(
+        training.net, np.append(made, logit), np.append(labels[check], np.ones(len(logit))), np.append(0 * one, np.ones(len(logit))), np.append(one, count),
+        np.append(one, count * min(1.0, PART_WINDOWS / n)), 1 / LOGIT_STEPS)
 
 
 def found_spans(texts: list[str | None], net: Network) -> list[list[dict]]:
