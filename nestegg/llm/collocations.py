@@ -33,6 +33,7 @@ import pickle
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +51,9 @@ FOLD = bytes(0xFF if chr(b) in ".,;:!?\n\v\f\r" else 32 if b == 9 else b + 32 if
 BREAK = b"\xff"
 MOST_WORDS = (1 << 24) - 1
 #: Distinct words that a task counts before it writes them out.
-HELD_WORDS = 1 << 20
-#: Distinct keys that a task holds before it writes its filters out.
-HELD_KEYS = 2 << 20
+HELD_WORDS = 1 << 18
+#: Distinct keys that a task holds before it writes its filters out (sorting them takes some five times their 24 bytes).
+HELD_KEYS = 1 << 20
 #: Words of the corpus for each slice.
 SLICE_WORDS = 1 << 20
 TABLE_BITS = 27
@@ -89,10 +90,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
         def written() -> Iterator[pa.RecordBatch]:
             for lang, found in counts.items():
                 found.pop(BREAK, None)
-                words, n = [None, *(w.decode() for w in found)], [sum(found.values()), *found.values()]
-                for a in range(0, len(words), 50_000):
-                    some = words[a : a + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.string()), pa.array(n[a : a + 50_000], pa.int64())], names=schema.names)
+                rows = chain([(None, sum(found.values()))], found.items())
+                while some := [*islice(rows, 50_000)]:
+                    words, n = [w if w is None else w.decode() for w, _ in some], [n for _, n in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(words, pa.string()), pa.array(n, pa.int64())], names=schema.names)
 
         for lang, words in by_language(batches):
             counts[lang].update(words)
@@ -159,6 +160,30 @@ def table_bit(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return ((left * np.uint64(0x9E3779B97F4A7C15) + right) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - TABLE_BITS)
 
 
+def held_filters(packing: Packing, slice_bits: int, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[QuotientFilter]:
+    """The filters of a task's permuted keys; about ``HELD_KEYS`` distinct ones are held, and freed before they are sorted together."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def together() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        columns = [*zip(*held)]
+        held.clear()
+        parts = []
+        while columns:
+            parts.append(np.concatenate(columns.pop(0)))
+        return combined(packing.half, *parts)
+
+    for left, right in found:
+        for a in range(0, len(left), HELD_KEYS):
+            some = left[a : a + HELD_KEYS]
+            held.append(combined(packing.half, some, right[a : a + HELD_KEYS], np.ones(len(some), np.int64)))
+            if sum(len(h[0]) for h in held) > HELD_KEYS:
+                held.append(together())
+                if len(held[0][0]) > HELD_KEYS // 2:
+                    yield from slices(packing, slice_bits, *held.pop())
+    if held:
+        yield from slices(packing, slice_bits, *together())
+
+
 def filters(tokens: DataFrame, packing: Packing, slice_bits: int, shorter: bytes | None) -> DataFrame:
     """slice, filter: the n-grams of each task's chunks. ``shorter``: the bit table of the length below."""
     shipped = ship(tokens.sparkSession, shorter)
@@ -182,28 +207,10 @@ def filters(tokens: DataFrame, packing: Packing, slice_bits: int, shorter: bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(shipped(), np.uint8) if shorter_is_given else None
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def written(parts: list) -> Iterator[pa.RecordBatch]:
-            found = slices(packing, slice_bits, *parts[0])
-            for a in range(0, len(found), 64):
-                some = found[a : a + 64]
-                yield pa.RecordBatch.from_arrays([pa.array([f.slice_number for f in some], pa.int32()), pa.array([pickle.dumps(tuple(f)) for f in some], pa.binary())], names=schema.names)
-
-        def together(parts: list) -> list:
-            return [combined(packing.half, *(np.concatenate(x) for x in zip(*parts)))]
-
-        for batch in batches:
-            for raw in batch.column("tokens"):
-                left, right = keys(np.frombuffer(raw.as_py(), np.int32), table)
-                held.append(combined(packing.half, left, right, np.ones(len(left), np.int64)))
-                if sum(len(h[0]) for h in held) > HELD_KEYS:
-                    held = together(held)
-                    if len(held[0][0]) > HELD_KEYS // 2:
-                        yield from written(held)
-                        held = []
-        if held:
-            yield from written(together(held))
+        raws = (raw for batch in batches for raw in batch.column("tokens"))
+        found = held_filters(packing, slice_bits, (keys(np.frombuffer(raw.as_py(), np.int32), table) for raw in raws))
+        while some := [*islice(found, 64)]:
+            yield pa.RecordBatch.from_arrays([pa.array([f.slice_number for f in some], pa.int32()), pa.array([pickle.dumps(tuple(f)) for f in some], pa.binary())], names=schema.names)
 
     shorter_is_given = shorter is not None
     return tokens.mapInArrow(run, schema)
