@@ -44,6 +44,46 @@ def test_far_blocks_are_not_read(spark, clustered):
     assert sum(n for _, _, n in blocks) == len(x)
 
 
+def test_search_makes_no_row_for_each_pair(spark, clustered, monkeypatch):
+    """The nearest of each piece leave the arrays, not every (query, row) of the blocks."""
+    x, corpus = clustered
+    monkeypatch.setattr(R, "PIECE_ROWS", 100)  # several pieces a block
+    queries = corpus.where("doc_id % 37 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    found = R.global_nearest(queries, corpus, 5, n_blocks=2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
+    rows = found.orderBy("query_id", "rank").collect()
+    for q in range(0, len(x), 37):
+        got = [r for r in rows if r.query_id == q]
+        assert [r.doc_id for r in got] == np.lexsort((np.arange(len(x)), ((x - x[q]) ** 2).sum(axis=1)))[:5].tolist()
+        assert got[0].text == "payload"
+
+
+def test_search_with_copies_doubled_ids_and_odd_vectors(spark):
+    """Equal distances go by id also in a large group of copies; odd vectors are ranked as by plain expressions."""
+    rows = [(i, [1.0, 0.0]) for i in range(300)] + [(7, [1.0, 0.0]), (500, [3.0, 0.0]), (501, [float("nan"), 0.0]), (502, [1e200, 0.0]), (503, [0.5, 0.0])]
+    corpus = spark.createDataFrame(rows, "doc_id long, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(1, [1.0, 0.0], "a"), (1, [1.0, 0.0], "b"), (2, [float("nan"), 0.0], "c"), (3, None, "d")], "query_id long, qvec array<double>, tag string")
+    got = R.global_nearest(queries, corpus, 6, n_blocks=4).orderBy("query_id", "rank", "tag").collect()
+    first = [r for r in got if r.query_id == 1]
+    assert [r.doc_id for r in first] == [0, 0, 1, 1, 2, 2] and {r.tag for r in first} == {"a", "b"} and {r.distance for r in first} == {0.0}
+    assert [r.doc_id for r in got if r.query_id == 2] == [0, 1, 2, 3, 4, 5]
+    assert [(r.doc_id, r.distance) for r in got if r.query_id == 3] == [(i, None) for i in range(6)]
+
+
+def test_piece_equals_sort_of_all_distances():
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(200, 16)), 3, axis=0)
+    ids = rng.permutation(len(x))
+    piece = R.Piece(np.arange(len(x)), R.pa.array(ids), x, 2)
+    assert len(piece.x) == 400  # of three copies two can be among the nearest two
+    q, r, d = piece.nearest(x[:30])
+    for i in range(30):
+        all_d = ((x - x[i]) ** 2).sum(axis=1)
+        want = np.lexsort((ids, all_d))[:2]
+        assert piece.places[r[q == i]].tolist() == want.tolist() and np.allclose(d[q == i], all_d[want])
+
+
 def test_filter_after_fetch_may_leave_fewer_than_k(spark, clustered):
     x, corpus = clustered
     queries = corpus.where("doc_id = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("qvec"), F.array(F.lit(1), F.lit(700)).cast("array<long>").alias("cand_ids"))
