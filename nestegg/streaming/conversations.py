@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from nestegg.operators.chat import chat_prompts
+from nestegg.session import shared_path
 
 STATES = ("conv_id long, span_start timestamp, n_turns long, n_user long, n_assistant long, last struct<turn: long, role: string>, "
           "last_user_turn long, last_assistant_turn long, history_chars long")
@@ -89,13 +90,14 @@ def run_prompts(turns: DataFrame, portfolio: Callable[[SparkSession], DataFrame]
                 k: int = 3, **trigger) -> StreamingQuery:
     """Start the stream of prompts: every batch of (conv_id, turn, user_id, query, ...) meets the portfolio as it is then.
 
-    ``portfolio`` is called for each batch, so that a rebuilt portfolio takes effect without a restart.
+    ``portfolio`` is called for each batch, so that a rebuilt portfolio takes effect without a restart. Tables
+    that a batch needs on the way replace those of the batch before.
     """
-    write = replace_batch(path)
+    write, folder = replace_batch(path), shared_path(turns.sparkSession, "prompt_tables")
 
     def prompts(batch: DataFrame, batch_id: int) -> None:
         batch = batch.dropDuplicates(["conv_id", "turn"])
-        write(chat_prompts(batch, portfolio(batch.sparkSession), docs, embedder, k), batch_id)
+        write(chat_prompts(batch, portfolio(batch.sparkSession), docs, embedder, k, folder), batch_id)
 
     return (turns.writeStream.foreachBatch(prompts).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
